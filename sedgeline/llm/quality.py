@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .rows import annotate
 from .style import NAMES, style_chunks
 
@@ -97,6 +98,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, trains: Column, id_col: str
     is the positives' share of labelled documents, all of them counted. Null
     ids and labels are left out. Without positives, all texts count as good.
     """
+    ship(docs.sparkSession)
     marked = labels.where(trains & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).alias("label"))
     n, good = marked.agg(F.count("*"), F.sum((F.col("label") == 1).cast("long"))).first()
     p = _sample(docs, marked.where("label = 1").select(id_col), positives, id_col, text_col) if good else np.zeros((0, len(NAMES)))

@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import canonical_turns, format_chats, loss_texts, read_turns
 from .decontaminate import decontaminate, is_contaminated
+from .lattice import score_texts
+from .line_rules import apply_rules, base_failed, fit_rules, is_kept
 from .ngram_jaccard import ngram_jaccard_join
 from .packing import pack
 from .quality import crc_mod, fit_quality, score_quality
 from .secrets import joined, scan_secrets
+from .toxicity import fit_toxicity, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -104,3 +108,62 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+@query
+def op2_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = score_texts(docs, tokenizer_path("piece_bpe_32k.model"), crc_mod("doc_id", 7) != 2)
+    return out.select("doc_id", (crc_mod("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = fit_toxicity(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 4) != 2)
+    score = F.col("toxicity.score")
+    return score_toxicity(docs, index).select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op8_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    field = fit_rules(docs, table(spark, sf_dir, "labels"))
+    return apply_rules(docs, field).select("doc_id", *(f"rules.{c}" for c in counts), base_failed().alias("base_failed"), is_kept().alias("kept"))
+
+
+@query
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row is a record of the layout of one turn; its mapping is chosen by fingerprint as any other's."""
+    same = "</s>[INST] ok [/INST]"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.union(spark.sql(f"SELECT -1L, 0L, 'user', '{same}' UNION ALL SELECT -1L, 1L, 'assistant', '{same}'"))
+    record = F.to_json(F.struct("role", "text"), {"ignoreNullFields": "false"})
+    turns = canonical_turns(rows.select("conv_id", "turn", record.alias("record")))
+    turns = turns.select("conv_id", "turn", F.posexplode("chat.turns").alias("at", "said")).select("conv_id", "turn", "at", "said.role", "said.text")
+    out = format_chats(turns, order_cols=("turn", "at"))
+    read, lost = read_turns(F.col("formatted")), F.array_join(loss_texts(F.col("formatted"), F.col("loss_mask")), "")
+    said = F.array_join(F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    out = out.select("conv_id", "formatted", read.alias("read"), lost.alias("lost"))
+    return out.select(
+        "conv_id", F.size("read").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("lost").cast("long").alias("loss_chars"),
+        F.sha2(F.col("lost"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+ORACLE_SQL["op9_chat_formatting"] = r"""
+WITH c AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, length(regexp_replace(text, '([<\[])(\\*)(/?(?:s>|(?:INST|SYS|OUT|TURN|BODY)\]))', '\1\\\2\3', 'g')) AS n,
+    CASE role WHEN 'user' THEN 4 WHEN 'system' THEN 3 WHEN 'assistant' THEN 3 ELSE 4 END AS m,
+    CASE WHEN role IN ('user', 'system', 'assistant') THEN 0 ELSE length(regexp_replace(role, '([<\[])(\\*)(/?(?:s>|(?:INST|SYS|OUT|TURN|BODY)\]))', '\1\\\2\3', 'g')) + 6 END AS r
+  FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(n + 2 * m + r + 14) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""

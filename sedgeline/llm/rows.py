@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
+from ..session import ship
+
 
 def annotate(docs: DataFrame, run: Callable[[pa.Array], Iterator[dict[str, pa.Array]]], fields: str, out_col: str, text_col: str = "text") -> DataFrame:
     """``docs`` with a struct column ``out_col`` that ``run`` makes from the texts.
@@ -18,6 +20,7 @@ def annotate(docs: DataFrame, run: Callable[[pa.Array], Iterator[dict[str, pa.Ar
     arrays by field. All that a row has passes through as it is, whatever its
     columns are called; only a column with the name ``out_col`` is replaced.
     """
+    ship(docs.sparkSession)
     own = [c for c in docs.columns if c != out_col]
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"))
     kind = _parse_datatype_string(f"struct<{fields}>")

@@ -11,6 +11,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a temporary one only where it is unset (tests, one machine)."""
@@ -25,6 +27,7 @@ class Scratch:
     """Tables of one operator's run; each can be dropped once what follows it is written."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark, self.root, self.paths = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", {}
 
     def save(self, df: DataFrame, name: str) -> DataFrame:

@@ -27,8 +27,9 @@ NAMES = (
 class Lines:
     """Lines of a chunk of texts: row, byte range, words, bytes by class, hash of the line's words."""
 
-    def __init__(self, data: np.ndarray, off: np.ndarray):
-        w = words(data, off, SPACED)
+    def __init__(self, data: np.ndarray, off: np.ndarray, lower: bool = True):
+        w = words(data, off, SPACED, lower)
+        self.data = data
         n_docs = len(off) - 1
         new = np.zeros(len(data) + 1, dtype=bool)
         new[1:][data == 0x0A] = True
