@@ -25,7 +25,7 @@ from .scratch import Scratch
 from .text import ALNUM, LOWER, chunks, mix, prefix, span_hash, words
 
 #: Bounds of the model: examples of each class at most (those of the least id hashes), terms, and nearest examples that vote.
-EXAMPLES, TERMS, NEAREST = 3_000, 1_024, 15
+EXAMPLES, TERMS, NEAREST = 3_000, 512, 15
 BLOCK = 64
 _STARTS = (4, 5, 6)
 FIELDS = "score double, neighbours array<struct<id:long,toxic:int,cosine:double>>"
@@ -110,24 +110,44 @@ class Index:
     def nearest(self, t: np.ndarray, q: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the greatest cosine above 0, exactly, and their cosines; fewer if fewer share a term."""
         bound = q @ self.most[t]
-        got_i, got_s, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(got_i) >= k and bound[b] <= least + 1e-12:
-                break
+        order = np.argsort(-bound, kind="stable")
+        got_i, got_s = np.zeros(0, np.int64), np.zeros(0)
+
+        def take(rows: np.ndarray, s: np.ndarray) -> None:
+            nonlocal got_i, got_s
+            keep = (s > 0) & (rows != without)
+            got_i, got_s = np.concatenate([got_i, rows[keep]]), np.concatenate([got_s, s[keep]])
+            top = np.lexsort((got_i, -got_s))[:k]
+            got_i, got_s = got_i[top], got_s[top]
+
+        # the blocks of the greatest bounds one by one, until the k-th best rules most others out
+        tried = 0
+        for b in order[:2]:
             s = np.zeros(BLOCK)
             for i, w in zip(t, q, strict=True):
                 rows, v, edge = self.post[i]
                 x, y = edge[b], edge[b + 1]
                 s[rows[x:y] - b * BLOCK] += w * v[x:y]
-            at = np.flatnonzero(s > 0)
-            at = at[at + b * BLOCK != without]
-            got_i, got_s = np.concatenate([got_i, at + b * BLOCK]), np.concatenate([got_s, s[at]])
-            if len(got_i) > k:
-                top = np.lexsort((got_i, -got_s))[:k]
-                got_i, got_s = got_i[top], got_s[top]
-            least = got_s.min() if len(got_s) >= k else 0.0
-        top = np.lexsort((got_i, -got_s))
-        return got_i[top], np.minimum(got_s[top], 1.0)
+            take(np.arange(b * BLOCK, (b + 1) * BLOCK), s)
+            tried += 1
+        least = got_s[-1] if len(got_s) >= k else 0.0
+        open_blocks = order[tried:][bound[order[tried:]] > max(least - 1e-12, 0)]
+        if len(open_blocks):
+            # the blocks left, term by term over their postings
+            mark = np.zeros(len(bound), dtype=bool)
+            mark[open_blocks] = True
+            s = np.zeros(len(bound) * BLOCK)
+            for i, w in zip(t, q, strict=True):
+                rows, v, edge = self.post[i]
+                if len(open_blocks) < len(bound) // 8:
+                    for b in open_blocks:
+                        x, y = edge[b], edge[b + 1]
+                        s[rows[x:y]] += w * v[x:y]
+                else:
+                    s[rows] += w * v
+            rows = np.flatnonzero((s > 0) & mark[np.arange(len(s)) // BLOCK])
+            take(rows, s[rows])
+        return got_i, np.minimum(got_s, 1.0)
 
     def vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
         w = self.weight[near] / (0.05 + 1 - cosine)
@@ -201,7 +221,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, trains: Column, id_col: str
     held = sample.mapInArrow(_pairs(None), schema).groupBy("term").agg(F.sum("toxic").alias("a"), F.count("*").alias("ab"))
     share = n[1] / (n[0] + n[1])
     chi = (F.col("a") - F.col("ab") * share) ** 2 / (F.col("ab") * share * (1 - share) * (1 - F.col("ab") / (n[0] + n[1] + 1)))
-    best = held.where("ab >= 4").withColumn("chi", chi).where("chi > 12").orderBy(F.desc("chi"), "term").limit(n_terms).select("term").collect()
+    best = held.where("ab >= 4").withColumn("chi", chi).where("chi > 20").orderBy(F.desc("chi"), "term").limit(n_terms).select("term").collect()
     if not best:
         none.plain = total.get(1, 0) / sum(total.values())
         return none
