@@ -31,8 +31,8 @@ from .text import SPACED, chunks, words
 WINDOW, GRID, DEPTH, END_ID = 2048, 64, 4, 1
 UNITS = WINDOW // GRID
 #: The words of which a worker keeps the ids; the kept ones are dropped together when there are more.
-KEPT_WORDS = 1_500_000
-TEXT_CHUNK = 1 << 23
+KEPT_WORDS = 600_000
+TEXT_CHUNK = 1 << 21
 ROWS_A_BUCKET = 500_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, parts binary"
 
@@ -82,9 +82,8 @@ class WordIds:
             ids, size = self._encode([raw[s:e].decode() for s, e in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)])
             first = np.cumsum(size) - size + len(self.pool)
             self.pool = np.concatenate([self.pool, ids])
-            merged = np.concatenate([self.hash, uniq[~known]])
-            order = np.argsort(merged, kind="stable")
-            self.hash, self.first, self.size = merged[order], np.concatenate([self.first, first])[order], np.concatenate([self.size, size])[order]
+            at = np.searchsorted(self.hash, uniq[~known])
+            self.hash, self.first, self.size = np.insert(self.hash, at, uniq[~known]), np.insert(self.first, at, first), np.insert(self.size, at, size)
             place = np.searchsorted(self.hash, uniq)
         n_docs = len(off) - 1
         size = np.concatenate([self.size[place][inverse], np.ones(n_docs, np.int64)])
