@@ -12,7 +12,7 @@ a choice signs those too.
 
 Equal sets are one node before any signature is compared. In each bucket of a
 signature the best connected node is the hub, and the others are compared with
-it alone. What is left are buckets that these links have not made one
+it alone; a small bucket gives all its pairs. What is left are buckets that these links have not made one
 component: there the nodes of different components are compared. So no link
 between components is lost and no clique is written out. Before sets are
 fetched, pairs must pass a parity sketch: each shingle flips one of its 256
@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations
+from itertools import chain, combinations
 from math import exp
 
 import numpy as np
@@ -37,6 +37,10 @@ from .scratch import Scratch
 from .text import SPACED, chunks, mix, shingles, words
 
 SKETCH = ["node", "size", "s0", "s1", "s2", "s3"]
+#: Share of sets that may sign empty choices too, and shingles that a choice of parts should hold, so that few unlike sets agree in one.
+SPARSE, FULL = 1e-2, 3
+#: Buckets of at most so many nodes give all their pairs at once.
+PAIRED = 6
 _NODE = np.uint64(0xA24BAED4963EE407)
 
 
@@ -55,15 +59,17 @@ def bands(percent: int, most: int) -> np.ndarray:
     while not out or before <= most:
         hi = lo * 100 // percent
         k = 2 * hi * (100 - percent) // (100 + percent)
-        n2 = 4 if k <= 2 else 3 if k <= 8 else 2
+        for n2 in (2, 3, 4):  # the fewest parts whose choices hold FULL shingles of the least set
 
-        def miss(e: int, n2: int = n2, k: int = k, least: int = before) -> float:
-            groups = k // 2 + 1 + e
-            return _tail(groups * n2 * exp(-least * (n2 - 1) / n2 / groups), e)
+            def miss(e: int, n2: int = n2, k: int = k, least: int = before) -> float:
+                groups = k // 2 + 1 + e
+                return _tail(groups * n2 * exp(-least * (n2 - 1) / n2 / groups), e)
 
-        spare = next((e for e in range(k + 2) if miss(e) < 1e-4), None)
-        if spare is None:
-            spare = min(range(k + 2), key=miss)
+            spare = next((e for e in range(k + 2) if miss(e) < SPARSE), None)
+            if spare is None:
+                spare = min(range(k + 2), key=miss)
+            if before * (n2 - 1) / n2 / (k // 2 + 1 + spare) >= FULL:
+                break
         out.append((hi, k // 2 + 1 + spare if k else 0, n2, spare))
         before, lo = lo, hi + 1
     return np.array(out, dtype=np.int64)
@@ -161,27 +167,40 @@ def _sets(n: int):
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in order of (sig, node): the distinct ones of which the signature has two nodes or more. Holds one row over, whatever a bucket's size."""
-    sig, node, like = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    """From rows in order of (sig, node): the pairs (node, other) of buckets of at most PAIRED distinct nodes, and the rows (sig, node) of larger ones.
 
-    def out(s, n, keep):
-        return pa.RecordBatch.from_arrays([pa.array(s[keep]), pa.array(n[keep])], ["sig", "node"])
+    Whatever a bucket's size, no more than PAIRED rows are held over.
+    """
+    sig, node, going = np.zeros(0, np.int64), np.zeros(0, np.int64), False  # going: the first row is of a large bucket, and is out
+
+    def out(s, n, other=None):
+        none = pa.nulls(len(n), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(s) if other is None else none, pa.array(n), none if other is None else pa.array(other)], ["sig", "node", "other"])
 
-    for b in batches:
-        sig = np.concatenate([sig, b.column(0).to_numpy()])
-        node = np.concatenate([node, b.column(1).to_numpy()])
+    for b in chain(batches, (None,)):
+        if b is not None:
+            sig, node = np.concatenate([sig, b.column(0).to_numpy()]), np.concatenate([node, b.column(1).to_numpy()])
+        if not len(sig):
+            continue
         new = np.ones(len(sig), dtype=bool)
         new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
         sig, node = sig[new], node[new]
-        before = np.zeros(len(sig), dtype=bool)
-        before[1:] = sig[1:] == sig[:-1]
-        before[: len(like)] = like
-        after = np.zeros(len(sig), dtype=bool)
-        after[:-1] = sig[1:] == sig[:-1]
-        yield out(sig[:-1], node[:-1], (before | after)[:-1])
-        sig, node, like = sig[-1:], node[-1:], before[-1:]
-    if len(sig):
-        yield out(sig, node, like)
+        first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+        size = np.diff(np.append(first, len(sig)))
+        large = size > PAIRED
+        large[0] |= going
+        rows = np.repeat(large, size)
+        rows[0] &= not going
+        done = np.ones(len(first), dtype=bool)
+        done[-1] = b is None
+        yield out(sig[rows], node[rows])
+        for n in range(2, PAIRED + 1):
+            at = first[done & ~large & (size == n)]
+            for i, j in combinations(range(n), 2) if len(at) else ():
+                yield out(None, node[at + i], node[at + j])
+        going = bool(large[-1]) and b is not None
+        keep = len(sig) - 1 if going else first[-1]
+        sig, node = sig[keep:], node[keep:]
 
 
 def _verified(percent: int):
@@ -229,10 +248,13 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     members = scratch.save(texts.mapInArrow(_members(n), "id long, n_shingles long, node long"), "members")
     signed = texts.select("id", "text").mapInArrow(_signed(n, percent), "sig long, node long")
-    multi = scratch.save(signed.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_shared, "sig long, node long"), "multi")
+    shared = scratch.save(signed.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_shared, "sig long, node long, other long"), "shared")
+    few = scratch.save(shared.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct(), "few")
+    multi = scratch.save(shared.where("other IS NULL").select("sig", "node"), "multi")
+    scratch.drop(shared)
 
     # the sets of nodes that share a signature, each from one of its rows
-    active = multi.select("node").distinct()
+    active = multi.select("node").union(few.select("a")).union(few.select("b")).distinct()
     source = members.join(active, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")).where("id IS NOT NULL")
     source = scratch.save(source, "source")
     wanted = _small(source.select("id").distinct(), source.count())
@@ -257,7 +279,10 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     hub = multi.join(degree, "node").groupBy("sig").agg(F.max(F.struct("degree", *SKETCH)).alias("hub")).select("sig", "hub.*")
     x, y = hub.alias("x"), multi.alias("y")
     pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") != F.col("y.node")) & may_link("x", "y"))
-    edges = linked(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+    of_hubs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    sketch = sets.select(SKETCH)
+    near = few.join(sketch.alias("x"), F.col("a") == F.col("x.node")).join(sketch.alias("y"), F.col("b") == F.col("y.node")).where(may_link("x", "y")).select("a", "b")
+    edges = linked(of_hubs.union(near))
     label = components(edges, scratch)
 
     # buckets that hold more than one component yet: the nodes of different ones
