@@ -15,6 +15,7 @@ from .ngram_jaccard import ngram_jaccard_join
 from .packing import pack
 from .quality import crc_mod, fit_quality, score_quality
 from .secrets import joined, scan_secrets
+from .substrings import remove_repeats
 from .toxicity import fit_toxicity, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,3 +168,9 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(sum(n + 2 * m + r + 14) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+
+@query
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(table(spark, sf_dir, "documents"), size=200, keep_bytes=False)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
