@@ -71,3 +71,36 @@ def carry_forward(cells: DataFrame, cell: str, pos: str, key: str, value: str, o
     """The first value of the key earlier in the cell, such as the genus that an initial stands for."""
     w = Window.partitionBy(cell, key).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
     return cells.withColumn(out, F.first(value, ignorenulls=True).over(w))
+
+
+def write_back(updates: DataFrame, rows: DataFrame, update: str, row: str, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(matched, review) of updates to rows: by the first key that hits any row; more than one row goes to review, as does none.
+
+    matched: update, row, basis. review: update, n_rows, reason.
+    """
+    hits = match_tiers(updates, rows, update, row, [(k, k, k) for k in keys])
+    n = hits.groupBy(update).agg(F.countDistinct(row).alias("n_rows"), F.min(row).alias(row), F.min("basis").alias("basis"))
+    n = updates.select(update).distinct().join(n, update, "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)).cast("long"))
+    review = n.where("n_rows <> 1").select(update, "n_rows", F.when(F.col("n_rows") == 0, "no row").otherwise("ambiguous").alias("reason"))
+    return n.where("n_rows = 1").select(update, row, "basis"), review
+
+
+def disposition(n_rows: Column, kind: Column, is_new: Column) -> Column:
+    """What becomes of a cluster: known, ambiguous, new, provisional or left out."""
+    return (
+        F.when(n_rows == 1, F.when(is_new, "update").otherwise("already there"))
+        .when(n_rows > 1, "ambiguous")
+        .when(kind == "named", "new")
+        .when(kind == "provisional", "provisional")
+        .otherwise("insufficient")
+    )
+
+
+def mixture_cause(genera: Column, epithets: Column, names: Column) -> Column:
+    """Why a cluster holds several names, from its counts of distinct genera, epithets and names."""
+    return (
+        F.when(names <= 1, "pure")
+        .when(genera > 1, F.when(epithets == 1, "same epithet in other genera").otherwise("several genera"))
+        .when(epithets > 1, "several species of one genus")
+        .otherwise("spelling")
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -34,3 +34,31 @@ def common_ancestor(spark: SparkSession, edges: DataFrame, members: DataFrame, g
     n = members.groupBy(group).agg(F.countDistinct("node").alias("n"))
     above = members.select(group, "node").distinct().join(up, "node").groupBy(group, "ancestor").agg(F.count("*").alias("k"), F.max("distance").alias("far"))
     return above.join(n, group).where("k = n").groupBy(group).agg(F.min_by("ancestor", F.struct("far", "ancestor")).alias("node"))
+
+
+def arcs(tips: DataFrame, tree: str, pos: str, member: str) -> DataFrame:
+    """(tree, first, last, n): runs of members around a circle of positions 1..n; a run over the seam is one arc."""
+    w = Window.partitionBy(tree)
+    size = tips.groupBy(tree).agg(F.max(pos).alias("_n"))
+    island = tips.where(member).withColumn("_g", F.col(pos) - F.row_number().over(w.orderBy(pos)))
+    runs = island.groupBy(tree, "_g").agg(F.min(pos).alias("first"), F.max(pos).alias("last")).join(size, tree)
+    # where the first run begins at 1 and another ends at n, they are one
+    head = F.max(F.when((F.col("first") == 1) & (F.col("last") < F.col("_n")), F.col("last"))).over(w)
+    tail = F.max(F.when((F.col("last") == F.col("_n")) & (F.col("first") > 1), 1)).over(w)
+    seam = head.isNotNull() & tail.isNotNull()
+    marked = runs.withColumn("_seam", seam).withColumn("_head", head)
+    ended = marked.where(~(F.col("_seam") & (F.col("first") == 1)))
+    over = F.col("_seam") & (F.col("last") == F.col("_n"))
+    return ended.select(tree, "first", F.when(over, F.col("_head")).otherwise(F.col("last")).alias("last"), (F.col("last") - F.col("first") + 1 + F.when(over, F.col("_head")).otherwise(0)).alias("n"))
+
+
+def prune(spark: SparkSession, edges: DataFrame, tips: DataFrame) -> DataFrame:
+    """(parent, child) of the tree over the kept tips (node) alone, with nodes of one child left out; the root of what is left has a null parent."""
+    up = ancestors(spark, edges)
+    kept = up.join(tips, "node", "left_semi").select(F.col("ancestor").alias("node")).distinct()
+    kept = kept.union(up.join(tips, "node", "left_semi").join(edges.select(F.col("child").alias("ancestor"), "parent"), "ancestor").select("parent")).distinct()
+    children = edges.join(kept.select(F.col("node").alias("child")), "child", "left_semi").groupBy("parent").agg(F.count("*").alias("k")).where("k > 1")
+    stays = children.select(F.col("parent").alias("node")).union(tips.select("node")).distinct()
+    above = up.where("distance > 0").select("node", "ancestor", "distance").join(stays.select(F.col("node").alias("ancestor")), "ancestor", "left_semi")
+    nearest = above.groupBy("node").agg(F.min_by("ancestor", "distance").alias("parent"))
+    return stays.join(nearest, "node", "left").select("parent", F.col("node").alias("child"))
