@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import terms
 from ..functions import text as tx
 from ..operators import resolve, trees
 from .queries import _ABBR, _KEYED, _TREE, _UP, _table, query
@@ -104,3 +105,67 @@ def appended_values(spark, sf_dir):
     p = _table(spark, sf_dir, "part")
     a, b = F.array("p_name", "p_brand"), F.array(F.upper("p_name"), F.col("p_type"), F.split_part("p_name", F.lit(" "), F.lit(1)), F.concat("p_brand", F.lit("0")))
     return p.select(F.col("p_partkey").alias("id"), F.array_join(resolve.append_values(a, b), "|").alias("appended"), F.array_join(resolve.novel_values(b, a), "|").alias("novel"))
+
+
+_TERMS = "(SELECT p_partkey AS id, CASE p_partkey % 11 WHEN 0 THEN 'broadly rounded posterior, oval' WHEN 1 THEN 'Pear-shaped (fresh)' WHEN 2 THEN 'short cylindrical' WHEN 3 THEN 'round' WHEN 4 THEN 'ellipsoidal' WHEN 5 THEN 'slender rod' WHEN 6 THEN 'kidney' WHEN 7 THEN 'attenuated' WHEN 8 THEN '' WHEN 9 THEN 'egg shaped' ELSE p_type END AS term FROM part)"
+
+
+@query(
+    f"""WITH x AS (SELECT id, term, trim(regexp_replace(regexp_replace(lower(term), '\\(.*?\\)', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM {_TERMS})
+  SELECT id, CASE WHEN regexp_matches(t, 'ovo[- ]?cylindric|oval[- ]?cylindric|barrel|short[- ]?cylindric') THEN 'Ovocylindrical' WHEN regexp_matches(t, 'pyriform|pear|flask') THEN 'Pyriform' WHEN regexp_matches(t, 'spheric|globular|coccoid') OR t = 'round' THEN 'Spherical'
+    WHEN regexp_matches(t, 'ellips|elliptic') THEN 'Elliptical' WHEN regexp_matches(t, 'rod|bacill|cylindric|tubular|narrow|slender|needle|straight') THEN 'Rod-shaped' WHEN regexp_matches(t, 'oval|ovoid|egg[- ]?shape|oblong|conical') THEN 'Oval' WHEN regexp_matches(t, 'kidney|spiral|wedge') THEN 'Other' END AS class FROM x"""
+)
+def shape_terms(spark, sf_dir):
+    x = spark.sql(_TERMS.replace("FROM part)", "FROM {part})")[1:-1], part=_table(spark, sf_dir, "part"))
+    return x.select("id", terms.shape_class(F.col("term")).alias("class"))
+
+
+@query("SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'Chordata' WHEN 1 THEN 'Bryozoa' WHEN 2 THEN 'Mollusca' ELSE 'Annelida' END AS phylum FROM part")
+def phylum_names(spark, sf_dir):
+    n = F.element_at(F.array(*map(F.lit, ("Craniata", " ectoprocta", "MOLLUSCA", "Echiura"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), terms.phylum(n).alias("phylum"))
+
+
+_DICT = "(SELECT 'small' AS alias, 'size' AS category, true AS weak UNION ALL SELECT 'ring', 'metal', false UNION ALL SELECT 'small ring', 'jewel', false UNION ALL SELECT 'widget', 'tool', false UNION ALL SELECT 'red', 'colour', true UNION ALL SELECT 'economy', 'grade', false)"
+
+
+@query(
+    f"""WITH w AS (SELECT p_partkey AS id, string_split(lower(p_name || ' ' || p_type), ' ') AS w FROM part), r AS (SELECT id, i, n, array_to_string(w[i:i + n - 1], ' ') AS alias FROM (SELECT id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) v(n) WHERE len(w) >= n)),
+  h AS (SELECT id, category, r.alias, row_number() OVER (PARTITION BY id ORDER BY weak, i, n DESC, r.alias) AS k FROM r JOIN {_DICT} d ON r.alias = d.alias) SELECT id, category, alias FROM h WHERE k = 1"""
+)
+def first_terms(spark, sf_dir):
+    cells = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("t"))
+    return terms.first_term(cells, spark.sql(_DICT[1:-1]), "id", "t")
+
+
+@query(
+    f"""WITH n AS (SELECT id, nm FROM {duck('names')}), f AS (SELECT DISTINCT string_split(nm, ' ')[1] AS g, lower(coalesce(string_split(nm, ' ')[2], '')) AS e FROM n WHERE regexp_matches(nm, '^[A-Z][a-z-]{{2,}}( |$)')),
+  a AS (SELECT substr(g, 1, 1) AS i, count(DISTINCT g) AS k, min(g) AS o FROM f GROUP BY 1), x AS (SELECT substr(g, 1, 1) AS i, e, count(*) AS k, min(g) AS o FROM f WHERE e <> '' GROUP BY 1, 2),
+  s AS (SELECT id, substr(nm, 1, 1) AS i, regexp_extract(nm, '\\s+([a-z-]+)$', 1) AS e FROM n WHERE regexp_full_match(nm, '[A-Z]\\.?\\s+[a-z-]{{3,}}'))
+  SELECT id, CASE WHEN x.k = 1 THEN x.o || ' ' || s.e WHEN a.k = 1 THEN a.o || ' ' || s.e ELSE '' END AS expanded, CASE WHEN x.k = 1 THEN 'unique match' WHEN a.k = 1 THEN 'only candidate' ELSE 'ambiguous' END AS basis FROM s LEFT JOIN x ON s.i = x.i AND s.e = x.e LEFT JOIN a ON s.i = a.i"""
+)
+def expanded_initials(spark, sf_dir):
+    return terms.expand_initials(view(spark, sf_dir, "names"), "id", "nm")
+
+
+@query(
+    """SELECT coalesce(c, 'ALL') AS confidence, count(*) AS n, count(*) FILTER (a = b) AS exact, round(100.0 * count(*) FILTER (a = b) / count(*), 2) AS percent
+  FROM (SELECT CASE WHEN l_quantity > 30 THEN 'high' WHEN l_quantity > 10 THEN 'medium' ELSE 'low' END AS c, l_returnflag AS a, CASE WHEN l_linenumber % 3 = 0 THEN 'A' ELSE 'N' END AS b FROM lineitem) GROUP BY ROLLUP (c)"""
+)
+def accuracy_by_confidence(spark, sf_dir):
+    """Agreement by confidence, with a row for all, by one rollup."""
+    c = F.when(F.col("l_quantity") > 30, "high").when(F.col("l_quantity") > 10, "medium").otherwise("low")
+    same = F.col("l_returnflag") == F.when(F.col("l_linenumber") % 3 == 0, "A").otherwise("N")
+    x = _table(spark, sf_dir, "lineitem").select(c.alias("c"), same.alias("same"))
+    g = x.rollup("c").agg(F.count("*").alias("n"), F.count_if("same").alias("exact"))
+    return g.select(F.coalesce("c", F.lit("ALL")).alias("confidence"), "n", "exact", F.round(100.0 * F.col("exact") / F.col("n"), 2).alias("percent"))
+
+
+@query(
+    """SELECT country, count(*) FILTER (named) AS named, count(*) FILTER (NOT named) AS provisional FROM (SELECT o_custkey, n_name AS country, bool_or(o_orderstatus = 'F') AS named FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2) GROUP BY country"""
+)
+def country_counts(spark, sf_dir):
+    """Entities once for each country; the dimension is small and Catalyst broadcasts it by its statistics."""
+    j = _table(spark, sf_dir, "orders").join(_table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(_table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    unit = j.groupBy("o_custkey", F.col("n_name").alias("country")).agg(F.max(F.col("o_orderstatus") == "F").alias("named"))
+    return unit.groupBy("country").agg(F.count_if("named").alias("named"), F.count_if(~F.col("named")).alias("provisional"))
