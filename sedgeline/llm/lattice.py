@@ -254,7 +254,12 @@ def score_texts(docs: DataFrame, vocabulary: str, trains: Column, id_col: str =
     pieces.logp = pieces.logp + math.log1p(-end)
 
     values = scratch.save(vocab.mapInArrow(_valued(pieces, total), "h long, c long, base double, score double"), "values")
-    top = values.where("c > 1").orderBy(F.desc("c"), "h").limit(frequent).toPandas()
+    # the least count of a frequent word, from a histogram of eighths of powers of two, so that no more than ``frequent`` rows reach the driver
+    step = F.floor(F.log2("c") * 8).cast("int")
+    sizes = values.where("c > 1").groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect()
+    within = np.cumsum([r.n for r in sizes]) <= frequent
+    least = min((r.step for r, ok in zip(sizes, within, strict=True) if ok), default=1 << 30)
+    top = values.where("c > 1").where(step >= least).toPandas()
     order = np.argsort(top.h.to_numpy().view(np.uint64)) if len(top) else np.zeros(0, np.int64)
     shared = spark.sparkContext.broadcast((top.h.to_numpy(dtype=np.int64).view(np.uint64)[order], (top.c.to_numpy()[order] > 0).astype(float), top.base.to_numpy(dtype=float)[order], top.score.to_numpy(dtype=float)[order]))
 

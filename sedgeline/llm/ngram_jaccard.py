@@ -38,7 +38,7 @@ from .text import SPACED, chunks, mix, shingles, words
 
 SKETCH = ["node", "size", "s0", "s1", "s2", "s3"]
 #: Share of sets that may sign empty choices too, and shingles that a choice of parts should hold, so that few unlike sets agree in one.
-SPARSE, FULL = 1e-2, 3
+SPARSE, FULL = 1e-2, 1.5
 #: Buckets of at most so many nodes give all their pairs at once.
 PAIRED = 6
 _NODE = np.uint64(0xA24BAED4963EE407)
@@ -259,7 +259,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     source = scratch.save(source, "source")
     wanted = _small(source.select("id").distinct(), source.count())
     sets = texts.join(wanted, "id", "left_semi").mapInArrow(_sets(n), "node long, size long, s0 long, s1 long, s2 long, s3 long, set binary")
-    sets = scratch.save(sets.join(source.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    sets = scratch.save(sets, "sets")  # a node twice, where rows repeat an id, gives its pairs twice
     multi = multi.join(sets.select(SKETCH), "node")
 
     def may_link(x: str, y: str):
@@ -270,7 +270,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
 
     def linked(pairs: DataFrame) -> DataFrame:
         pairs = scratch.save(pairs.distinct(), "pairs")
-        near = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+        near = _small(pairs, pairs.count()).join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
         both = near.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
         return scratch.save(both.select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long"), "links")
 

@@ -28,8 +28,8 @@ from .text import buffers, chunks, prefix, span_hash
 K = 32
 #: Phrases end where a hash of PHRASE bytes is the least within RADIUS positions on either side.
 PHRASE, RADIUS = 4, 8
-#: Contexts go into one suffix array up to so many bytes; a gram with more is cut into blocks, whose windows are then compared by shuffle.
-BLOCK = 1 << 18
+#: Grams go into one suffix array until their contexts have so many bytes; a gram that has more than SPLIT is cut into blocks, whose windows are then compared by shuffle.
+BLOCK, SPLIT = 1 << 18, 1 << 22
 #: A table of at most so many rows, and spans, is broadcast (under 64 MB); beyond, joins are by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -165,8 +165,8 @@ def repeated(data: np.ndarray, off: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def _blocks(size: int, most: int):
-    """From contexts in order of (h, c): rows (h, c, first, last, w): runs of repeated windows; and, where a gram's contexts fill more than a block, a row for each other window with its hash w."""
+def _blocks(size: int, most: int, split: int):
+    """From contexts in order of (h, c): rows (h, c, first, last, w): runs of repeated windows; and, where a gram's contexts are cut into blocks, a row for each window of them with its hash w."""
 
     def work(h: list[int], c: list[int], raw: list[bytes], part: bool) -> pa.RecordBatch:
         data = np.frombuffer(b"".join(raw), dtype=np.uint8)
@@ -190,33 +190,29 @@ def _blocks(size: int, most: int):
         return pa.RecordBatch.from_arrays([pa.array(hs[rows[0]]), pa.array(cs[rows[0]]), pa.array(rows[1]), pa.array(rows[2]), w], ["h", "c", "first", "last", "w"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, c, raw, held, part = [], [], [], 0, False  # part: the last gram has a block out already
+        h, c, raw, held, part, gram = [], [], [], 0, False, None  # part: the gram has a block out already
         for b in batches:
             for x, y, z in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 if h and x == h[-1] and y == c[-1]:
                     continue
-                if held >= most:
-                    if x != h[-1]:
+                if x != gram:
+                    if h and (part or held >= most):
                         yield work(h, c, raw, part)
-                        h, c, raw, held, part = [], [], [], 0, False
-                    elif h[0] == x:  # one gram alone fills the block
+                        h, c, raw, held = [], [], [], 0
+                    part, gram = False, x
+                elif held >= split:
+                    k = h.index(x)
+                    if k:  # the grams before it have a block of their own
+                        yield work(h[:k], c[:k], raw[:k], False)
+                        h, c, raw = h[k:], c[k:], raw[k:]
+                        held = sum(map(len, raw))
+                    if held >= split:
                         yield work(h, c, raw, True)
                         h, c, raw, held, part = [], [], [], 0, True
-                    else:  # the gram goes on: it starts the next block
-                        k = h.index(x)
-                        yield work(h[:k], c[:k], raw[:k], part)
-                        h, c, raw, part = h[k:], c[k:], raw[k:], False
-                        held = sum(map(len, raw))
-                elif part and h and x != h[-1]:
-                    yield work(h, c, raw, True)
-                    h, c, raw, held, part = [], [], [], 0, False
-                elif part and not h:
-                    part = x == last
                 h.append(x)
                 c.append(y)
                 raw.append(z)
                 held += len(z)
-                last = x
         if h:
             yield work(h, c, raw, part)
 
@@ -251,7 +247,7 @@ def _removed(keep_bytes: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, size: int = 200, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = True, block: int = BLOCK) -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = 200, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = True, block: int = BLOCK, split: int = SPLIT) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, kept) for each row; kept are the bytes left, null without keep_bytes.
 
     A byte goes if a string of ``size`` bytes that covers it starts anywhere
@@ -272,7 +268,7 @@ def remove_repeats(docs: DataFrame, size: int = 200, id_col: str = "doc_id", tex
     wanted = live.where("kinds > 1").groupBy("at.t", "at.id").agg(F.collect_list(F.struct("h", "c", "at.first", "at.n")).alias("wanted"))
     wanted = scratch.save(wanted, "wanted")
     raw = texts.join(_small(wanted), ["t", "id"]).select("text", "wanted").mapInArrow(_fetched(size), "h long, c long, bytes binary")
-    found = raw.repartition("h").sortWithinPartitions("h", "c").mapInArrow(_blocks(size, block), "h long, c long, first long, last long, w long")
+    found = raw.repartition("h").sortWithinPartitions("h", "c").mapInArrow(_blocks(size, block, split), "h long, c long, first long, last long, w long")
     found = scratch.save(found, "found")
     # windows of grams that went over several blocks
     over = found.where("w IS NOT NULL")

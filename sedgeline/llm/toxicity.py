@@ -25,7 +25,7 @@ from .scratch import Scratch
 from .text import ALNUM, LOWER, chunks, mix, prefix, span_hash, words
 
 #: Bounds of the model: examples of each class at most (those of the least id hashes), terms, and nearest examples that vote.
-EXAMPLES, TERMS, NEAREST = 3_000, 512, 15
+EXAMPLES, TERMS, NEAREST = 1_200, 512, 15
 BLOCK = 64
 _STARTS = (4, 5, 6)
 FIELDS = "score double, neighbours array<struct<id:long,toxic:int,cosine:double>>"

@@ -40,11 +40,11 @@ def texts(seed):
     return out + out[20:26] + [out[30]] * 9
 
 
-@pytest.mark.parametrize("block", [1 << 18, 2500])
-def test_against_brute_force(spark, block):
+@pytest.mark.parametrize(("block", "split"), [(1 << 18, 1 << 22), (2500, 2500), (900, 5000)])
+def test_against_brute_force(spark, block, split):
     t = texts(block)
     df = spark.createDataFrame(list(enumerate(t)), "doc_id long, text string").repartition(3)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(df, block=block).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(df, block=block, split=split).collect()}
     want = brute(t, 200)
     assert len(got) == len(t)
     for i, w in enumerate(want):
