@@ -1,65 +1,72 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and word beginnings. The examples are a bounded sample of
-labelled rows; of their terms the ones that tell the labels apart best make up
-the vocabulary, and the inverse document frequencies are counted over all
-documents. A query visits blocks of examples in the order of the greatest
-cosine that any example of the block can have, and stops when no block left
-can reach the k-th best found. Votes are weighted by distance and by how far
-each class was sampled, and calibrated on the examples themselves, each with
-its own vote left out.
+Terms are words and word beginnings, all of them on both sides. The examples
+are a bounded sample of labelled rows, and the index holds every term of
+theirs; document frequencies are counted over all terms of all documents, so
+that a query's norm takes in also what no example has. The driver and the
+tasks hold the frequencies of the examples' terms and of the most frequent
+others; the rest of a norm comes from a join by shuffle. A query visits blocks
+of examples in the order of the greatest cosine that any example of the block
+can have, and leaves out those that can't reach the k-th best found. Votes are
+weighted by distance and by how far each class was sampled, and calibrated on
+the examples themselves, each with its own vote left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from .rows import annotate
 from .scratch import Scratch
 from .text import ALNUM, LOWER, chunks, mix, prefix, span_hash, words
 
-#: Bounds of the model: examples of each class at most (those of the least id hashes), terms, and nearest examples that vote.
-EXAMPLES, TERMS, NEAREST = 1_200, 512, 15
+#: Examples of each class at most (those of the least id hashes), and nearest examples that vote.
+EXAMPLES, NEAREST = 1_200, 15
 BLOCK = 64
+#: Terms outside the examples that are broadcast, the most frequent ones; the others are joined by shuffle.
+FREQUENT = 1 << 18
 _STARTS = (4, 5, 6)
 FIELDS = "score double, neighbours array<struct<id:long,toxic:int,cosine:double>>"
 
 
-def terms(data: np.ndarray, off: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, term hash or its index in the sorted ``known``, times in the row), by row: words, and the first 4, 5 and 6 bytes of longer ones."""
+def terms(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term hash, times in the row), by row: words, and the first 4, 5 and 6 bytes of longer ones."""
     data = LOWER[data]
     w = words(data, off, ALNUM, lower=False)
     sums = prefix(data)
-    rows, hashes = [], []
-    quick = np.zeros(1 << 20, dtype=bool)
-    if known is not None:
-        quick[known >> np.uint64(44)] = True
-    for n in (0, *_STARTS):
-        at = np.flatnonzero(w.end - w.start > n) if n else slice(None)
-        h = mix(span_hash(data, w.start[at], w.start[at] + n, sums) + np.uint64(n)) if n else w.hash
-        d = w.doc[at]
-        if known is not None:
-            near = np.flatnonzero(quick[h >> np.uint64(44)])
-            h, d = h[near], d[near]
-        rows.append(d)
-        hashes.append(h)
+    rows, hashes = [w.doc], [w.hash]
+    for n in _STARTS:
+        at = np.flatnonzero(w.end - w.start > n)
+        rows.append(w.doc[at])
+        hashes.append(mix(span_hash(data, w.start[at], w.start[at] + n, sums) + np.uint64(n)))
     doc, h = np.concatenate(rows), np.concatenate(hashes)
-    if known is not None:
-        place = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
-        same = known[place] == h if len(known) else np.zeros(len(h), bool)
-        doc, h = doc[same], place[same]
     order = np.lexsort((h, doc))
     doc, h = doc[order], h[order]
     first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]) if len(h) else np.zeros(0, np.int64)
     return doc[first], h[first], np.diff(np.append(first, len(h)))
 
 
+def find(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Index of each hash in a sorted table, -1 where it isn't there."""
+    if not len(table):
+        return np.full(len(h), -1)
+    at = np.minimum(np.searchsorted(table, h), len(table) - 1)
+    return np.where(table[at] == h, at, -1)
+
+
+def spans(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges start..end, one range after the other."""
+    n = end - start
+    return np.arange(n.sum()) + np.repeat(start - np.cumsum(n) + n, n)
+
+
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Non-decreasing steps (x, value) that fit y best, by pooling adjacent violators."""
     pools: list[list[float]] = []
@@ -74,79 +81,76 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
 
 @dataclass
 class Index:
-    """Postings by term of unit vectors, with each block's greatest weight."""
+    """Postings of unit vectors by term and block, with each block's greatest weight."""
 
     known: np.ndarray
     idf: np.ndarray
     ids: np.ndarray
     toxic: np.ndarray
     weight: np.ndarray
-    post: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+    rows: np.ndarray
+    v: np.ndarray
+    #: by term the range of its cells; by cell its block, greatest weight and range of postings
+    cells: np.ndarray
+    block: np.ndarray
     most: np.ndarray
+    edge: np.ndarray
     plain: float = 0.05
     steps: tuple = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
+    #: frequent terms that no example has, and the written frequencies (term, n) of those left, if any
+    other: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    other_idf: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    n_docs: int = 0
+    rare: DataFrame | None = None
 
     @staticmethod
-    def vector(idf: np.ndarray, t: np.ndarray, tf: np.ndarray) -> np.ndarray:
+    def vector(idf: np.ndarray, t: np.ndarray, tf: np.ndarray, outside: float = 0.0) -> np.ndarray:
+        """Weights of the terms t of a unit vector; outside: the sum of squares of what it has besides them."""
         v = (1 + np.log(tf)) * idf[t]
-        return v / np.sqrt((v**2).sum())
+        return v / np.sqrt((v**2).sum() + outside)
 
     @classmethod
     def build(cls, known, idf, ids, toxic, weight, rows, t, tf) -> Index:
         """rows, t, tf: sparse counts of the examples, by row."""
-        n_blocks = max(1, -(-len(ids) // BLOCK))
         v = (1 + np.log(np.maximum(tf, 1))) * idf[t]
         norm = np.sqrt(np.bincount(rows, weights=v**2, minlength=len(ids)))
         v = v / np.maximum(norm[rows], 1e-12)
-        post, most = [], np.zeros((len(known), n_blocks))
         order = np.lexsort((rows, t))
-        edge = np.searchsorted(t[order], np.arange(len(known) + 1))
-        for i in range(len(known)):
-            own = order[edge[i] : edge[i + 1]]
-            post.append((rows[own], v[own], np.searchsorted(rows[own], np.arange(n_blocks + 1) * BLOCK)))
-            np.maximum.at(most[i], rows[own] // BLOCK, v[own])
-        return cls(known, idf, ids, toxic, weight, post, most)
+        rows, t, v = rows[order], t[order], v[order]
+        cut = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (rows[1:] // BLOCK != rows[:-1] // BLOCK)]) if len(t) else np.zeros(0, np.int64)
+        most = np.maximum.reduceat(v, cut) if len(cut) else np.zeros(0)
+        return cls(known, idf, ids, toxic, weight, rows, v, np.searchsorted(t[cut], np.arange(len(known) + 1)), rows[cut] // BLOCK, most, np.append(cut, len(t)))
 
     def nearest(self, t: np.ndarray, q: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the greatest cosine above 0, exactly, and their cosines; fewer if fewer share a term."""
-        bound = q @ self.most[t]
-        order = np.argsort(-bound, kind="stable")
+        cell = spans(self.cells[t], self.cells[t + 1])
+        own = np.repeat(q, self.cells[t + 1] - self.cells[t])
+        n_blocks = max(1, -(-len(self.ids) // BLOCK))
+        block = self.block[cell]
+        bound = np.bincount(block, weights=own * self.most[cell], minlength=n_blocks)
         got_i, got_s = np.zeros(0, np.int64), np.zeros(0)
 
-        def take(rows: np.ndarray, s: np.ndarray) -> None:
+        def visit(blocks: np.ndarray) -> None:
             nonlocal got_i, got_s
-            keep = (s > 0) & (rows != without)
-            got_i, got_s = np.concatenate([got_i, rows[keep]]), np.concatenate([got_s, s[keep]])
+            mark = np.zeros(n_blocks, dtype=bool)
+            mark[blocks] = True
+            at = mark[block]
+            x, y = self.edge[cell[at]], self.edge[cell[at] + 1]
+            post = spans(x, y)
+            s = np.bincount(self.rows[post], weights=np.repeat(own[at], y - x) * self.v[post], minlength=len(self.ids))
+            rows = np.flatnonzero(s > 0)
+            rows = rows[rows != without]
+            got_i, got_s = np.concatenate([got_i, rows]), np.concatenate([got_s, s[rows]])
             top = np.lexsort((got_i, -got_s))[:k]
             got_i, got_s = got_i[top], got_s[top]
 
-        # the blocks of the greatest bounds one by one, until the k-th best rules most others out
-        tried = 0
-        for b in order[:2]:
-            s = np.zeros(BLOCK)
-            for i, w in zip(t, q, strict=True):
-                rows, v, edge = self.post[i]
-                x, y = edge[b], edge[b + 1]
-                s[rows[x:y] - b * BLOCK] += w * v[x:y]
-            take(np.arange(b * BLOCK, (b + 1) * BLOCK), s)
-            tried += 1
+        # the blocks of the greatest bounds first; their k-th best rules others out
+        order = np.argsort(-bound, kind="stable")
+        visit(order[:2])
         least = got_s[-1] if len(got_s) >= k else 0.0
-        open_blocks = order[tried:][bound[order[tried:]] > max(least - 1e-12, 0)]
-        if len(open_blocks):
-            # the blocks left, term by term over their postings
-            mark = np.zeros(len(bound), dtype=bool)
-            mark[open_blocks] = True
-            s = np.zeros(len(bound) * BLOCK)
-            for i, w in zip(t, q, strict=True):
-                rows, v, edge = self.post[i]
-                if len(open_blocks) < len(bound) // 8:
-                    for b in open_blocks:
-                        x, y = edge[b], edge[b + 1]
-                        s[rows[x:y]] += w * v[x:y]
-                else:
-                    s[rows] += w * v
-            rows = np.flatnonzero((s > 0) & mark[np.arange(len(s)) // BLOCK])
-            take(rows, s[rows])
+        left = order[2:][bound[order[2:]] > max(least - 1e-12, 0)]
+        if len(left):
+            visit(left)
         return got_i, np.minimum(got_s, 1.0)
 
     def vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
@@ -172,35 +176,54 @@ class Index:
         self.plain = float(((w * self.toxic[bare]).sum() + 0.1) / (w.sum() + 2))
 
 
-def _pairs(known: np.ndarray | None):
+def _pairs(*without: np.ndarray):
+    """(two columns as they are, term, tf) of the texts in the third column, without the terms of the sorted tables."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, _, data, off in chunks(b.column(2)):
-                doc, h, tf = terms(data, off, known)
+                doc, h, tf = terms(data, off)
+                for table in without:
+                    new = find(table, h) < 0
+                    doc, h, tf = doc[new], h[new], tf[new]
                 take = pa.array(doc + lo)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(h.astype(np.uint64).view(np.int64)), pa.array(tf, pa.int64())], ["id", "toxic", "term", "tf"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(h.view(np.int64)), pa.array(tf, pa.int64())], [*b.schema.names[:2], "term", "tf"])
 
     return run
 
 
-def _frequencies(known: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(len(known), dtype=np.int64), 0
-        for b in batches:
-            for lo, hi, data, off in chunks(b.column(0)):
-                df += np.bincount(terms(data, off, known)[1], minlength=len(known))
-                n += hi - lo
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(len(known)), -1)), pa.array(np.append(df, n))], ["term", "n"])
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, documents that have it), partly added up; the number of documents under null."""
+
+    def out(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["term", "n"])
+
+    h, n, rows = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+    for b in batches:
+        for lo, hi, data, off in chunks(b.column(0)):
+            new, times = np.unique(terms(data, off)[1], return_counts=True)
+            both = np.concatenate([h, new])
+            h, place = np.unique(both, return_inverse=True)
+            n = np.bincount(place, weights=np.concatenate([n, times]), minlength=len(h)).astype(np.int64)
+            rows += hi - lo
+            if len(h) > 1 << 20:
+                yield out(h, n)
+                h, n = h[:0], n[:0]
+    yield out(h, n)
+    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([rows], pa.int64())], ["term", "n"])
 
-    return run
 
+def _idf(n_docs: int, n: np.ndarray) -> np.ndarray:
+    return 1 + np.log((1 + n_docs) / (1 + n))
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples: int = EXAMPLES, n_terms: int = TERMS, k: int = NEAREST) -> Index:
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples: int = EXAMPLES, k: int = NEAREST, frequent: int = FREQUENT) -> Index:
     """The index over labelled rows for which ``trains`` (of the id) holds.
 
     A document is toxic if any of its labels is 1; null ids and labels are left
-    out. The driver holds the bounded sample's terms alone. Without examples of
-    both classes the vocabulary is empty, and every text has the same score.
+    out. The driver holds the bounded sample's terms and the ``frequent`` most
+    frequent others. Without examples of both classes the vocabulary is empty,
+    and every text has the same score.
     """
     scratch = Scratch(docs.sparkSession, "toxicity")
     marked = labels.where(trains & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))
@@ -216,23 +239,36 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, trains: Column, id_col: str
         none.plain = 0.5 if not n[0] and not n[1] else float(n[1] > 0)
         return none
 
-    # the terms that tell the classes apart best: chi-square of presence against label
-    schema = "id long, toxic int, term long, tf long"
-    held = sample.mapInArrow(_pairs(None), schema).groupBy("term").agg(F.sum("toxic").alias("a"), F.count("*").alias("ab"))
-    share = n[1] / (n[0] + n[1])
-    chi = (F.col("a") - F.col("ab") * share) ** 2 / (F.col("ab") * share * (1 - share) * (1 - F.col("ab") / (n[0] + n[1] + 1)))
-    best = held.where("ab >= 4").withColumn("chi", chi).where("chi > 20").orderBy(F.desc("chi"), "term").limit(n_terms).select("term").collect()
-    if not best:
-        none.plain = total.get(1, 0) / sum(total.values())
-        return none
-    known = np.sort(np.array([r.term for r in best], dtype=np.int64).view(np.uint64))
-    counts = {r.term: r.n for r in texts.select("text").mapInArrow(_frequencies(known), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    idf = np.array([1 + np.log((1 + counts[-1]) / (1 + counts[i])) for i in range(len(known))])
+    got = sample.mapInArrow(_pairs(), "id long, toxic int, term long, tf long").toArrow().to_pandas().drop_duplicates(["id", "term"])
+    hashes = got.term.to_numpy().view(np.uint64)
+    known = np.unique(hashes)
+    counted = scratch.save(texts.select("text").mapInArrow(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")), "counted")
+    n_docs = counted.where("term IS NULL").first().n
+    counted = counted.where("term IS NOT NULL")
+    listed = docs.sparkSession.createDataFrame(pa.table({"term": known.view(np.int64)}))
+
+    def held(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and frequencies, sorted by hash."""
+        t = df.select("term", "n").toArrow()
+        h, n = t["term"].to_numpy().view(np.uint64), t["n"].to_numpy()
+        order = np.argsort(h)
+        return h[order], n[order]
+
+    # an example's text may have none of the counted terms only where it has none at all
+    of_known = dict(zip(*(x.tolist() for x in held(counted.join(F.broadcast(listed), "term", "left_semi"))), strict=True))
+    idf = _idf(n_docs, np.array([of_known.get(h, 0) for h in known.tolist()], dtype=float))
+    others = counted.join(F.broadcast(listed), "term", "left_anti")
+    least, room, some_left = 1, frequent, False
+    for r in sorted(others.groupBy("n").count().collect(), key=lambda r: -r.n):
+        room -= r["count"]
+        if room < 0:
+            least, some_left = r.n + 1, True
+            break
+    other, n_other = held(others.where(F.col("n") >= least))
+    got = got.assign(term=np.searchsorted(known, hashes))
 
-    got = sample.mapInArrow(_pairs(known), schema).toPandas()  # at most n_terms numbers for each example
     all_rows = sample.select("id", "toxic").toPandas().sort_values(["id", "toxic"], kind="stable").drop_duplicates("id")
     # examples that share their rarest term stand together, so that blocks differ
-    got = got.drop_duplicates(["id", "term"])
     lead = got.sort_values(["id", "tf", "term"]).groupby("id").term.first() if len(got) else got.term
     all_rows = all_rows.assign(lead=all_rows.id.map(lead).fillna(-1)).sort_values(["lead", "id"], kind="stable")
     ids, toxic = all_rows.id.to_numpy(), all_rows.toxic.to_numpy().astype(np.int64)
@@ -243,6 +279,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, trains: Column, id_col: str
     rows, t, tf = rows[order], t[order], tf[order]
     weight = np.where(toxic == 1, total[1] / n[1], total[0] / n[0])
     index = Index.build(known, idf, ids, toxic, weight, rows, t, tf)
+    index.other, index.other_idf, index.n_docs = other, _idf(n_docs, n_other), n_docs
+    index.rare = others.where(F.col("n") < least) if some_left else None
     index.calibrate(rows, t, tf, k)
     return index
 
@@ -250,24 +288,43 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, trains: Column, id_col: str
 def score_toxicity(docs: DataFrame, index: Index, k: int = NEAREST, text_col: str = "text", out_col: str = "toxicity") -> DataFrame:
     """``docs`` with the struct ``out_col``: score (0 to 1) and the labelled neighbours that are its evidence.
 
-    A text without any term of the vocabulary, such as a null or empty one, has
-    no neighbours; its score is the share of toxic ones among such examples.
+    A text without any term of the examples, such as a null or empty one, has
+    no neighbours; its score is the share of toxic ones among examples without terms.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(index)
-
-    def run(text: pa.Array) -> Iterator[dict[str, pa.Array]]:
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(replace(index, rare=None))
+    own = docs.columns
+    if index.rare is None:
+        docs = docs.withColumn("_outside", F.lit(0.0))
+    else:
+        # equal keys are equal texts; the other columns spread the copies of one text
+        plain = [F.col(f"`{f.name}`") for f in docs.schema if isinstance(f.dataType, AtomicType)]
+        docs = docs.withColumns({"_key": F.xxhash64(*plain), "_text": F.md5(F.col(f"`{text_col}`"))})
+        pairs = docs.select("_key", "_text", F.col(f"`{text_col}`")).mapInArrow(_pairs(index.known, index.other), "_key long, _text string, term long, tf long").distinct()
+        idf = 1 + F.log((1 + F.lit(index.n_docs)) / (1 + F.coalesce("n", F.lit(0))))
+        outside = pairs.join(index.rare, "term", "left").groupBy("_key", "_text").agg(F.sum(((1 + F.log("tf")) * idf) ** 2).alias("_outside"))
+        outside = Scratch(spark, "toxicity").save(outside, "outside")
+        docs = docs.join(outside, ["_key", "_text"], "left").select(*(F.col(f"`{c}`") for c in own), F.coalesce("_outside", F.lit(0.0)).alias("_outside"))
+
+    def run(text: pa.Array, outside: pa.Array) -> Iterator[dict[str, pa.Array]]:
         ix = shared.value
         kind = pa.list_(pa.struct([("id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
+        rare = outside.to_numpy(zero_copy_only=False)
         for lo, hi, data, off in chunks(text):
-            doc, t, tf = terms(data, off, ix.known)
+            doc, h, tf = terms(data, off)
+            t = find(ix.known, h)
+            at = find(ix.other, h)
+            more = np.flatnonzero(at >= 0)
+            square = rare[lo:hi] + np.bincount(doc[more], weights=((1 + np.log(tf[more])) * ix.other_idf[at[more]]) ** 2, minlength=hi - lo)
+            doc, t, tf = doc[t >= 0], t[t >= 0], tf[t >= 0]
             edge = np.searchsorted(doc, np.arange(hi - lo + 1))
             scores, near = np.full(hi - lo, ix.plain), [[] for _ in range(hi - lo)]
             for d in np.flatnonzero(np.diff(edge)):
                 x, y = edge[d], edge[d + 1]
-                own, cosine = ix.nearest(t[x:y], Index.vector(ix.idf, t[x:y], tf[x:y]), k)
+                own, cosine = ix.nearest(t[x:y], Index.vector(ix.idf, t[x:y], tf[x:y], square[d]), k)
                 if len(own):
                     scores[d] = ix.score(ix.vote(own, cosine))
                     near[d] = [{"id": int(ix.ids[i]), "toxic": int(ix.toxic[i]), "cosine": float(c)} for i, c in zip(own, cosine, strict=True)]
             yield {"score": pa.array(scores), "neighbours": pa.array(near, kind)}
 
-    return annotate(docs, run, FIELDS, out_col, text_col)
+    return annotate(docs, run, FIELDS, out_col, text_col, "_outside")
