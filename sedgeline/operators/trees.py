@@ -5,16 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..llm.scratch import Scratch
+
 
 def ancestors(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """(node, ancestor, distance) for every node and all above it, itself at distance 0."""
-    return spark.sql(
-        """WITH RECURSIVE up(node, ancestor, distance) AS (
-             SELECT child, child, 0 FROM {edges}
-             UNION ALL SELECT up.node, e.parent, up.distance + 1 FROM up JOIN {edges} e ON up.ancestor = e.child)
-           SELECT * FROM up""",
-        edges=edges,
-    )
+    """(node, ancestor, distance) for every node and all above it, itself at distance 0.
+
+    Jumps double in length from step to step, so that a tree of any depth and
+    size takes as many joins as its depth has binary digits; each step is
+    written. Edges that go around in a circle raise ValueError.
+    """
+    scratch = Scratch(spark, "ancestors")
+    n = edges.count()
+    found = [edges.select(F.col("child").alias("node"), F.col("child").alias("ancestor"), F.lit(0).alias("distance"))]
+    jump, length = scratch.save(edges.select(F.col("child").alias("ancestor"), F.col("parent").alias("above")), "jump"), 1
+    while not jump.isEmpty():
+        if length > n:
+            raise ValueError("the edges have a circle")
+        up = found[0]
+        for more in found[1:]:
+            up = up.union(more)
+        found.append(scratch.save(up.join(jump, "ancestor").select("node", F.col("above").alias("ancestor"), (F.col("distance") + length).alias("distance")), "up"))
+        longer = jump.join(jump.select(F.col("ancestor").alias("above"), F.col("above").alias("top")), "above").select("ancestor", F.col("top").alias("above"))
+        longer = scratch.save(longer, "jump")
+        scratch.drop(jump)
+        jump, length = longer, 2 * length
+    up = found[0]
+    for more in found[1:]:
+        up = up.union(more)
+    return up
 
 
 def pure_subclades(spark: SparkSession, edges: DataFrame, members: DataFrame) -> DataFrame:
