@@ -4,7 +4,8 @@ The lexer reads lines that hold ``=`` or ``:`` as source or configuration
 syntax: name-literal pairs with ``=``, ``:=``, ``:`` or ``=>``, quoted or bare
 names and values, and sums of literals. A literal bound to a name is
 propagated to the names that are bound to that name, and is scored by the most
-sensitive name that it reaches.
+sensitive name that it reaches. The surest names report any literal of useful
+length that is no placeholder; for weaker ones its look counts too.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _LINE = re.compile(r"[^\n]*[:=][^\n]*")
 #: A literal is reported when the product of its name's and its own score reaches this.
 LEAST = 0.45
+#: A name of this score reports any literal of this length at least, whatever it looks like, that is no placeholder.
+SURE, USEFUL = 0.95, 6
 
 
 def name_score(name: str) -> float:
@@ -105,6 +108,8 @@ def lex(text: str) -> list[tuple[int, int]]:
         value = literal_score("".join(x[2] for x in reach))
         for s, e, one in reach:
             got = score * max(literal_score(one), value if len(reach) > 1 and len(one) >= 4 else 0.0)
+            if score >= SURE and one not in names and len(one.strip()) >= USEFUL and not PLACEHOLDER.search(one):  # a bare word is a name
+                got = score
             best[s, e] = max(best.get((s, e), 0.0), got)
     return sorted(k for k, v in best.items() if v >= LEAST)
 
