@@ -117,12 +117,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 13, text_co
 
     The windows are broadcast while they are at most ``BLOCK_WINDOWS``; a larger
     benchmark is scanned in blocks of items, each within that bound, one after
-    the other over all documents, and hits add up.
+    the other over all documents, and hits add up; what a block leaves is written
+    and its broadcast destroyed before the next one is collected.
     """
     spark = docs.sparkSession
     windows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text")).mapInArrow(_of_items(size), "item string, hash long, length int, words binary")
     windows = windows.groupBy("hash", "length", "words").agg(F.collect_set(F.coalesce("item", F.lit(""))).alias("items"), F.max(F.col("item").isNull()).alias("unnamed"))
-    windows = Scratch(spark, "benchmark").save(windows.select("hash", "length", "words", F.when(F.col("unnamed"), F.array_remove("items", "")).otherwise(F.col("items")).alias("items")), "windows")
+    scratch = Scratch(spark, "benchmark")
+    windows = scratch.save(windows.select("hash", "length", "words", F.when(F.col("unnamed"), F.array_remove("items", "")).otherwise(F.col("items")).alias("items")), "windows")
     n_blocks = -(-windows.count() // (BLOCK_WINDOWS // 2)) if windows.count() > BLOCK_WINDOWS else 1
     out = docs
     for block in range(n_blocks):
@@ -131,6 +133,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 13, text_co
         out = annotate(out, _scan(known), FIELDS, out_col if block == 0 else f"{out_col}_{block}", text_col)
         if block:
             out = _added(out, out_col, f"{out_col}_{block}", text_col)
+        if n_blocks > 1:
+            out = scratch.save(out, "hits")
+            known.destroy(blocking=True)
+            if block:
+                scratch.drop(written)
+            written = out
     return out
 
 

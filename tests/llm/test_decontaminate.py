@@ -65,3 +65,12 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate(docs, none).first().contamination.n_hit == 0
     assert decontaminate(docs.limit(0), none).count() == 0
+
+
+def test_blocks_are_written_one_by_one(spark, monkeypatch):
+    """No job holds the tables of several blocks: what is returned scans none of them again."""
+    monkeypatch.setattr(module, "BLOCK_WINDOWS", 40)
+    docs, items = case()
+    out = decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert "MapInArrow" not in out._jdf.queryExecution().toString()
+    assert out.count() == len(docs)
