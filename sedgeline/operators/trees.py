@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..llm.scratch import Scratch
+from ..scratch import Scratch
 
 
 def ancestors(spark: SparkSession, edges: DataFrame) -> DataFrame:

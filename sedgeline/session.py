@@ -9,9 +9,16 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+#: Arrow batches end at so many bytes, so that long texts don't fill an executor's memory; a setting of the session's own that is lower stays.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each context, so that their Python workers can import it wherever it is installed."""
+    """Sends this package to the executors, once for each context, so that their Python workers can import it wherever it is installed; bounds Arrow batches."""
     sc = spark.sparkContext
+    if sc._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH)) > BATCH_BYTES:
+        spark.conf.set(_BATCH, BATCH_BYTES)
     if getattr(sc, "_sedgeline_shipped", False):
         return
     here = Path(__file__).resolve().parent
