@@ -14,7 +14,7 @@ from sedgeline.llm.ngram_jaccard import ngram_jaccard_join
 from sedgeline.llm.packing import pack
 from sedgeline.llm.quality import crc_mod, fit_quality, score_quality
 from sedgeline.llm.queries import table, tokenizer_path
-from sedgeline.llm.scratch import Scratch
+from sedgeline.scratch import Scratch
 from sedgeline.llm.secrets import redacted, scan_secrets
 
 

@@ -12,12 +12,18 @@ a choice signs those too.
 
 Equal sets are one node before any signature is compared. In each bucket of a
 signature the best connected node is the hub, and the others are compared with
-it alone; a small bucket gives all its pairs. What is left are buckets that these links have not made one
-component: there the nodes of different components are compared. So no link
-between components is lost and no clique is written out. Before sets are
-fetched, pairs must pass a parity sketch: each shingle flips one of its 256
-bits, so two sketches differ in no more bits than the sets in shingles, and
-no linked pair can fail.
+it alone; a small bucket gives all its pairs. What is left are buckets that
+these links have not made one component. Small ones give their pairs of
+different components; a large one is cut by the signatures of another deal of
+the domain, which linked sets share as well, and the parts get hubs of their
+own, LEVELS times at most. So no link between components is lost and no clique
+is written out. Before sets are fetched, pairs must pass a parity sketch: each
+shingle flips one of its 256 bits, so two sketches differ in no more bits than
+the sets in shingles, and no linked pair can fail.
+
+Signatures that a sample of sets shows to be very common are dealt to several
+tasks, which hand their rows to the hub step unpaired; the sample decides only
+where a row goes.
 """
 
 from __future__ import annotations
@@ -33,14 +39,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import Scratch
-from .text import SPACED, chunks, mix, shingles, words
+from ..scratch import Scratch
+from .text import SPACED, chunks, lists, mix, shingles, words
 
 SKETCH = ["node", "size", "s0", "s1", "s2", "s3"]
 #: Share of sets that may sign empty choices too, and shingles that a choice of parts should hold, so that few unlike sets agree in one.
 SPARSE, FULL = 1e-2, 1.5
-#: Buckets of at most so many nodes give all their pairs at once.
-PAIRED = 6
+#: Buckets of at most so many nodes give all their pairs at once; after the hub step, of at most so many.
+PAIRED, OPEN = 6, 32
+#: Deals of the domain that cut large open buckets after the first one.
+LEVELS = 2
+#: One of so many sets is a sample that shows hot signatures: those of so many of its sets, and of a thousandth; rows of one that go to a task.
+SAMPLE, HOT, TASK_ROWS = 64, 32, 20_000
 _NODE = np.uint64(0xA24BAED4963EE407)
 
 
@@ -82,14 +92,14 @@ def nodes(doc: np.ndarray, h: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.n
     return size, mix(sums + size.astype(np.uint64) * _NODE)
 
 
-def signatures(doc: np.ndarray, h: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature) of all rows' sets, for each one's own band and the next."""
+def signatures(doc: np.ndarray, h: np.ndarray, size: np.ndarray, percent: int, level: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(row, signature) of all rows' sets, for each one's own band and the next; each level deals the domain anew."""
     if not len(h):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     table = bands(percent, int(size.max()))
     own = np.searchsorted(table[:, 0], size)
     rows, sigs = [], []
-    value, deal = mix(h), mix(h + np.uint64(0x632BE59BD9B4E019))
+    value, deal = mix(h), mix(h + np.uint64(0x632BE59BD9B4E019) + np.uint64(level))
     for step in (0, 1):
         band = own + step
         n1, n2, spare = (np.where(size > 0, table[band, i], 0) for i in (1, 2, 3))
@@ -129,24 +139,52 @@ def _chunked(batch: pa.RecordBatch, n: int):
         yield lo, hi, doc, h, *nodes(doc, h, hi - lo)
 
 
-def _members(n: int):
+def _members(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, _, _, size, node in _chunked(b, n):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array(node.view(np.int64), mask=size == 0)], ["id", "n_shingles", "node"])
+            for lo, hi, doc, h, size, node in _chunked(b, n):
+                chosen = (size > 0) & (node % np.uint64(SAMPLE) == 0)
+                keep = chosen[doc]
+                row, sig = signatures(doc[keep], h[keep], np.where(chosen, size, 0), percent)
+                order = np.argsort(row, kind="stable")
+                sample = lists(sig[order].view(np.int64), row[order], hi - lo, pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array(node.view(np.int64), mask=size == 0), sample], ["id", "n_shingles", "node", "sample"])
 
     return run
 
 
-def _signed(n: int, percent: int):
+def _signed(n: int, percent: int, hot: np.ndarray, tasks: np.ndarray):
+    """Rows (sig, node, deal): deal is the task of a hot signature that the node goes to, else -1."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # equal sets sign once as long as they are remembered
         for b in batches:
             for _, _, doc, h, size, node in _chunked(b, n):
-                first = np.zeros(len(node), dtype=bool)  # equal sets of a chunk sign once
-                first[np.unique(node, return_index=True)[1]] = True
+                first = np.zeros(len(node), dtype=bool)
+                which, at = np.unique(node, return_index=True)
+                first[[i for x, i in zip(which.tolist(), at.tolist(), strict=True) if x not in seen]] = True
+                seen = seen.union(which.tolist()) if len(seen) < 1 << 18 else set(which.tolist())
                 keep = first[doc]
                 row, sig = signatures(doc[keep], h[keep], np.where(first, size, 0), percent)
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(node[row].view(np.int64))], ["sig", "node"])
+                deal = np.full(len(sig), -1, dtype=np.int32)
+                if len(hot):
+                    place = np.minimum(np.searchsorted(hot, sig), len(hot) - 1)
+                    known = np.flatnonzero(hot[place] == sig)
+                    deal[known] = (mix(node[row[known]]) % tasks[place[known]].astype(np.uint64)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(node[row].view(np.int64)), pa.array(deal)], ["sig", "node", "deal"])
+
+    return run
+
+
+def _signed_sets(percent: int, level: int):
+    """(node, key): the signatures of another level, from rows (node, set)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size = np.array([len(x) // 8 for x in b.column(1).to_pylist()], dtype=np.int64)
+            h = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.uint64)
+            row, sig = signatures(np.repeat(np.arange(len(size)), size), h, size, percent, level)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(sig.view(np.int64))], ["node", "key"])
 
     return run
 
@@ -167,11 +205,11 @@ def _sets(n: int):
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in order of (sig, node): the pairs (node, other) of buckets of at most PAIRED distinct nodes, and the rows (sig, node) of larger ones.
+    """From rows (sig, node, deal) in order: the pairs (node, other) of buckets of at most PAIRED distinct nodes, and the rows (sig, node) of larger and of hot ones.
 
     Whatever a bucket's size, no more than PAIRED rows are held over.
     """
-    sig, node, going = np.zeros(0, np.int64), np.zeros(0, np.int64), False  # going: the first row is of a large bucket, and is out
+    sig, node, hot, going = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), False  # going: the first row is of a large bucket, and is out
 
     def out(s, n, other=None):
         none = pa.nulls(len(n), pa.int64())
@@ -179,15 +217,15 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in chain(batches, (None,)):
         if b is not None:
-            sig, node = np.concatenate([sig, b.column(0).to_numpy()]), np.concatenate([node, b.column(1).to_numpy()])
+            sig, node, hot = (np.concatenate([x, y]) for x, y in zip((sig, node, hot), (b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy() >= 0), strict=True))
         if not len(sig):
             continue
         new = np.ones(len(sig), dtype=bool)
         new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-        sig, node = sig[new], node[new]
+        sig, node, hot = sig[new], node[new], hot[new]
         first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
         size = np.diff(np.append(first, len(sig)))
-        large = size > PAIRED
+        large = (size > PAIRED) | hot[first]
         large[0] |= going
         rows = np.repeat(large, size)
         rows[0] &= not going
@@ -200,7 +238,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield out(None, node[at + i], node[at + j])
         going = bool(large[-1]) and b is not None
         keep = len(sig) - 1 if going else first[-1]
-        sig, node = sig[keep:], node[keep:]
+        sig, node, hot = sig[keep:], node[keep:], hot[keep:]
 
 
 def _verified(percent: int):
@@ -240,27 +278,32 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     a null or wordless text has none and links with nothing (n_equal is 1, its
     class is its own id). component_id is the least id that links reach; n_equal
     counts the rows with the same set. Rows that repeat an id are one document
-    of the class that any of them reaches; a null id is kept as a row, with a
-    null class where no other id is reached. Other columns are not read.
+    of the class that any of them reaches. A row of a null id links as any
+    other and has a null class where no id is reached. Ids are integers. Other
+    columns are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-jaccard")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    members = scratch.save(texts.mapInArrow(_members(n), "id long, n_shingles long, node long"), "members")
-    signed = texts.select("id", "text").mapInArrow(_signed(n, percent), "sig long, node long")
-    shared = scratch.save(signed.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_shared, "sig long, node long, other long"), "shared")
+    members = scratch.save(texts.mapInArrow(_members(n, percent), "id long, n_shingles long, node long, sample array<long>"), "members")
+    hot, tasks = _hot(members)
+    members = members.drop("sample")
+    signed = texts.mapInArrow(_signed(n, percent, hot, tasks), "sig long, node long, deal int")
+    shared = scratch.save(signed.repartition("sig", "deal").sortWithinPartitions("sig", "node").mapInArrow(_shared, "sig long, node long, other long"), "shared")
     few = scratch.save(shared.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct(), "few")
     multi = scratch.save(shared.where("other IS NULL").select("sig", "node"), "multi")
     scratch.drop(shared)
 
     # the sets of nodes that share a signature, each from one of its rows
     active = multi.select("node").union(few.select("a")).union(few.select("b")).distinct()
-    source = members.join(active, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")).where("id IS NOT NULL")
-    source = scratch.save(source, "source")
-    wanted = _small(source.select("id").distinct(), source.count())
-    sets = texts.join(wanted, "id", "left_semi").mapInArrow(_sets(n), "node long, size long, s0 long, s1 long, s2 long, s3 long, set binary")
+    source = scratch.save(members.join(active, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")), "source")
+    wanted = _small(source.select("id").where("id IS NOT NULL").distinct(), source.count())
+    sets = texts.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(_sets(n), _SETS)
+    bare = source.where("id IS NULL").select("node")
+    if not bare.isEmpty():  # nodes that no row with an id has
+        sets = sets.union(texts.where("id IS NULL").mapInArrow(_sets(n), _SETS).join(bare, "node", "left_semi").dropDuplicates(["node"]).select(sets.columns))
     sets = scratch.save(sets, "sets")  # a node twice, where rows repeat an id, gives its pairs twice
-    multi = multi.join(sets.select(SKETCH), "node")
+    sketch = sets.select(SKETCH)
 
     def may_link(x: str, y: str):
         """Bounds that every linked pair meets, on sizes and on the sketches."""
@@ -272,28 +315,42 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
         pairs = scratch.save(pairs.distinct(), "pairs")
         near = _small(pairs, pairs.count()).join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
         both = near.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
-        return scratch.save(both.select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long"), "links")
-
-    # each node with the hub of its bucket: the node that shares the most signatures
-    degree = multi.groupBy("node").agg(F.count("*").alias("degree"))
-    hub = multi.join(degree, "node").groupBy("sig").agg(F.max(F.struct("degree", *SKETCH)).alias("hub")).select("sig", "hub.*")
-    x, y = hub.alias("x"), multi.alias("y")
-    pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") != F.col("y.node")) & may_link("x", "y"))
-    of_hubs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    sketch = sets.select(SKETCH)
+        out = scratch.save(both.select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long"), "links")
+        scratch.drop(pairs)
+        return out
+
+    def with_hubs(buckets: DataFrame) -> DataFrame:
+        """Pairs of each node with the hub of its bucket: the node that shares the most signatures; none of one label."""
+        degree = buckets.groupBy("node").agg(F.count("*").alias("degree"))
+        hub = buckets.join(degree, "node").groupBy("sig").agg(F.max(F.struct("degree", *buckets.columns[1:])).alias("hub")).select("sig", "hub.*")
+        x, y = hub.alias("x"), buckets.alias("y")
+        apart = F.col("x.label") != F.col("y.label") if "label" in buckets.columns else F.col("x.node") != F.col("y.node")
+        return x.join(y, (F.col("x.sig") == F.col("y.sig")) & apart & may_link("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+    buckets = multi.join(sketch, "node").select("sig", *SKETCH)
     near = few.join(sketch.alias("x"), F.col("a") == F.col("x.node")).join(sketch.alias("y"), F.col("b") == F.col("y.node")).where(may_link("x", "y")).select("a", "b")
-    edges = linked(of_hubs.union(near))
-    label = components(edges, scratch)
-
-    # buckets that hold more than one component yet: the nodes of different ones
-    labelled = multi.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_sigs = labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
-    rest = labelled.join(open_sigs, "sig", "left_semi")
-    x, y = rest.alias("x"), rest.alias("y")
-    pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & may_link("x", "y"))
-    more = linked(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
-    if not more.isEmpty():
-        label = components(edges.union(more), scratch)
+    edges = linked(with_hubs(buckets).union(near))
+    for level in range(LEVELS + 1):
+        label = components(edges, scratch)
+        # buckets that hold more than one component yet
+        labelled = buckets.drop("label").join(label, "node", "left").withColumn("label", F.coalesce("label", "node")).select("sig", *SKETCH, "label")
+        open_sigs = labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("k")).where("lo <> hi").select("sig", "k")
+        rest = scratch.save(labelled.join(open_sigs, "sig"), "open")
+        small = rest if level == LEVELS else rest.where(F.col("k") <= OPEN)
+        x, y = small.alias("x"), small.alias("y")
+        pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & may_link("x", "y"))
+        more = linked(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+        large = rest.where(F.col("k") > OPEN).drop("k")
+        if level == LEVELS or large.isEmpty():
+            if not more.isEmpty():
+                label = components(edges.union(more), scratch)
+            break
+        # the next deal cuts the large ones, and the parts that still hold two components get hubs
+        again = sets.join(large.select("node").distinct(), "node", "left_semi").select("node", "set").mapInArrow(_signed_sets(percent, level + 1), "node long, key long").distinct()
+        finer = large.join(again, "node").select(F.xxhash64("sig", "key").alias("sig"), *SKETCH, "label")
+        mixed = finer.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
+        buckets = scratch.save(finer.join(mixed, "sig", "left_semi"), "buckets")
+        edges = edges.union(more).union(linked(with_hubs(buckets)))
 
     # the least id of each class; equal sets belong to one node
     per_node = members.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("n_equal"))
@@ -302,3 +359,16 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     classed = classed.join(by_label, "label").select("node", "n_equal", "component_id")
     out = members.join(classed, "node", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_equal", F.lit(1)).alias("n_equal"))
+
+
+_SETS = "node long, size long, s0 long, s1 long, s2 long, s3 long, set binary"
+
+
+def _hot(members: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures, sorted, of many of the sample's sets (a thousandth at least, so that they are few), and the tasks that each goes to."""
+    sample = members.where(F.size("sample") > 0).dropDuplicates(["node"])
+    most = max(HOT, sample.count() // 1000)
+    got = sample.select(F.explode("sample").alias("sig")).groupBy("sig").agg(F.count("*").alias("k")).where(F.col("k") >= most).toArrow()
+    sig, k = got["sig"].to_numpy().view(np.uint64), got["k"].to_numpy()
+    order = np.argsort(sig)
+    return sig[order], np.maximum(2, k[order] * SAMPLE // TASK_ROWS)

@@ -69,3 +69,26 @@ def test_empty_repeated_and_null_ids(spark):
     df = spark.createDataFrame([(None, "a b c"), (2, "a b c"), (2, "a b c"), (5, None)], "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in ngram_jaccard_join(df, 3, 90).collect())
     assert got == [(0, 1, 2), (2, 1, 2), (2, 1, 2), (5, 0, 5)]
+
+
+def test_open_buckets_and_hot_signatures(spark, monkeypatch):
+    """Every bucket that the first hubs leave open goes through the later deals, and sampled signatures to several tasks."""
+    from sedgeline.llm import ngram_jaccard as nj
+
+    monkeypatch.setattr(nj, "OPEN", 1)
+    monkeypatch.setattr(nj, "HOT", 1)
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    shared, rows = [word() for _ in range(120)], []
+    for _ in range(12):  # unlike texts of one passage, each with a near copy of its own
+        own = shared + [word() for _ in range(50)]
+        rows += [" ".join(own), " ".join([*own[:-1], word()])]
+    rows = list(enumerate(rows))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()}
+    assert got == brute(rows, 3, 90)
+
+
+def test_null_ids_link(spark):
+    near = [(5, "a b c d e f g h i j k l m"), (None, "a b c d e f g h i j k l n"), (2, "a b c d e f g h i j k o n"), (None, "x y z")]
+    got = ngram_jaccard_join(spark.createDataFrame(near, "doc_id long, text string"), 3, 60).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 2), (2, 2), (5, 2)]
