@@ -2,10 +2,13 @@
 
 The lexer reads lines that hold ``=`` or ``:`` as source or configuration
 syntax: name-literal pairs with ``=``, ``:=``, ``:`` or ``=>``, quoted or bare
-names and values, and sums of literals. A literal bound to a name is
-propagated to the names that are bound to that name, and is scored by the most
-sensitive name that it reaches. The surest names report any literal of useful
-length that is no placeholder; for weaker ones its look counts too.
+names and values, and sums of literals; elements that hold a literal are pairs
+too. A name that says nothing of its own (``value``, ``default``) stands for
+the name or key given beside it or for the name that its indented block is
+under. A literal bound to a name is propagated to the names that are bound to
+that name, and is scored by the most sensitive name that it reaches. The
+surest names report any literal of useful length that is no placeholder; for
+weaker ones its look counts too. Time is linear in the length of a text.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -37,18 +41,23 @@ SENSITIVE = {
 }
 #: What stands where a secret would stand but is none.
 PLACEHOLDER = re.compile(r"(?i)change.?me|example|placeholder|your[_-]|x{4,}|\*{3,}|<[^>]*>|\$\{|\{\{|^(?:true|false|none|null|undefined|redacted)$")
-_PAIR = re.compile(r"(?P<q>[\"']?)(?P<name>[A-Za-z_$][A-Za-z0-9_$.-]*)(?P=q)[ \t]*(?::=|=>|=(?!=)|:(?![:/]))[ \t]*")
-_TERM = re.compile(r"\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|([A-Za-z0-9_$./+=@!#%^&*~-]+)")
-_PLUS = re.compile(r"[ \t]*[+.][ \t]*(?=[\"'A-Za-z_$])")
+#: A name is tried from the start of its run of name characters alone, and nothing is given back: a long line is read once.
+_PAIR = re.compile(r"(?P<q>[\"']?)(?<![A-Za-z0-9_$.-])[0-9.-]*+(?P<name>[A-Za-z_$][A-Za-z0-9_$.-]*+)(?P=q)[ \t]*+(?::=|=>|=(?!=)|:(?![:/]))[ \t]*+")
+_TERM = re.compile(r"\"((?:[^\"\\\n]|\\.)*+)\"|'((?:[^'\\\n]|\\.)*+)'|([A-Za-z0-9_$./+=@!#%^&*~-]++)")
+_PLUS = re.compile(r"[ \t]*+[+.][ \t]*+(?=[\"'A-Za-z_$])")
 _NAME = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.-]*\Z")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
-_LINE = re.compile(r"[^\n]*[:=][^\n]*")
+_ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.-]*+)(?:[ \t][^<>\n]*+)?>([^<>\n]++)</")
+_LEAD = re.compile(r"[ \t]*+(?:- *+)?")
+#: Names that stand for another, and those that give it.
+GENERIC, GIVING = frozenset({"value", "val", "default", "data", "content", "text", "string"}), frozenset({"name", "key", "id", "field"})
 #: A literal is reported when the product of its name's and its own score reaches this.
 LEAST = 0.45
 #: A name of this score reports any literal of this length at least, whatever it looks like, that is no placeholder.
 SURE, USEFUL = 0.95, 6
 
 
+@lru_cache(1 << 14)
 def name_score(name: str) -> float:
     parts = [x.lower() for x in _PARTS.findall(name)]
     pairs = ["".join(p) for p in zip(parts, parts[1:], strict=False)]
@@ -68,14 +77,30 @@ def literal_score(value: str) -> float:
     return min(1.0, n / 16) * min(1.0, entropy / 3.2) * (0.4 if kinds == 1 else 1.0)
 
 
-def lex(text: str) -> list[tuple[int, int]]:
-    """Spans of the literals that sensitive names receive, ascending."""
-    bound: dict[str, list[tuple[int, int, str]]] = {}
-    uses: list[tuple[str, list[tuple[int, int, str]], list[str]]] = []
-    for line in _LINE.finditer(text):
-        at, stop = line.start(), line.end()
+def _pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int, str]], list[str]]]:
+    """(name, literals, names) of each pair in order: a bare word among the literals is a name as well."""
+    above: list[tuple[int, str]] = []  # indents and names of the blocks that a line is within
+    given, given_at = "", -1
+    stop = -1
+    while stop < len(text):
+        start, stop = stop + 1, text.find("\n", stop + 1)
+        stop = len(text) if stop < 0 else stop
+        if text.find(":", start, stop) < 0 and text.find("=", start, stop) < 0 and text.find("</", start, stop) < 0:
+            continue
+        lead = _LEAD.match(text, start, stop).end()
+        indent = lead - start
+        while above and above[-1][0] >= indent:
+            above.pop()
+        if given_at != indent:
+            given = ""
+        for m in _ELEMENT.finditer(text, start, stop):
+            value = m[2].strip()
+            if value:
+                at = m.start(2) + m[2].index(value)
+                yield m[1], [(at, at + len(value), value)], []
+        at = start
         while m := _PAIR.search(text, at, stop):
-            at, literals, names = m.end(), [], []
+            name, at, literals, names = m["name"], m.end(), [], []
             while t := _TERM.match(text, at, stop):
                 g = t.lastindex
                 if g == 3 and _NAME.match(t[3]) and not re.search(r"\d[A-Za-z]|[a-z][A-Z0-9]\w*\d", t[3]):
@@ -88,26 +113,47 @@ def lex(text: str) -> list[tuple[int, int]]:
                 if not plus:
                     break
                 at = plus.end()
-            if literals:
-                uses.append((m["name"], literals, names))
-                bound.setdefault(m["name"], []).extend(x for x in literals if x[2] not in names)
-    best: dict[tuple[int, int], float] = {}
+            if not literals:
+                if at >= stop:
+                    above.append((indent, name))
+                continue
+            low = name.lower()
+            if low in GIVING:
+                given, given_at = literals[0][2], indent
+            elif low in GENERIC and (given or above):
+                name = given or above[-1][1]
+            yield name, literals, names
+
+
+def lex(text: str) -> list[tuple[int, int]]:
+    """Spans of the literals that sensitive names receive, ascending.
+
+    Names are taken from the most sensitive one down, and each constant counts
+    for the first that reaches it, so no constant is walked through twice.
+    """
+    bound: dict[str, list[tuple[int, int, str]]] = {}
+    needs: dict[str, list[str]] = {}
+    uses = list(_pairs(text))
     for name, literals, names in uses:
-        score = name_score(name)
+        bound.setdefault(name, []).extend(x for x in literals if x[2] not in names)
+        needs.setdefault(name, []).extend(names)
+    scored = sorted(((name_score(n), i) for i, (n, _, _) in enumerate(uses)), key=lambda x: (-x[0], x[1]))
+    best: dict[tuple[int, int], float] = {}
+    seen: set[str] = set()
+    for score, i in scored:
         if not score:
-            continue
-        reach, seen, todo = [x for x in literals if x[2] not in names or x[2] not in bound], set(), list(names)
+            break
+        _, literals, names = uses[i]
+        reach, todo = [x for x in literals if x[2] not in names or x[2] not in bound], list(names)
         while todo:  # constants that this name takes its value from
             if (n := todo.pop()) in seen:
                 continue
             seen.add(n)
             reach += bound.get(n, [])
-            todo += [y for own, _, of in uses if own == n for y in of]
-        if not reach:
-            continue
-        value = literal_score("".join(x[2] for x in reach))
+            todo += needs.get(n, [])
+        value = literal_score("".join(x[2] for x in reach)) if len(reach) > 1 else 0.0
         for s, e, one in reach:
-            got = score * max(literal_score(one), value if len(reach) > 1 and len(one) >= 4 else 0.0)
+            got = score * max(literal_score(one), value if len(one) >= 4 else 0.0)
             if score >= SURE and one not in names and len(one.strip()) >= USEFUL and not PLACEHOLDER.search(one):  # a bare word is a name
                 got = score
             best[s, e] = max(best.get((s, e), 0.0), got)
@@ -117,15 +163,18 @@ def lex(text: str) -> list[tuple[int, int]]:
 def spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all secrets, by start and then kind as listed; fixed patterns first, then literals outside of them."""
     found = []
-    marked = "=" in text or ":" in text
-    if marked:
+    if "=" in text or ":" in text:
         found += [(m.start(2), m.end(2), "assign") for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
     if "AKIA" in text:
         found += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text)]
     found += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
-    if marked:
-        base = list(found)
-        found += [(s, e, "literal") for s, e in lex(text) if all(e <= x or y <= s for x, y, _ in base)]
+    covered, at = sorted((x, y) for x, y, _ in found), 0
+    far = 0  # the furthest end of the base spans before ``at``
+    for s, e in lex(text):
+        while at < len(covered) and covered[at][0] < e:
+            far, at = max(far, covered[at][1]), at + 1
+        if far <= s:
+            found.append((s, e, "literal"))
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 

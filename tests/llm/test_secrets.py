@@ -52,3 +52,76 @@ def test_rows_and_redaction(spark):
     assert got[1] == ("assign:9:22,access:27:48", "ü token: [SECRET] end [SECRET]")
     assert got[2] == ("", None) and got[3] == ("", "") and got[4] == ("", "clean " * 5000)
     assert scan_secrets(df.limit(0)).count() == 0
+
+
+def test_names_of_blocks_elements_and_keys():
+    assert found("password:\n  value: swordfish99") == [("swordfish99", "literal")]
+    assert found("- name: DB_PASSWORD\n  value: abcdXYZ12345") == [("abcdXYZ12345", "literal")]
+    assert found("<password>hunter2xyz</password>") == [("hunter2xyz", "literal")]
+    assert found('<add key="dbPassword" value="s3cr3tPassw0rd"/>') == [("s3cr3tPassw0rd", "literal")]
+    assert found("title:\n  value: swordfish99\npassword:\n  length: 12") == []
+
+
+def _base(text):
+    """The fixed kinds character by character."""
+    import string
+
+    names = ("password", "passwd", "secret", "token", "api_key", "apikey")
+    lower = text.translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase))
+    take = lambda i, allowed: next((j for j in range(i, len(text)) if text[j] not in allowed), len(text))
+    out, i = [], 0
+    while i < len(text):
+        end = None
+        for n in names:
+            if not lower.startswith(n, i):
+                continue
+            for quote in (1, 0):
+                j = i + len(n)
+                if quote and text[j : j + 1] not in ("'", '"'):
+                    continue
+                j = take(j + quote, " ")
+                if text[j : j + 1] not in (":", "="):
+                    continue
+                j = take(j + 1, " ")
+                for skip in (1, 0):
+                    if skip and text[j : j + 1] not in ("'", '"'):
+                        continue
+                    e = take(j + skip, string.ascii_letters + string.digits + "+/_.=-")
+                    if e > j + skip:
+                        end = end or (j + skip, e)
+        if end:
+            if end[1] - end[0] >= 12:
+                out.append((*end, "assign"))
+            i = end[1]
+        else:
+            i += 1
+    for kind, head, allowed, least in (("access", "AKIA", string.ascii_uppercase + string.digits, 18), ("hex", "", "0123456789abcdef", 16)):
+        i = 0
+        while i < len(text):
+            e = take(i + len(head), allowed) if text.startswith(head, i) else i
+            if e > i + len(head):
+                if e - i >= least:
+                    out.append((i, e, kind))
+                i = e
+            else:
+                i += 1
+    return sorted(out, key=lambda x: (x[0], ("assign", "access", "hex").index(x[2])))
+
+
+def test_base_spans_against_brute_force():
+    import random
+
+    rng = random.Random(4)
+    bits = ["password", "Passwd", "SECRET", "token", "api_key", "APIkey", "AKIA", "AKIA0123456789ABCD", "0123456789abcdef", "deadbeef", "=", ":", " ", "  ", "'", '"', "\n", "x", "-", "Z9", "é", "ſ", "abcdefghijkl", "\t"]
+    for _ in range(4000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 24)))
+        assert [x for x in spans(text) if x[2] != "literal"] == _base(text), text
+
+
+def test_long_lines_take_linear_time():
+    import time
+
+    for text in ("a: 1\n" + "lorem ipsum " * 90_000, "k: " + "aGVsbG8rYmFy" * 90_000 + "=", "\n".join(f"a{i}_token = a{i + 1}_token" for i in range(20_000))):
+        began = time.process_time()
+        spans(text)
+        assert time.process_time() - began < 5
