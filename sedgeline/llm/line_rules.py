@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -24,8 +24,8 @@ from .rows import annotate
 from .style import BANG, DIGIT, LOW, MARK, OTHER, PIPE, SYMBOL, UP, Lines, repeated_words
 from .text import chunks, span_hash
 
-#: The field is trained on so many documents of each label at most, those of the least id hashes.
-DOCUMENTS = 1_500
+#: The field is trained on so many documents of each label at most, those of the least id hashes, and on so many lines of theirs: whole documents in that order.
+DOCUMENTS, LINES = 1_500, 300_000
 #: Least share of words in content lines of a kept document.
 CONTENT = 0.5
 #: Where the bins of each feature end.
@@ -43,6 +43,8 @@ _SYMBOLS[list(b"#*$%&|<>")] = True
 
 def _again(x: Lines) -> np.ndarray:
     """Marks lines with a word whose bytes equal an earlier line of their row."""
+    if not len(x.start):
+        return np.zeros(0, dtype=bool)
     end = x.end - ((x.end > x.start) & (x.data[np.maximum(x.end - 1, 0)] == 0x0A))
     h = span_hash(x.data, x.start, end)
     at = np.flatnonzero(x.words > 0)
@@ -163,20 +165,24 @@ def _binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array([c.tobytes() for c in cut], pa.binary())], ["id", "good", "bins"])
 
 
-def fit_rules(docs: DataFrame, labels: DataFrame, trains: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", documents: int = DOCUMENTS) -> Field:
+def fit_rules(docs: DataFrame, labels: DataFrame, trains: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", documents: int = DOCUMENTS, lines: int = LINES) -> Field:
     """The field of a bounded sample of labelled documents, by default from all labelled ones.
 
-    A document is good if all its labels are 1. Null ids and labels are left
-    out. Without labelled documents, every line counts as content.
+    A document is good if all its labels are 1; of rows that repeat an id, the
+    least text counts. Null ids and labels are left out. Without labelled
+    documents, every line counts as content. ``lines`` bounds what the driver
+    holds; from the document on that would go over it, they are left out.
     """
     ship(docs.sparkSession)
     marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (F.lit(True) if trains is None else trains))
     marked = marked.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).cast("int").alias("good"))
     few = [marked.where(F.col("good") == y).orderBy(F.xxhash64("id"), "id").limit(documents) for y in (0, 1)]
     chosen = F.broadcast(few[0].union(few[1]))  # 2 * documents rows of two numbers
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("id", "good", "text")
-    got = texts.mapInArrow(_binned, "id long, good int, bins binary").limit(8 * documents).toPandas()
-    got = got.assign(key=got.bins.map(bytes)).sort_values(["id", "key"], kind="stable")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(chosen, "id")
+    texts = texts.groupBy("id").agg(F.min("good").alias("good"), F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    so_far = F.sum(F.length(F.regexp_replace("text", "[^\n]", "")) + 1).over(Window.partitionBy("good").orderBy(F.xxhash64("id"), "id"))  # over 2 * documents rows
+    texts = texts.withColumn("so_far", so_far).where(F.col("so_far") <= lines // 2).select("id", "good", "text")
+    got = texts.mapInArrow(_binned, "id long, good int, bins binary").toPandas().sort_values("id", kind="stable")
     parts = [np.frombuffer(x, dtype=np.int16).reshape(-1, len(EDGES)).astype(np.int64) for x in got.bins]
     sizes = [len(p) for p in parts]
     bins = np.concatenate([np.zeros((0, len(EDGES)), np.int64), *parts])

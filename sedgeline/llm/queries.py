@@ -174,3 +174,17 @@ FROM e GROUP BY conv_id
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"), size=200, keep_bytes=False)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+ORACLE_SQL["op4_suffix_dedup"] = """
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS MATERIALIZED (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 400)) AS m FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 199)) AS i FROM d)),
+r AS (SELECT doc_id, i FROM w WHERE m IN (SELECT m FROM w GROUP BY m HAVING count(*) > 1)),
+g AS (SELECT doc_id, i, sum(CASE WHEN i > p + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM r)),
+s AS MATERIALIZED (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY doc_id, g),
+e AS (SELECT doc_id, a, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS p FROM (SELECT doc_id, a, b FROM s UNION ALL SELECT doc_id, length(x) // 2, length(x) // 2 FROM d)),
+k AS (SELECT d.doc_id, string_agg(substr(x, 2 * p + 1, 2 * (a - p)), '' ORDER BY p, a) AS x FROM e JOIN d ON e.doc_id = d.doc_id GROUP BY d.doc_id),
+n AS (SELECT doc_id, sum(b - a) AS n, count(*) AS k FROM s GROUP BY doc_id)
+SELECT d.doc_id, length(d.x) // 2 AS n_bytes, CAST(coalesce(n.n, 0) AS BIGINT) AS n_removed, coalesce(n.k, 0) AS n_spans, sha256(unhex(k.x)) AS kept_sha256
+FROM d JOIN k ON d.doc_id = k.doc_id LEFT JOIN n ON d.doc_id = n.doc_id
+"""

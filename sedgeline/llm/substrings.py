@@ -7,13 +7,18 @@ repeated whole. Of the grams with several different contexts, or with a context
 that holds them twice, each context is fetched once, and blocks of them get a suffix array, by linear grouping
 (suffix.py), over phrases that their content cuts: a window can occur twice
 only where its run of whole phrases is shared with a neighbour in suffix order.
-What this finds is verified byte by byte length: windows count as repeated when
-their hashes over all ``size`` bytes are equal.
+Windows that meet by the hash of their bytes are then compared byte by byte.
+Contexts are equal when the gram's and the context's hashes are, 128 bits
+together, and texts when two hashes of theirs are.
+
+The contexts of a gram that has very many are dealt to several tasks, and their
+windows are compared by shuffle, by the gram's hash and their own.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +35,8 @@ K = 32
 PHRASE, RADIUS = 4, 8
 #: Grams go into one suffix array until their contexts have so many bytes; a gram that has more than SPLIT is cut into blocks, whose windows are then compared by shuffle.
 BLOCK, SPLIT = 1 << 18, 1 << 22
+#: Contexts of one gram that go to one task.
+TASK_CONTEXTS = 1_000
 #: A table of at most so many rows, and spans, is broadcast (under 64 MB); beyond, joins are by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -76,28 +83,29 @@ def contexts(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray,
 def _spans(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, _, data, off in chunks(b.column(2)):
+            for lo, _, data, off in chunks(b.column(3)):
                 doc, first, n, h, c, twice = contexts(data, off, size)
                 at = pa.array(doc + lo)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(first), pa.array(n), pa.array(twice)], ["t", "id", "h", "c", "first", "n", "twice"])
+                yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(3)), pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(first), pa.array(n), pa.array(twice)], ["t", "u", "id", "h", "c", "first", "n", "twice"])
 
     return run
 
 
 def _fetched(size: int):
-    """The bytes of the wanted contexts of each text: rows (text, list of (h, c, first, n))."""
+    """The bytes of the wanted contexts of each text, from rows (text, list of (h, c, first, n, deal))."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = buffers(b.column(0))
-            h, c, raw = [], [], []
+            h, c, deal, raw = [], [], [], []
             for d, wanted in enumerate(b.column(1).to_pylist()):
                 for w in wanted:
                     a = off[d] + w["first"]
                     h.append(w["h"])
                     c.append(w["c"])
+                    deal.append(w["deal"])
                     raw.append(data[a : a + w["n"] + size - 1].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(raw, pa.binary())], ["h", "c", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(deal, pa.int64()), pa.array(c, pa.int64()), pa.array(raw, pa.binary())], ["h", "deal", "c", "bytes"])
 
     return run
 
@@ -159,14 +167,44 @@ def repeated(data: np.ndarray, off: np.ndarray, size: int) -> np.ndarray:
     if not len(w):
         return out
     h = span_hash(data, w, w + size)
-    order = np.argsort(h)
-    same = h[order][1:] == h[order][:-1]
-    out[w[order[np.r_[False, same] | np.r_[same, False]]]] = True
+    order = np.argsort(h, kind="stable")
+    x, y, same = w[order][:-1], w[order][1:], h[order][1:] == h[order][:-1]
+    x, y, of = x[same], y[same], h[order][1:][same]
+    equal = _equal(data, x, y, size)
+    if equal.all():
+        out[x] = out[y] = True
+    else:  # hashes of unlike windows met: the bytes themselves decide
+        met = w[np.isin(h, np.unique(of[~equal]))]
+        sure = ~np.isin(of, np.unique(of[~equal]))
+        out[x[sure]] = out[y[sure]] = True
+        raw = [data[a : a + size].tobytes() for a in met]
+        times = Counter(raw)
+        out[[a for a, r in zip(met, raw, strict=True) if times[r] > 1]] = True
+    return out
+
+
+def _equal(data: np.ndarray, x: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
+    """Whether the windows at x and y have the same bytes: of pairs that both move on by one place, all but the last byte is known."""
+    order = np.argsort(x, kind="stable")
+    a, b = x[order], y[order]
+    start = np.ones(len(a), dtype=bool)
+    start[1:] = (a[1:] != a[:-1] + 1) | (b[1:] != b[:-1] + 1)
+    good = data[a + size - 1] == data[b + size - 1]
+    at, step = np.flatnonzero(start), np.arange(size)
+    for i in range(0, len(at), 8192):
+        k = at[i : i + 8192]
+        good[k] = (data[a[k, None] + step] == data[b[k, None] + step]).all(1)
+    # a run is good as far as all of it is
+    bad = np.cumsum(~good)
+    run = np.cumsum(start) - 1
+    before = bad[at] - ~good[at]
+    out = np.empty(len(a), dtype=bool)
+    out[order] = bad - before[run] == 0
     return out
 
 
 def _blocks(size: int, most: int, split: int):
-    """From contexts in order of (h, c): rows (h, c, first, last, w): runs of repeated windows; and, where a gram's contexts are cut into blocks, a row for each window of them with its hash w."""
+    """From contexts in order of (h, deal, c): rows (h, c, first, last, w): runs of repeated windows; and, where a gram's contexts are cut into blocks or dealt to tasks, a row for each window of them with its hash w."""
 
     def work(h: list[int], c: list[int], raw: list[bytes], part: bool) -> pa.RecordBatch:
         data = np.frombuffer(b"".join(raw), dtype=np.uint8)
@@ -190,16 +228,16 @@ def _blocks(size: int, most: int, split: int):
         return pa.RecordBatch.from_arrays([pa.array(hs[rows[0]]), pa.array(cs[rows[0]]), pa.array(rows[1]), pa.array(rows[2]), w], ["h", "c", "first", "last", "w"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, c, raw, held, part, gram = [], [], [], 0, False, None  # part: the gram has a block out already
+        h, c, raw, held, part, gram = [], [], [], 0, False, None  # part: the gram has a block out already, or other tasks have some of it
         for b in batches:
-            for x, y, z in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if h and x == h[-1] and y == c[-1]:
+            for x, deal, y, z in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if h and (x, deal) == gram and y == c[-1]:
                     continue
-                if x != gram:
-                    if h and (part or held >= most):
+                if (x, deal) != gram:
+                    if h and (part or held >= most or deal >= 0):
                         yield work(h, c, raw, part)
                         h, c, raw, held = [], [], [], 0
-                    part, gram = False, x
+                    part, gram = deal >= 0, (x, deal)
                 elif held >= split:
                     k = h.index(x)
                     if k:  # the grams before it have a block of their own
@@ -253,23 +291,30 @@ def remove_repeats(docs: DataFrame, size: int = 200, id_col: str = "doc_id", tex
     A byte goes if a string of ``size`` bytes that covers it starts anywhere
     else too, in its own text or another; strings are judged on the input. A
     null or empty text has no bytes. Rows that repeat a text repeat all of it.
-    Bytes are those of UTF-8, and what is left may cut a character in two.
+    Bytes are those of UTF-8, and what is left may cut a character in two. Ids
+    are integers; a null id is kept, and its text counts as any other's. Other
+    columns are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "substrings")
-    texts = docs.select(F.xxhash64(text_col).alias("t"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    spans = scratch.save(texts.where(F.octet_length("text") >= size).mapInArrow(_spans(size), "t long, id long, h long, c long, first long, n long, twice boolean"), "spans")
-    ctx = spans.groupBy("h", "c").agg(F.count("*").alias("times"), F.max(F.col("twice").cast("long")).alias("twice"), F.min(F.struct("t", "id", "first", "n")).alias("at"))
+    texts = docs.select(F.xxhash64(text_col).alias("t"), F.xxhash64(F.lit(1), text_col).alias("u"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    spans = scratch.save(texts.where(F.octet_length("text") >= size).mapInArrow(_spans(size), "t long, u long, id long, h long, c long, first long, n long, twice boolean"), "spans")
+    ctx = spans.groupBy("h", "c").agg(F.count("*").alias("times"), F.max(F.col("twice").cast("long")).alias("twice"), F.min(F.struct("t", "u", "id", "first", "n")).alias("at"))
     ctx = scratch.save(ctx, "contexts")
     grams = ctx.groupBy("h").agg((F.sum("times") + F.max("twice")).alias("total"), (F.count("*") + F.max("twice")).alias("kinds")).where("total > 1")
     live = scratch.save(ctx.join(grams, "h").select("h", "c", "times", "kinds", "at"), "live")
     scratch.drop(ctx)
 
-    wanted = live.where("kinds > 1").groupBy("at.t", "at.id").agg(F.collect_list(F.struct("h", "c", "at.first", "at.n")).alias("wanted"))
+    # of a gram with more contexts than a task should have, each goes to one of several tasks
+    deal = F.when(F.col("kinds") > TASK_CONTEXTS, F.pmod(F.xxhash64("c"), F.ceil(F.col("kinds") / TASK_CONTEXTS))).otherwise(-1).cast("long")
+    wanted = live.where("kinds > 1").groupBy("at.t", "at.u", "at.id").agg(F.collect_list(F.struct("h", "c", "at.first", "at.n", deal.alias("deal"))).alias("wanted"))
     wanted = scratch.save(wanted, "wanted")
-    raw = texts.join(_small(wanted), ["t", "id"]).select("text", "wanted").mapInArrow(_fetched(size), "h long, c long, bytes binary")
-    found = raw.repartition("h").sortWithinPartitions("h", "c").mapInArrow(_blocks(size, block, split), "h long, c long, first long, last long, w long")
+    x, y = texts.alias("x"), _small(wanted).alias("y")
+    raw = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.u") == F.col("y.u")) & F.col("x.id").eqNullSafe(F.col("y.id"))).select("text", "wanted")
+    raw = raw.mapInArrow(_fetched(size), "h long, deal long, c long, bytes binary")
+    found = raw.repartition("h", "deal").sortWithinPartitions("h", "deal", "c").mapInArrow(_blocks(size, block, split), "h long, c long, first long, last long, w long")
     found = scratch.save(found, "found")
+    scratch.drop(wanted)
     # windows of grams that went over several blocks
     over = found.where("w IS NOT NULL")
     twice = over.groupBy("h", "w").agg(F.count("*").alias("k")).where("k > 1").select("h", "w")
@@ -277,20 +322,13 @@ def remove_repeats(docs: DataFrame, size: int = 200, id_col: str = "doc_id", tex
     whole = live.where("times > 1").select("h", "c", F.lit(0).cast("long").alias("first"), (F.col("at.n") - 1).alias("last"))
     marks = runs.union(whole).select("h", "c", F.col("first").alias("x"), F.col("last").alias("y"))
 
-    hit = spans.join(marks, ["h", "c"]).select("t", F.struct((F.col("first") + F.col("x")).alias("a"), (F.col("first") + F.col("y") + size).alias("b")).alias("s"))
-    joined = F.aggregate(F.array_sort(F.collect_set("s")), F.array().cast("array<struct<a:bigint,b:bigint>>"), _merge)
-    covered = scratch.save(hit.groupBy("t").agg(joined.alias("spans")), "covered")
-    out = texts.join(_small(covered), "t", "left").select("id", "text", "spans")
+    hit = spans.join(marks, ["h", "c"]).select("t", "u", F.struct((F.col("first") + F.col("x")).alias("a"), (F.col("first") + F.col("y") + size).alias("b")).alias("s"))
+    covered = scratch.save(hit.groupBy("t", "u").agg(F.collect_set("s").alias("spans")), "covered")
+    scratch.drop(spans, live, found)
+    out = texts.join(_small(covered), ["t", "u"], "left").select("id", "text", "spans")
     return out.mapInArrow(_removed(keep_bytes), FIELDS).withColumnRenamed("doc_id", id_col)
 
 
-def _merge(acc, s):
-    """Appends a span, or lengthens the last one where it reaches the span."""
-    last = F.try_element_at(acc, F.lit(-1))
-    longer = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], s["b"]).alias("b"))))
-    return F.when((F.size(acc) > 0) & (last["b"] >= s["a"]), longer).otherwise(F.concat(acc, F.array(s)))
-
-
 def _small(df: DataFrame) -> DataFrame:
     """Broadcast if its rows, and the entries of its list, are few enough."""
     lists = [f.name for f in df.schema if f.dataType.typeName() == "array"]

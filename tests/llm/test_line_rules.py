@@ -80,5 +80,9 @@ def test_keeps_prose_and_drops_junk(spark):
     labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(100)], "doc_id long, quality int")
     got = {r.doc_id: r.kept for r in apply_rules(docs, fit_rules(docs, labels)).select("doc_id", is_kept().alias("kept")).collect()}
     assert all(got[i] == (i % 2 == 0) for i in range(200))
+    clash = docs.union(docs).union(spark.createDataFrame([(None, "x"), (777, None), (778, "")], docs.schema)).withColumn("rules", F.lit("clash"))
+    again = apply_rules(clash, fit_rules(clash, labels.union(labels), lines=600)).select("doc_id", "rules.n_words", is_kept().alias("kept")).collect()
+    assert len(again) == 403 and all(r.kept == (r.doc_id % 2 == 0) for r in again if r.doc_id is not None and r.doc_id < 200)
+    assert {(r.n_words, r.kept) for r in again if r.doc_id in (777, 778)} == {(0, False)}
     none = fit_rules(docs, labels.limit(0))
     assert apply_rules(docs, none).where(is_kept()).count() == 200

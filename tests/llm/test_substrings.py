@@ -54,3 +54,45 @@ def test_against_brute_force(spark, block, split):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert remove_repeats(df).count() == 0
+
+
+def test_null_repeated_and_clashing(spark, monkeypatch):
+    from sedgeline.llm import substrings
+
+    rng = random.Random(3)
+    prose = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = prose(400)
+    t = [shared + prose(300), prose(300) + shared, prose(500), None]
+    ids = [None, 1, 2, 2]
+    for most in (1_000, 1):  # then every gram is dealt to several tasks
+        monkeypatch.setattr(substrings, "TASK_CONTEXTS", most)
+        df = spark.createDataFrame([(i, x, "clash", 0) for i, x in zip(ids, t, strict=True)], "doc_id long, text string, h string, spans int")
+        got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(df).collect())
+        assert got == Counter((i, *w) for i, w in zip(ids, brute(t, 200), strict=True))
+    twice = spark.createDataFrame([(1, t[0]), (1, t[0])], "doc_id long, text string")
+    assert [(r.n_removed, r.n_spans) for r in remove_repeats(twice).collect()] == [(700, 1)] * 2
+
+
+def test_windows_dealt_to_tasks(spark, monkeypatch):
+    from sedgeline.llm import substrings
+
+    monkeypatch.setattr(substrings, "TASK_CONTEXTS", 2)
+    t = texts(7)
+    df = spark.createDataFrame(list(enumerate(t)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(df, split=1500).collect()}
+    assert [got[i] for i in range(len(t))] == brute(t, 200)
+
+
+def test_bytes_decide_where_hashes_meet(monkeypatch):
+    import numpy as np
+
+    from sedgeline.llm import substrings
+
+    rng = np.random.default_rng(2)
+    data = rng.integers(97, 101, 900, dtype=np.uint8)
+    data[600:850] = data[:250]
+    off = np.array([0, 300, 900])
+    want = substrings.repeated(data, off, 200)
+    real = substrings.span_hash
+    monkeypatch.setattr(substrings, "span_hash", lambda d, s, e, *a: real(d, s, e, *a) % np.uint64(40) if len(s) and e[0] - s[0] == 200 else real(d, s, e, *a))
+    assert want.sum() == 102 and (substrings.repeated(data, off, 200) == want).all()
