@@ -1,6 +1,6 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and word beginnings, all of them on both sides. The examples
+Terms are the beginnings of words, all of them on both sides. The examples
 are a bounded sample of labelled rows, and the index holds every term of
 theirs; document frequencies are counted over all terms of all documents, so
 that a query's norm takes in also what no example has. The driver and the
@@ -25,28 +25,28 @@ from pyspark.sql.types import AtomicType
 
 from .rows import annotate
 from ..scratch import Scratch
-from .text import ALNUM, LOWER, chunks, mix, prefix, span_hash, words
+from .text import ALNUM, LOWER, chunks, prefix, runs, span_hash
 
 #: Examples of each class at most (those of the least id hashes), and nearest examples that vote.
-EXAMPLES, NEAREST = 1_200, 15
+EXAMPLES, NEAREST = 3_000, 15
 BLOCK = 64
+#: A term that so large a share of the examples has is a row of their weights beside its postings.
+DENSE = 0.1
 #: Terms outside the examples that are broadcast, the most frequent ones; the others are joined by shuffle.
 FREQUENT = 1 << 18
-_STARTS = (4, 5, 6)
+#: Bytes of a word that make its terms.
+STEMS = (4, 6)
 FIELDS = "score double, neighbours array<struct<id:long,toxic:int,cosine:double>>"
 
 
 def terms(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, term hash, times in the row), by row: words, and the first 4, 5 and 6 bytes of longer ones."""
+    """(row, term hash, times in the row), by row: the first 4 bytes of a word in lower case, and the first 6 of a longer one."""
     data = LOWER[data]
-    w = words(data, off, ALNUM, lower=False)
+    doc, start, end = runs(data, off, ALNUM)
     sums = prefix(data)
-    rows, hashes = [w.doc], [w.hash]
-    for n in _STARTS:
-        at = np.flatnonzero(w.end - w.start > n)
-        rows.append(w.doc[at])
-        hashes.append(mix(span_hash(data, w.start[at], w.start[at] + n, sums) + np.uint64(n)))
-    doc, h = np.concatenate(rows), np.concatenate(hashes)
+    longer = np.flatnonzero(end - start > STEMS[0])
+    h = np.concatenate([span_hash(data, start[at], np.minimum(end[at], start[at] + n), sums) for n, at in zip(STEMS, (slice(None), longer), strict=True)])
+    doc = np.concatenate([doc, doc[longer]])
     order = np.lexsort((h, doc))
     doc, h = doc[order], h[order]
     first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]) if len(h) else np.zeros(0, np.int64)
@@ -102,6 +102,9 @@ class Index:
     other_idf: np.ndarray = field(default_factory=lambda: np.zeros(0))
     n_docs: int = 0
     rare: DataFrame | None = None
+    #: by term its row in ``full``, or -1
+    place: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    full: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
 
     @staticmethod
     def vector(idf: np.ndarray, t: np.ndarray, tf: np.ndarray, outside: float = 0.0) -> np.ndarray:
@@ -119,15 +122,34 @@ class Index:
         rows, t, v = rows[order], t[order], v[order]
         cut = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (rows[1:] // BLOCK != rows[:-1] // BLOCK)]) if len(t) else np.zeros(0, np.int64)
         most = np.maximum.reduceat(v, cut) if len(cut) else np.zeros(0)
-        return cls(known, idf, ids, toxic, weight, rows, v, np.searchsorted(t[cut], np.arange(len(known) + 1)), rows[cut] // BLOCK, most, np.append(cut, len(t)))
-
-    def nearest(self, t: np.ndarray, q: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of the greatest cosine above 0, exactly, and their cosines; fewer if fewer share a term."""
+        out = cls(known, idf, ids, toxic, weight, rows, v, np.searchsorted(t[cut], np.arange(len(known) + 1)), rows[cut] // BLOCK, most, np.append(cut, len(t)))
+        common = np.flatnonzero(np.bincount(t, minlength=len(known)) >= max(DENSE * len(ids), 1))
+        out.place, out.full = np.full(len(known), -1), np.zeros((len(common), len(ids)))
+        out.place[common] = np.arange(len(common))
+        at = np.flatnonzero(out.place[t] >= 0)
+        out.full[out.place[t[at]], rows[at]] = v[at]
+        return out
+
+    def common(self, row: np.ndarray, t: np.ndarray, q: np.ndarray, n: int) -> np.ndarray:
+        """For each of n queries (row, t, q) the part of all cosines that terms of ``full`` make."""
+        at = np.flatnonzero(self.place[t] >= 0)
+        wanted = np.zeros((n, len(self.full)))
+        wanted[row[at], self.place[t[at]]] = q[at]
+        return wanted @ self.full
+
+    def nearest(self, t: np.ndarray, q: np.ndarray, k: int, without: int = -1, base: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples of the greatest cosine above 0, exactly, and their cosines; fewer if fewer share a term. base: the query's row of ``common``."""
+        if base is None:
+            base = self.common(np.zeros(len(t), dtype=np.int64), t, q, 1)[0]
+        few = self.place[t] < 0
+        t, q = t[few], q[few]
         cell = spans(self.cells[t], self.cells[t + 1])
         own = np.repeat(q, self.cells[t + 1] - self.cells[t])
         n_blocks = max(1, -(-len(self.ids) // BLOCK))
         block = self.block[cell]
         bound = np.bincount(block, weights=own * self.most[cell], minlength=n_blocks)
+        if len(base):
+            bound = bound + np.maximum.reduceat(base, np.arange(0, len(base), BLOCK))
         got_i, got_s = np.zeros(0, np.int64), np.zeros(0)
 
         def visit(blocks: np.ndarray) -> None:
@@ -137,8 +159,9 @@ class Index:
             at = mark[block]
             x, y = self.edge[cell[at]], self.edge[cell[at] + 1]
             post = spans(x, y)
-            s = np.bincount(self.rows[post], weights=np.repeat(own[at], y - x) * self.v[post], minlength=len(self.ids))
-            rows = np.flatnonzero(s > 0)
+            s = np.bincount(self.rows[post], weights=np.repeat(own[at], y - x) * self.v[post], minlength=len(self.ids)) + base
+            s[~np.repeat(mark, BLOCK)[: len(s)]] = 0
+            rows = np.flatnonzero(s > (got_s[-1] - 1e-12 if len(got_s) >= k else 0))
             rows = rows[rows != without]
             got_i, got_s = np.concatenate([got_i, rows]), np.concatenate([got_s, s[rows]])
             top = np.lexsort((got_i, -got_s))[:k]
@@ -154,7 +177,7 @@ class Index:
         return got_i, np.minimum(got_s, 1.0)
 
     def vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
-        w = self.weight[near] / (0.05 + 1 - cosine)
+        w = self.weight[near] / (0.05 + 1 - cosine) ** 4
         return float((w * self.toxic[near]).sum() / w.sum())
 
     def score(self, vote: float) -> float:
@@ -164,12 +187,17 @@ class Index:
         edge = np.searchsorted(rows, np.arange(len(self.ids) + 1))
         bare = np.diff(edge) == 0
         votes, of = [], []
-        for i in np.flatnonzero(~bare):
-            x, y = edge[i], edge[i + 1]
-            near, cosine = self.nearest(t[x:y], self.vector(self.idf, t[x:y], tf[x:y]), k, without=i)
-            if len(near):
-                votes.append(self.vote(near, cosine))
-                of.append(i)
+        for lo in range(0, len(bare), BLOCK):
+            x, y = edge[lo], edge[min(lo + BLOCK, len(bare))]
+            length = np.sqrt(np.bincount(rows[x:y] - lo, weights=((1 + np.log(tf[x:y])) * self.idf[t[x:y]]) ** 2, minlength=BLOCK))
+            q = (1 + np.log(tf[x:y])) * self.idf[t[x:y]] / length[rows[x:y] - lo]
+            base = self.common(rows[x:y] - lo, t[x:y], q, BLOCK)
+            for i in lo + np.flatnonzero(~bare[lo : lo + BLOCK]):
+                own = slice(edge[i] - x, edge[i + 1] - x)
+                near, cosine = self.nearest(t[x:y][own], q[own], k, without=i, base=base[i - lo])
+                if len(near):
+                    votes.append(self.vote(near, cosine))
+                    of.append(i)
         if votes:
             self.steps = isotonic(np.array(votes), self.toxic[of].astype(float), self.weight[of])
         w = self.weight[bare]
@@ -317,14 +345,20 @@ def score_toxicity(docs: DataFrame, index: Index, k: int = NEAREST, text_col: st
             more = np.flatnonzero(at >= 0)
             square = rare[lo:hi] + np.bincount(doc[more], weights=((1 + np.log(tf[more])) * ix.other_idf[at[more]]) ** 2, minlength=hi - lo)
             doc, t, tf = doc[t >= 0], t[t >= 0], tf[t >= 0]
+            # unit vectors over all terms, those outside of the index too
+            v = (1 + np.log(tf)) * ix.idf[t]
+            length = np.sqrt(np.bincount(doc, weights=v**2, minlength=hi - lo) + square)
+            v = v / length[doc]
             edge = np.searchsorted(doc, np.arange(hi - lo + 1))
             scores, near = np.full(hi - lo, ix.plain), [[] for _ in range(hi - lo)]
-            for d in np.flatnonzero(np.diff(edge)):
-                x, y = edge[d], edge[d + 1]
-                own, cosine = ix.nearest(t[x:y], Index.vector(ix.idf, t[x:y], tf[x:y], square[d]), k)
-                if len(own):
-                    scores[d] = ix.score(ix.vote(own, cosine))
-                    near[d] = [{"id": int(ix.ids[i]), "toxic": int(ix.toxic[i]), "cosine": float(c)} for i, c in zip(own, cosine, strict=True)]
+            for at in range(0, hi - lo, BLOCK):
+                x, y = edge[at], edge[min(at + BLOCK, hi - lo)]
+                base = ix.common(doc[x:y] - at, t[x:y], v[x:y], BLOCK)
+                for d in at + np.flatnonzero(np.diff(edge[at : at + BLOCK + 1])):
+                    own, cosine = ix.nearest(t[edge[d] : edge[d + 1]], v[edge[d] : edge[d + 1]], k, base=base[d - at])
+                    if len(own):
+                        scores[d] = ix.score(ix.vote(own, cosine))
+                        near[d] = [{"id": int(ix.ids[i]), "toxic": int(ix.toxic[i]), "cosine": float(c)} for i, c in zip(own, cosine, strict=True)]
             yield {"score": pa.array(scores), "neighbours": pa.array(near, kind)}
 
     return annotate(docs, run, FIELDS, out_col, text_col, "_outside")

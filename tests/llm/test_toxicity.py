@@ -65,16 +65,23 @@ def test_without_labels(spark):
 def test_cosine_is_over_all_words(spark, frequent):
     """Words of a single example count, and words of no example count in the norm, also those joined by shuffle."""
     rng = np.random.default_rng(3)
-    rows = [(i, " ".join(rng.choice([f"w{j}" for j in range(30)], 12)) + f" own{i}", int(i % 4 == 0)) for i in range(60)]
-    asked = [(100, "own8 w1 w2 zz1 zz2 zz2"), (101, "w3 w3 w4 zz1 zz3"), (102, "own8 w1 w2 zz1 zz2 zz2"), (103, "zz4 zz5")]
+    rows = [(i, " ".join(rng.choice([f"w{j}" for j in range(30)], 12)) + f" {i}own", int(i % 4 == 0)) for i in range(60)]
+    asked = [(100, "8own w1 w2 zz1 zz2 zz2"), (101, "w3 w3 w4 zz1 zz3"), (102, "8own w1 w2 zz1 zz2 zz2"), (103, "zz4 zz5")]
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + asked, "doc_id long, text string")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
     texts = {i: t.split() for i, t, *_ in rows + asked}
-    texts = {i: [x for w in t for x in (w, *(f"{w[:n]}/{n}" for n in (4, 5, 6) if len(w) > n))] for i, t in texts.items()}
+    texts = {i: [x for w in t for x in ((w[:4], w[:6]) if len(w) > 4 else (w,))] for i, t in texts.items()}
     df = {w: sum(w in t for t in texts.values()) for t in texts.values() for w in t}
     v = {i: {w: (1 + np.log(t.count(w))) * (1 + np.log((1 + len(texts)) / (1 + df[w]))) for w in t} for i, t in texts.items()}
     norm = {i: np.sqrt(sum(x * x for x in a.values())) for i, a in v.items()}
-    index = fit_toxicity(docs, labels, F.lit(True), frequent=frequent)
+    index = fit_toxicity(docs, labels, F.lit(True), k=5, frequent=frequent)
+    # votes and their calibration, from the dense vectors of the examples
+    toxic, votes = np.array([y for *_, y in rows]), []
+    for i, *_ in rows:
+        near = sorted(((sum(x * v[j].get(w, 0) for w, x in v[i].items()) / norm[i] / norm[j], -list(index.ids).index(j), y) for j, _, y in rows if j != i), reverse=True)[:5]
+        votes.append(sum(y / (1.05 - c) ** 4 for c, _, y in near) / sum(1 / (1.05 - c) ** 4 for c, _, y in near))
+    steps = isotonic(np.array(votes), toxic.astype(float), np.ones(60))
+    assert np.allclose(np.interp(votes, *steps), np.interp(votes, *index.steps))
     got = {r.doc_id: r.toxicity.neighbours for r in score_toxicity(docs, index, k=5).collect()}
     assert got[100][0].id == 8 and not got[103]
     for i, _ in asked:
