@@ -14,9 +14,9 @@ Equal sets are one node before any signature is compared. In each bucket of a
 signature the best connected node is the hub, and the others are compared with
 it alone; a small bucket gives all its pairs. What is left are buckets that
 these links have not made one component. Small ones give their pairs of
-different components; a large one is cut by the signatures of another deal of
-the domain, which linked sets share as well, and the parts get hubs of their
-own, LEVELS times at most. So no link between components is lost and no clique
+different components; a large one is cut by the shingles that stand first in
+an order of all of them, of which linked sets have one in common, and the parts
+get hubs of their own, LEVELS times at most. So no link between components is lost and no clique
 is written out. Before sets are fetched, pairs must pass a parity sketch: each
 shingle flips one of its 256 bits, so two sketches differ in no more bits than
 the sets in shingles, and no linked pair can fail.
@@ -46,9 +46,9 @@ SKETCH = ["node", "size", "s0", "s1", "s2", "s3"]
 #: Share of sets that may sign empty choices too, and shingles that a choice of parts should hold, so that few unlike sets agree in one.
 SPARSE, FULL = 1e-2, 1.5
 #: Buckets of at most so many nodes give all their pairs at once; after the hub step, of at most so many.
-PAIRED, OPEN = 6, 32
-#: Deals of the domain that cut large open buckets after the first one.
-LEVELS = 2
+PAIRED, OPEN = 6, 500
+#: Times that large open buckets are cut.
+LEVELS = 1
 #: One of so many sets is a sample that shows hot signatures: those of so many of its sets, and of a thousandth; rows of one that go to a task.
 SAMPLE, HOT, TASK_ROWS = 64, 32, 20_000
 _NODE = np.uint64(0xA24BAED4963EE407)
@@ -92,14 +92,14 @@ def nodes(doc: np.ndarray, h: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.n
     return size, mix(sums + size.astype(np.uint64) * _NODE)
 
 
-def signatures(doc: np.ndarray, h: np.ndarray, size: np.ndarray, percent: int, level: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature) of all rows' sets, for each one's own band and the next; each level deals the domain anew."""
+def signatures(doc: np.ndarray, h: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, signature) of all rows' sets, for each one's own band and the next."""
     if not len(h):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     table = bands(percent, int(size.max()))
     own = np.searchsorted(table[:, 0], size)
     rows, sigs = [], []
-    value, deal = mix(h), mix(h + np.uint64(0x632BE59BD9B4E019) + np.uint64(level))
+    value, deal = mix(h), mix(h + np.uint64(0x632BE59BD9B4E019))
     for step in (0, 1):
         band = own + step
         n1, n2, spare = (np.where(size > 0, table[band, i], 0) for i in (1, 2, 3))
@@ -176,15 +176,20 @@ def _signed(n: int, percent: int, hot: np.ndarray, tasks: np.ndarray):
     return run
 
 
-def _signed_sets(percent: int, level: int):
-    """(node, key): the signatures of another level, from rows (node, set)."""
+def _prefixes(percent: int, level: int):
+    """(node, key): of each set the shingles first in an order of the level's own, so many that linked sets have one of them in common; from rows (node, set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             size = np.array([len(x) // 8 for x in b.column(1).to_pylist()], dtype=np.int64)
-            h = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.uint64)
-            row, sig = signatures(np.repeat(np.arange(len(size)), size), h, size, percent, level)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(sig.view(np.int64))], ["node", "key"])
+            key = mix(np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.uint64) + np.uint64(level))
+            row = np.repeat(np.arange(len(size)), size)
+            order = np.lexsort((key, row))
+            first = np.cumsum(size) - size
+            # linked sets share percent of the greater one's shingles at least
+            few = size - -(-percent * size // 100) + 1
+            at = order[np.arange(len(key)) - first[row] < few[row]]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[at])), pa.array(key[at].view(np.int64))], ["node", "key"])
 
     return run
 
@@ -345,11 +350,12 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
             if not more.isEmpty():
                 label = components(edges.union(more), scratch)
             break
-        # the next deal cuts the large ones, and the parts that still hold two components get hubs
-        again = sets.join(large.select("node").distinct(), "node", "left_semi").select("node", "set").mapInArrow(_signed_sets(percent, level + 1), "node long, key long").distinct()
+        # common shingles cut the large ones, and the parts that still hold two components get hubs
+        again = sets.join(large.select("node").distinct(), "node", "left_semi").select("node", "set").mapInArrow(_prefixes(percent, level + 1), "node long, key long").distinct()
         finer = large.join(again, "node").select(F.xxhash64("sig", "key").alias("sig"), *SKETCH, "label")
         mixed = finer.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
         buckets = scratch.save(finer.join(mixed, "sig", "left_semi"), "buckets")
+        scratch.drop(rest)
         edges = edges.union(more).union(linked(with_hubs(buckets)))
 
     # the least id of each class; equal sets belong to one node
