@@ -6,6 +6,7 @@ executors, and is smaller than a checkpoint because Parquet compresses it.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -47,3 +48,8 @@ class Scratch:
             if path := self.paths.pop(id(df), None):
                 p = jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+    def release(self) -> None:
+        """Lets Spark remove the shuffle files of jobs that are done: it does so once the driver's garbage is collected, which may be long after."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
