@@ -298,6 +298,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     few = scratch.save(shared.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct(), "few")
     multi = scratch.save(shared.where("other IS NULL").select("sig", "node"), "multi")
     scratch.drop(shared)
+    scratch.release()  # the shuffle of all signatures is by far the largest
 
     # the sets of nodes that share a signature, each from one of its rows
     active = multi.select("node").union(few.select("a")).union(few.select("b")).distinct()
@@ -322,6 +323,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
         both = near.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
         out = scratch.save(both.select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long"), "links")
         scratch.drop(pairs)
+        scratch.release()
         return out
 
     def with_hubs(buckets: DataFrame) -> DataFrame:
