@@ -19,7 +19,8 @@ an order of all of them, of which linked sets have one in common, and the parts
 get hubs of their own, LEVELS times at most. So no link between components is lost and no clique
 is written out. Before sets are fetched, pairs must pass a parity sketch: each
 shingle flips one of its 256 bits, so two sketches differ in no more bits than
-the sets in shingles, and no linked pair can fail.
+the sets in shingles, and no linked pair can fail; then one of 4,096 bits,
+which tells long sets apart.
 
 Signatures that a sample of sets shows to be very common are dealt to several
 tasks, which hand their rows to the hub step unpaired; the sample decides only
@@ -51,7 +52,7 @@ PAIRED, OPEN = 6, 500
 LEVELS = 1
 #: One of so many sets is a sample that shows hot signatures: those of so many of its sets, and of a thousandth; rows of one that go to a task.
 SAMPLE, HOT, TASK_ROWS = 64, 32, 20_000
-_NODE = np.uint64(0xA24BAED4963EE407)
+_NODE, _WIDE = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
 def _tail(lam: float, e: int) -> float:
@@ -204,7 +205,11 @@ def _sets(n: int):
                 sketch = np.zeros(len(size) * 4, dtype=np.uint64)
                 np.bitwise_xor.at(sketch, doc * 4 + (bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
                 parts = sketch.view(np.int64).reshape(-1, 4)[at]
-                yield pa.RecordBatch.from_arrays([pa.array(node[at].view(np.int64)), pa.array(size[at], pa.int64()), *(pa.array(np.ascontiguousarray(parts[:, i])) for i in range(4)), pa.array([x.tobytes() for x in cut], pa.binary())], [*SKETCH, "set"])
+                bit = (mix(h ^ _WIDE) >> np.uint64(52)).astype(np.int64)
+                wide = np.zeros(len(size) * 64, dtype=np.uint64)
+                np.bitwise_xor.at(wide, doc * 64 + (bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+                wide = wide.reshape(-1, 64)[at]
+                yield pa.RecordBatch.from_arrays([pa.array(node[at].view(np.int64)), pa.array(size[at], pa.int64()), *(pa.array(np.ascontiguousarray(parts[:, i])) for i in range(4)), pa.array([x.tobytes() for x in wide], pa.binary()), pa.array([x.tobytes() for x in cut], pa.binary())], [*SKETCH, "wide", "set"])
 
     return run
 
@@ -246,6 +251,19 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig, node, hot = sig[keep:], node[keep:], hot[keep:]
 
 
+def _sketched(percent: int):
+    """Pairs (a, b) that their sizes and wide sketches let pass, from rows (a, b, size of a, sketch of a, size of b, sketch of b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), dtype=np.uint64).reshape(-1, 64) for i in (3, 5))
+            differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            both = b.column(2).to_numpy() + b.column(4).to_numpy()
+            yield b.select([0, 1]).filter(pa.array((100 + percent) * differ <= (100 - percent) * both))
+
+    return run
+
+
 def _verified(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -318,12 +336,14 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
         return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & ((100 + percent) * differ <= (100 - percent) * (a + b))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        pairs = scratch.save(pairs.distinct(), "pairs")
+        wide = sets.select("node", "size", "wide")
+        x, y = wide.toDF("a", "m", "v"), wide.toDF("b", "n", "w")
+        first = pairs.distinct().join(x, "a").join(y, "b").select("a", "b", "m", "v", "n", "w").mapInArrow(_sketched(percent), "a long, b long")
+        pairs = scratch.save(first.distinct(), "pairs")
         near = _small(pairs, pairs.count()).join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
         both = near.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
         out = scratch.save(both.select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long"), "links")
         scratch.drop(pairs)
-        scratch.release()
         return out
 
     def with_hubs(buckets: DataFrame) -> DataFrame:
@@ -369,7 +389,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_equal", F.lit(1)).alias("n_equal"))
 
 
-_SETS = "node long, size long, s0 long, s1 long, s2 long, s3 long, set binary"
+_SETS = "node long, size long, s0 long, s1 long, s2 long, s3 long, wide binary, set binary"
 
 
 def _hot(members: DataFrame) -> tuple[np.ndarray, np.ndarray]:
