@@ -12,15 +12,14 @@ a choice signs those too.
 
 Equal sets are one node before any signature is compared. In each bucket of a
 signature the best connected node is the hub, and the others are compared with
-it alone; a small bucket gives all its pairs. What is left are buckets that
-these links have not made one component. Small ones give their pairs of
-different components; a large one is cut by the shingles that stand first in
-an order of all of them, of which linked sets have one in common, and the parts
-get hubs of their own, LEVELS times at most. So no link between components is lost and no clique
-is written out. Before sets are fetched, pairs must pass a parity sketch: each
-shingle flips one of its 256 bits, so two sketches differ in no more bits than
-the sets in shingles, and no linked pair can fail; then one of 4,096 bits,
-which tells long sets apart.
+it alone; a small bucket gives all its pairs. What these links have not made one
+component is compared, by sketches inside of the bucket, in buckets of up to OPEN
+nodes; only pairs that pass leave it. The nodes of larger buckets meet by the shingles
+that stand first from rare to common, of which linked sets have one in common. So no link
+between components is lost and no clique is written out. A parity sketch has
+each shingle flip one of its 256 bits, so two sketches differ in no more bits
+than the sets in shingles, and no linked pair can fail; before sets are fetched
+one of two bits a shingle (4,096 at most) follows, which tells long sets apart.
 
 Signatures that a sample of sets shows to be very common are dealt to several
 tasks, which hand their rows to the hub step unpaired; the sample decides only
@@ -36,7 +35,7 @@ from math import exp
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -48,8 +47,6 @@ SKETCH = ["node", "size", "s0", "s1", "s2", "s3"]
 SPARSE, FULL = 1e-2, 1.5
 #: Buckets of at most so many nodes give all their pairs at once; after the hub step, of at most so many.
 PAIRED, OPEN = 6, 500
-#: Times that large open buckets are cut.
-LEVELS = 1
 #: One of so many sets is a sample that shows hot signatures: those of so many of its sets, and of a thousandth; rows of one that go to a task.
 SAMPLE, HOT, TASK_ROWS = 64, 32, 20_000
 _NODE, _WIDE = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
@@ -177,22 +174,13 @@ def _signed(n: int, percent: int, hot: np.ndarray, tasks: np.ndarray):
     return run
 
 
-def _prefixes(percent: int, level: int):
-    """(node, key): of each set the shingles first in an order of the level's own, so many that linked sets have one of them in common; from rows (node, set)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            size = np.array([len(x) // 8 for x in b.column(1).to_pylist()], dtype=np.int64)
-            key = mix(np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.uint64) + np.uint64(level))
-            row = np.repeat(np.arange(len(size)), size)
-            order = np.lexsort((key, row))
-            first = np.cumsum(size) - size
-            # linked sets share percent of the greater one's shingles at least
-            few = size - -(-percent * size // 100) + 1
-            at = order[np.arange(len(key)) - first[row] < few[row]]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[at])), pa.array(key[at].view(np.int64))], ["node", "key"])
-
-    return run
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, few, key): each shingle of each set, with the number of shingles that linked sets must have one in common of; from rows (node, need, set)."""
+    for b in batches:
+        whole = b.column(2).to_pylist()
+        size = np.array([len(x) // 8 for x in whole], dtype=np.int64)
+        row = pa.array(np.repeat(np.arange(len(size)), size))
+        yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(np.frombuffer(b"".join(whole), dtype=np.int64))], ["node", "few", "key"])
 
 
 def _sets(n: int):
@@ -206,10 +194,11 @@ def _sets(n: int):
                 np.bitwise_xor.at(sketch, doc * 4 + (bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
                 parts = sketch.view(np.int64).reshape(-1, 4)[at]
                 bit = (mix(h ^ _WIDE) >> np.uint64(52)).astype(np.int64)
-                wide = np.zeros(len(size) * 64, dtype=np.uint64)
-                np.bitwise_xor.at(wide, doc * 64 + (bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
-                wide = wide.reshape(-1, 64)[at]
-                yield pa.RecordBatch.from_arrays([pa.array(node[at].view(np.int64)), pa.array(size[at], pa.int64()), *(pa.array(np.ascontiguousarray(parts[:, i])) for i in range(4)), pa.array([x.tobytes() for x in wide], pa.binary()), pa.array([x.tobytes() for x in cut], pa.binary())], [*SKETCH, "wide", "set"])
+                width = 1 << np.clip(np.ceil(np.log2(np.maximum(size, 1) / 32)), 2, 6).astype(np.int64)
+                start = np.cumsum(width) - width
+                wide = np.zeros(int(width.sum()), dtype=np.uint64)
+                np.bitwise_xor.at(wide, start[doc] + (bit >> 6) % width[doc], np.uint64(1) << (bit & 63).astype(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(node[at].view(np.int64)), pa.array(size[at], pa.int64()), *(pa.array(np.ascontiguousarray(parts[:, i])) for i in range(4)), pa.array([wide[start[i] : start[i] + width[i]].tobytes() for i in at.tolist()], pa.binary()), pa.array([x.tobytes() for x in cut], pa.binary())], [*SKETCH, "wide", "set"])
 
     return run
 
@@ -251,15 +240,107 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig, node, hot = sig[keep:], node[keep:], hot[keep:]
 
 
+def _passing(percent: int, m: np.ndarray, n: np.ndarray, differ: np.ndarray) -> np.ndarray:
+    """Whether sets of m and n shingles whose sketches differ in so many bits may link."""
+    return (100 * np.minimum(m, n) >= percent * np.maximum(m, n)) & ((100 + percent) * differ <= (100 - percent) * (m + n))
+
+
+def _columns(b: pa.RecordBatch) -> list[np.ndarray]:
+    """All columns; those of the sketch as unsigned words."""
+    got = [x.to_numpy() for x in b.columns]
+    return [x.view(np.uint64) if f.name in SKETCH[2:] else x for f, x in zip(b.schema, got, strict=True)]
+
+
+def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (a, b)], ["a", "b"])
+
+
+def _hubs(percent: int):
+    """Pairs of the first row of a bucket with those of the others that may link; from rows (sig, node, size, sketch) in order of sig. One row is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c = _columns(batch)
+            if held is not None:
+                c = [np.concatenate([x, y]) for x, y in zip(held, c, strict=True)]
+            first = np.flatnonzero(np.r_[True, c[0][1:] != c[0][:-1]])
+            hub = np.repeat(first, np.diff(np.append(first, len(c[0]))))
+            differ = sum(np.bitwise_count(x ^ x[hub]).astype(np.int64) for x in c[3:7])
+            near = (c[1] != c[1][hub]) & _passing(percent, c[2], c[2][hub], differ)
+            yield _pairs([c[1][hub[near]]], [c[1][near]])
+            held = [x[hub[-1:]] for x in c]
+
+    return run
+
+
+def _across(percent: int, most: int | None):
+    """Pairs (a, b) of unlike labels in a bucket that may link; from rows (sig, node, size, sketch, label) in order of sig and label.
+
+    A bucket of more than ``most`` rows gives its nodes instead, with a null b, and no more rows than that are held over.
+    """
+
+    def compared(c: list[np.ndarray], a: list[np.ndarray], b: list[np.ndarray]) -> None:
+        node, size, label = c[1], c[2], c[7]
+        if label[0] == label[-1]:
+            return
+        step = max(1, (1 << 20) // len(node))
+        for lo in range(0, len(node), step):
+            y = int(np.searchsorted(label, label[lo], "right"))  # those before are of this label or have been compared
+            if y == len(node):
+                return
+            x = slice(lo, lo + step)
+            differ = sum(np.bitwise_count(s[x, None] ^ s[None, y:]).astype(np.int64) for s in c[3:7])
+            i, j = np.nonzero(_passing(percent, size[x, None], size[None, y:], differ) & (label[x, None] < label[None, y:]))
+            a.append(node[lo + i])
+            b.append(node[y + j])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, going = None, None  # rows of the bucket that is open; the signature of one that is known to be large
+        for batch in chain(batches, (None,)):
+            c = None if batch is None else _columns(batch)
+            if held is not None:
+                c = held if c is None else [np.concatenate([x, y]) for x, y in zip(held, c, strict=True)]
+            if c is None or not len(c[0]):
+                continue
+            first = np.flatnonzero(np.r_[True, c[0][1:] != c[0][:-1]])
+            ends = np.append(first[1:], len(c[0]))
+            a, b, large = [], [], []
+            for lo, hi in zip(first.tolist(), ends.tolist(), strict=True):
+                last = hi == len(c[0]) and batch is not None
+                if c[0][lo] == going or (most is not None and hi - lo > most):
+                    large.append(c[1][lo:hi])
+                    going, held = c[0][lo], None
+                elif last:
+                    held = [x[lo:hi] for x in c]
+                else:
+                    held = None
+                    if hi - lo > 1:
+                        compared([x[lo:hi] for x in c], a, b)
+            yield _pairs(a, b)
+            if large:
+                node = np.concatenate(large)
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.nulls(len(node), pa.int64())], ["a", "b"])
+
+    return run
+
+
 def _sketched(percent: int):
-    """Pairs (a, b) that their sizes and wide sketches let pass, from rows (a, b, size of a, sketch of a, size of b, sketch of b)."""
+    """Pairs (a, b) that their sizes and wide sketches let pass, from rows (a, b, size of a, sketch of a, size of b, sketch of b); the longer sketch is folded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), dtype=np.uint64).reshape(-1, 64) for i in (3, 5))
-            differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
-            both = b.column(2).to_numpy() + b.column(4).to_numpy()
-            yield b.select([0, 1]).filter(pa.array((100 + percent) * differ <= (100 - percent) * both))
+        for batch in batches:
+            x, y = (np.array(batch.column(i).to_pylist(), dtype=object) for i in (3, 5))
+            m, n = (batch.column(i).to_numpy() for i in (2, 4))
+            wide = np.array([(len(p) // 8, len(q) // 8) for p, q in zip(x, y, strict=True)], dtype=np.int64).reshape(-1, 2)
+            differ = np.zeros(len(m), dtype=np.int64)
+            for p, q in np.unique(wide, axis=0).tolist():
+                at, least = np.flatnonzero((wide == (p, q)).all(1)), min(p, q)
+                v, w = (np.bitwise_xor.reduce(np.frombuffer(b"".join(z[at]), dtype=np.uint64).reshape(len(at), -1, least), axis=1) for z in (x, y))
+                differ[at] = np.bitwise_count(v ^ w).sum(1, dtype=np.int64)
+            yield batch.select([0, 1]).filter(pa.array(_passing(percent, m, n, differ)))
 
     return run
 
@@ -346,39 +427,32 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
         scratch.drop(pairs)
         return out
 
-    def with_hubs(buckets: DataFrame) -> DataFrame:
-        """Pairs of each node with the hub of its bucket: the node that shares the most signatures; none of one label."""
-        degree = buckets.groupBy("node").agg(F.count("*").alias("degree"))
-        hub = buckets.join(degree, "node").groupBy("sig").agg(F.max(F.struct("degree", *buckets.columns[1:])).alias("hub")).select("sig", "hub.*")
-        x, y = hub.alias("x"), buckets.alias("y")
-        apart = F.col("x.label") != F.col("y.label") if "label" in buckets.columns else F.col("x.node") != F.col("y.node")
-        return x.join(y, (F.col("x.sig") == F.col("y.sig")) & apart & may_link("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-
-    buckets = multi.join(sketch, "node").select("sig", *SKETCH)
+    degree = multi.groupBy("node").agg(F.count("*").alias("degree"))
+    rows = multi.join(degree.join(sketch, "node"), "node").select("sig", *SKETCH, "degree")
+    hubs = rows.repartition("sig").sortWithinPartitions("sig", F.desc("degree"), "node").mapInArrow(_hubs(percent), "a long, b long")
     near = few.join(sketch.alias("x"), F.col("a") == F.col("x.node")).join(sketch.alias("y"), F.col("b") == F.col("y.node")).where(may_link("x", "y")).select("a", "b")
-    edges = linked(with_hubs(buckets).union(near))
-    for level in range(LEVELS + 1):
-        label = components(edges, scratch)
-        # buckets that hold more than one component yet
-        labelled = buckets.drop("label").join(label, "node", "left").withColumn("label", F.coalesce("label", "node")).select("sig", *SKETCH, "label")
-        open_sigs = labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("k")).where("lo <> hi").select("sig", "k")
-        rest = scratch.save(labelled.join(open_sigs, "sig"), "open")
-        small = rest if level == LEVELS else rest.where(F.col("k") <= OPEN)
-        x, y = small.alias("x"), small.alias("y")
-        pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & may_link("x", "y"))
-        more = linked(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
-        large = rest.where(F.col("k") > OPEN).drop("k")
-        if level == LEVELS or large.isEmpty():
-            if not more.isEmpty():
-                label = components(edges.union(more), scratch)
-            break
-        # common shingles cut the large ones, and the parts that still hold two components get hubs
-        again = sets.join(large.select("node").distinct(), "node", "left_semi").select("node", "set").mapInArrow(_prefixes(percent, level + 1), "node long, key long").distinct()
-        finer = large.join(again, "node").select(F.xxhash64("sig", "key").alias("sig"), *SKETCH, "label")
-        mixed = finer.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
-        buckets = scratch.save(finer.join(mixed, "sig", "left_semi"), "buckets")
-        scratch.drop(rest)
-        edges = edges.union(more).union(linked(with_hubs(buckets)))
+    edges = linked(hubs.union(near))
+    label = components(edges, scratch)
+    scratch.release()
+
+    def labelled(buckets: DataFrame, most: int | None) -> DataFrame:
+        """What _across finds in the buckets (sig, node)."""
+        marks = sketch.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        in_order = buckets.join(marks, "node").select("sig", *SKETCH, "label").repartition("sig").sortWithinPartitions("sig", "label")
+        return in_order.mapInArrow(_across(percent, most), "a long, b long")
+
+    found = scratch.save(labelled(multi, OPEN), "found")
+    more = linked(found.where("b IS NOT NULL"))
+    large = found.where("b IS NULL").select(F.col("a").alias("node")).distinct()
+    if not large.isEmpty():
+        need = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1  # linked sets share percent of the greater one's shingles at least
+        spread = scratch.save(sets.join(large, "node", "left_semi").dropDuplicates(["node"]).select("node", need.cast("long").alias("few"), "set").mapInArrow(_spread, "node long, few long, key long"), "spread")
+        common = spread.groupBy("key").agg(F.count("*").alias("k"))
+        place = F.row_number().over(Window.partitionBy("node").orderBy("k", "key"))
+        first = spread.join(common, "key").withColumn("place", place).where("place <= few AND k > 1").select(F.col("key").alias("sig"), "node")
+        more = more.union(linked(labelled(first, None)))
+    if not more.isEmpty():
+        label = components(edges.union(more), scratch)
 
     # the least id of each class; equal sets belong to one node
     per_node = members.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("n_equal"))

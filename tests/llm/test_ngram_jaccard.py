@@ -72,7 +72,7 @@ def test_empty_repeated_and_null_ids(spark):
 
 
 def test_open_buckets_and_hot_signatures(spark, monkeypatch):
-    """Every bucket that the first hubs leave open goes through the later deals, and sampled signatures to several tasks."""
+    """Every bucket that the first hubs leave open goes by its rarest shingles, and sampled signatures to several tasks."""
     from sedgeline.llm import ngram_jaccard as nj
 
     monkeypatch.setattr(nj, "OPEN", 1)
