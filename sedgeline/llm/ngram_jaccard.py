@@ -17,9 +17,9 @@ component is compared, by sketches inside of the bucket, in buckets of up to OPE
 nodes; only pairs that pass leave it. The nodes of larger buckets meet by the shingles
 that stand first from rare to common, of which linked sets have one in common. So no link
 between components is lost and no clique is written out. A parity sketch has
-each shingle flip one of its 256 bits, so two sketches differ in no more bits
-than the sets in shingles, and no linked pair can fail; before sets are fetched
-one of two bits a shingle (4,096 at most) follows, which tells long sets apart.
+two bits a shingle (256 to 4,096) and each shingle flip one of them, so two sketches,
+folded to one length, differ in no more bits than the sets in shingles, and no
+linked pair can fail. Pairs of small buckets meet one of 256 bits first.
 
 Signatures that a sample of sets shows to be very common are dealt to several
 tasks, which hand their rows to the hub step unpaired; the sample decides only
@@ -246,9 +246,32 @@ def _passing(percent: int, m: np.ndarray, n: np.ndarray, differ: np.ndarray) ->
 
 
 def _columns(b: pa.RecordBatch) -> list[np.ndarray]:
-    """All columns; those of the sketch as unsigned words."""
-    got = [x.to_numpy() for x in b.columns]
-    return [x.view(np.uint64) if f.name in SKETCH[2:] else x for f, x in zip(b.schema, got, strict=True)]
+    return [np.array(x.to_pylist(), dtype=object) if pa.types.is_binary(x.type) else x.to_numpy() for x in b.columns]
+
+
+def _folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Sketches of one length as rows of so many words, a power of two."""
+    return np.bitwise_xor.reduce(np.frombuffer(b"".join(sketches), dtype=np.uint64).reshape(len(sketches), -1, words), axis=1)
+
+
+def _even(sketches: np.ndarray) -> np.ndarray:
+    """Sketches of several lengths, all folded to the shortest."""
+    long = np.array([len(x) // 8 for x in sketches], dtype=np.int64)
+    out = np.zeros((len(long), int(long.min())), dtype=np.uint64)
+    for n in np.unique(long).tolist():
+        at = np.flatnonzero(long == n)
+        out[at] = _folded(sketches[at], out.shape[1])
+    return out
+
+
+def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits in which sketches of pairs (a row of both) differ, each pair at the shorter one's length."""
+    wide = np.array([(len(p) // 8, len(q) // 8) for p, q in zip(x, y, strict=True)], dtype=np.int64).reshape(-1, 2)
+    out = np.zeros(len(x), dtype=np.int64)
+    for p, q in np.unique(wide, axis=0).tolist():
+        at = np.flatnonzero((wide == (p, q)).all(1))
+        out[at] = np.bitwise_count(_folded(x[at], min(p, q)) ^ _folded(y[at], min(p, q))).sum(1, dtype=np.int64)
+    return out
 
 
 def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
@@ -256,7 +279,7 @@ def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def _hubs(percent: int):
-    """Pairs of the first row of a bucket with those of the others that may link; from rows (sig, node, size, sketch) in order of sig. One row is held."""
+    """Pairs of the first row of a bucket with those of the others that may link; from rows (sig, node, size, wide sketch) in order of sig. One row is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -268,31 +291,33 @@ def _hubs(percent: int):
                 c = [np.concatenate([x, y]) for x, y in zip(held, c, strict=True)]
             first = np.flatnonzero(np.r_[True, c[0][1:] != c[0][:-1]])
             hub = np.repeat(first, np.diff(np.append(first, len(c[0]))))
-            differ = sum(np.bitwise_count(x ^ x[hub]).astype(np.int64) for x in c[3:7])
-            near = (c[1] != c[1][hub]) & _passing(percent, c[2], c[2][hub], differ)
-            yield _pairs([c[1][hub[near]]], [c[1][near]])
+            near = np.flatnonzero(c[1] != c[1][hub])
+            other = hub[near]
+            hold = _passing(percent, c[2][near], c[2][other], _differ(c[3][near], c[3][other]))
+            yield _pairs([c[1][other[hold]]], [c[1][near[hold]]])
             held = [x[hub[-1:]] for x in c]
 
     return run
 
 
 def _across(percent: int, most: int | None):
-    """Pairs (a, b) of unlike labels in a bucket that may link; from rows (sig, node, size, sketch, label) in order of sig and label.
+    """Pairs (a, b) of unlike labels in a bucket that may link; from rows (sig, node, size, wide sketch, label) in order of sig and label.
 
     A bucket of more than ``most`` rows gives its nodes instead, with a null b, and no more rows than that are held over.
     """
 
     def compared(c: list[np.ndarray], a: list[np.ndarray], b: list[np.ndarray]) -> None:
-        node, size, label = c[1], c[2], c[7]
+        node, size, label = c[1], c[2], c[4]
         if label[0] == label[-1]:
             return
+        sketch = _even(c[3])
         step = max(1, (1 << 20) // len(node))
         for lo in range(0, len(node), step):
             y = int(np.searchsorted(label, label[lo], "right"))  # those before are of this label or have been compared
             if y == len(node):
                 return
             x = slice(lo, lo + step)
-            differ = sum(np.bitwise_count(s[x, None] ^ s[None, y:]).astype(np.int64) for s in c[3:7])
+            differ = sum(np.bitwise_count(s[x, None] ^ s[None, y:]).astype(np.int64) for s in sketch.T)
             i, j = np.nonzero(_passing(percent, size[x, None], size[None, y:], differ) & (label[x, None] < label[None, y:]))
             a.append(node[lo + i])
             b.append(node[y + j])
@@ -332,15 +357,8 @@ def _sketched(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.array(batch.column(i).to_pylist(), dtype=object) for i in (3, 5))
-            m, n = (batch.column(i).to_numpy() for i in (2, 4))
-            wide = np.array([(len(p) // 8, len(q) // 8) for p, q in zip(x, y, strict=True)], dtype=np.int64).reshape(-1, 2)
-            differ = np.zeros(len(m), dtype=np.int64)
-            for p, q in np.unique(wide, axis=0).tolist():
-                at, least = np.flatnonzero((wide == (p, q)).all(1)), min(p, q)
-                v, w = (np.bitwise_xor.reduce(np.frombuffer(b"".join(z[at]), dtype=np.uint64).reshape(len(at), -1, least), axis=1) for z in (x, y))
-                differ[at] = np.bitwise_count(v ^ w).sum(1, dtype=np.int64)
-            yield batch.select([0, 1]).filter(pa.array(_passing(percent, m, n, differ)))
+            _, _, m, x, n, y = _columns(batch)
+            yield batch.select([0, 1]).filter(pa.array(_passing(percent, m, n, _differ(x, y))))
 
     return run
 
@@ -416,11 +434,10 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
         differ = sum((F.bit_count(F.col(f"{x}.s{i}").bitwiseXOR(F.col(f"{y}.s{i}"))) for i in range(4)), F.lit(0))
         return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & ((100 + percent) * differ <= (100 - percent) * (a + b))
 
+    wide = sets.select("node", "size", "wide")
+
     def linked(pairs: DataFrame) -> DataFrame:
-        wide = sets.select("node", "size", "wide")
-        x, y = wide.toDF("a", "m", "v"), wide.toDF("b", "n", "w")
-        first = pairs.distinct().join(x, "a").join(y, "b").select("a", "b", "m", "v", "n", "w").mapInArrow(_sketched(percent), "a long, b long")
-        pairs = scratch.save(first.distinct(), "pairs")
+        pairs = scratch.save(pairs.distinct(), "pairs")
         near = _small(pairs, pairs.count()).join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
         both = near.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
         out = scratch.save(both.select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long"), "links")
@@ -428,17 +445,19 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
         return out
 
     degree = multi.groupBy("node").agg(F.count("*").alias("degree"))
-    rows = multi.join(degree.join(sketch, "node"), "node").select("sig", *SKETCH, "degree")
+    rows = multi.join(degree.join(wide, "node"), "node").select("sig", "node", "size", "wide", "degree")
     hubs = rows.repartition("sig").sortWithinPartitions("sig", F.desc("degree"), "node").mapInArrow(_hubs(percent), "a long, b long")
     near = few.join(sketch.alias("x"), F.col("a") == F.col("x.node")).join(sketch.alias("y"), F.col("b") == F.col("y.node")).where(may_link("x", "y")).select("a", "b")
+    x, y = wide.toDF("a", "m", "v"), wide.toDF("b", "n", "w")
+    near = near.join(x, "a").join(y, "b").select("a", "b", "m", "v", "n", "w").mapInArrow(_sketched(percent), "a long, b long")
     edges = linked(hubs.union(near))
     label = components(edges, scratch)
     scratch.release()
 
     def labelled(buckets: DataFrame, most: int | None) -> DataFrame:
         """What _across finds in the buckets (sig, node)."""
-        marks = sketch.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        in_order = buckets.join(marks, "node").select("sig", *SKETCH, "label").repartition("sig").sortWithinPartitions("sig", "label")
+        marks = wide.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        in_order = buckets.join(marks, "node").select("sig", "node", "size", "wide", "label").repartition("sig").sortWithinPartitions("sig", "label")
         return in_order.mapInArrow(_across(percent, most), "a long, b long")
 
     found = scratch.save(labelled(multi, OPEN), "found")
