@@ -473,6 +473,8 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     if not more.isEmpty():
         label = components(edges.union(more), scratch)
 
+    scratch.drop(sets, multi, few, source, found)  # the result reads none of them
+
     # the least id of each class; equal sets belong to one node
     per_node = members.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("n_equal"))
     classed = per_node.join(label, "node", "left").select("node", "least", "n_equal", F.coalesce("label", "node").alias("label"))
