@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
 from .chat import canonical_turns, format_chats, loss_texts, read_turns
 from .decontaminate import decontaminate, is_contaminated
 from .lattice import score_texts
@@ -14,9 +15,11 @@ from .line_rules import apply_rules, base_failed, fit_rules, is_kept
 from .ngram_jaccard import ngram_jaccard_join
 from .packing import pack
 from .quality import crc_mod, fit_quality, score_quality
+from .resampling import resample
 from .secrets import joined, scan_secrets
 from .substrings import remove_repeats
 from .toxicity import fit_toxicity, score_toxicity
+from .vector_codes import encode, fit_codebooks, label_errors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -188,3 +191,73 @@ n AS (SELECT doc_id, sum(b - a) AS n, count(*) AS k FROM s GROUP BY doc_id)
 SELECT d.doc_id, length(d.x) // 2 AS n_bytes, CAST(coalesce(n.n, 0) AS BIGINT) AS n_removed, coalesce(n.k, 0) AS n_spans, sha256(unhex(k.x)) AS kept_sha256
 FROM d JOIN k ON d.doc_id = k.doc_id LEFT JOIN n ON d.doc_id = n.doc_id
 """
+
+
+@query
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    books = fit_codebooks(vectors)
+    coded = encode(vectors, books).select("vec_id", "label", "vector_code.code", "vector_code.error")
+    out = label_errors(Scratch(spark, "vector_codes").save(coded, "coded"))
+    return out.select("vec_id", "code", "error", "label_error", F.sha2(F.lit(books.text()), 256).alias("codebooks_sha256"))
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Rounds one after the other; sums of products of integers are exact in doubles here."""
+    near = "SELECT p.vec_id, p.part, arg_min(e, (d, e)) AS e, min(d) AS d FROM (SELECT p.vec_id, p.part, b.e, p.s - 2 * list_inner_product(p.v, b.v) + b.s AS d FROM p JOIN b{i} b ON p.part = b.part) p GROUP BY p.vec_id, p.part"
+    steps = []
+    for i in range(rounds):
+        steps.append(f"""a{i} AS MATERIALIZED ({near.format(i=i)}),
+m{i} AS MATERIALIZED (SELECT part, e, list(x ORDER BY pos) AS v FROM (
+  SELECT part, e, pos, CAST((s - ((s % n) + n) % n) // n AS DOUBLE) AS x FROM (
+    SELECT a.part, a.e, pos, CAST(sum(p.v[pos]) AS HUGEINT) AS s, count(*) AS n FROM a{i} a JOIN p ON a.vec_id = p.vec_id AND a.part = p.part, range(1, 17) t(pos) GROUP BY a.part, a.e, pos)) GROUP BY part, e),
+b{i + 1} AS MATERIALIZED (SELECT part, e, v, list_inner_product(v, v) AS s FROM (SELECT b.part, b.e, coalesce(m.v, b.v) AS v FROM b{i} b LEFT JOIN m{i} m ON b.part = m.part AND b.e = m.e))""")
+    return f"""
+WITH k AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, part, v, list_inner_product(v, v) AS s FROM (SELECT vec_id, part, v[16 * part + 1:16 * part + 16] AS v FROM k, range(4) t(part))),
+b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, v, s FROM p WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT 256)),
+{",".join(steps)},
+f AS MATERIALIZED ({near.format(i=rounds)}),
+c AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM f GROUP BY vec_id),
+h AS (SELECT sha256(string_agg(t, ',' ORDER BY part, e)) AS h FROM (SELECT part, e, array_to_string(list_transform(v, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',') AS t FROM b{rounds}))
+SELECT c.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
+FROM c JOIN k ON c.vec_id = k.vec_id, h
+"""
+
+
+ORACLE_SQL["op11_vector_codes"] = _codes_sql()
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+#: crc32 by bytes over a table of 256 values that the first step builds
+ORACLE_SQL["op12_importance_resampling"] = f"""
+WITH crc AS MATERIALIZED (
+  SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) r(i)),
+d AS MATERIALIZED (SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS MATERIALIZED (SELECT regexp_extract_all({_LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+x AS MATERIALIZED (SELECT doc_id, unnest(w) AS w FROM d),
+y AS MATERIALIZED (SELECT unnest(w) AS w FROM b),
+k AS MATERIALIZED (
+  SELECT w, xor(list_reduce(list_transform(range(0, length(h) // 2), lambda i: CAST('0x' || h[2 * i + 1:2 * i + 2] AS BIGINT)),
+    lambda c, o: xor(t[1 + (xor(c, o) & 255)], c >> 8), 4294967295), 4294967295) % 10000 AS k
+  FROM (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM x UNION SELECT w FROM y)), crc),
+s AS (SELECT k, count(*) AS s FROM x JOIN k ON x.w = k.w GROUP BY k),
+t AS (SELECT k, count(*) AS t FROM y JOIN k ON y.w = k.w GROUP BY k),
+g AS MATERIALIZED (
+  SELECT k.k, CAST(floor(1000 * ln((coalesce(t, 0) + 1) * CAST((SELECT count(*) FROM x) + 10000 AS DOUBLE) / ((coalesce(s, 0) + 1) * CAST((SELECT count(*) FROM y) + 10000 AS DOUBLE)))) AS BIGINT) AS g
+  FROM (SELECT DISTINCT k FROM k) k LEFT JOIN s ON k.k = s.k LEFT JOIN t ON k.k = t.k),
+v AS (SELECT doc_id, count(*) AS n, sum(g) AS g FROM x JOIN k ON x.w = k.w JOIN g ON k.k = g.k GROUP BY doc_id),
+r AS (
+  SELECT d.doc_id, coalesce(n, 0) AS n_features, CAST(coalesce(g, 0) AS BIGINT) AS weight,
+    CAST(coalesce(g, 0) + floor(-1000 * ln(-ln((CAST('0x' || sha256('2024:' || d.doc_id)[1:8] AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS score
+  FROM d LEFT JOIN v ON d.doc_id = v.doc_id),
+o AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) END AS o FROM r)
+SELECT doc_id, n_features, weight, score, CASE WHEN o <= (SELECT count(*) FROM r WHERE n_features >= 20) * 10 // 100 THEN o END AS rank FROM o
+"""

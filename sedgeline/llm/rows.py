@@ -13,6 +13,14 @@ from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 from ..session import ship
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def annotate(docs: DataFrame, run: Callable[..., Iterator[dict[str, pa.Array]]], fields: str, out_col: str, text_col: str = "text", beside: str | None = None) -> DataFrame:
     """``docs`` with a struct column ``out_col`` that ``run`` makes from the texts.
 
