@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..scratch import Scratch
 from .chat import canonical_turns, format_chats, loss_texts, read_turns
 from .decontaminate import decontaminate, is_contaminated
+from .language import fit_languages, identify
 from .lattice import score_texts
 from .line_rules import apply_rules, base_failed, fit_rules, is_kept
 from .ngram_jaccard import ngram_jaccard_join
@@ -261,3 +262,11 @@ r AS (
 o AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) END AS o FROM r)
 SELECT doc_id, n_features, weight, score, CASE WHEN o <= (SELECT count(*) FROM r WHERE n_features >= 20) * 10 // 100 THEN o END AS rank FROM o
 """
+
+
+@query
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    filters = fit_languages(docs, crc_mod("doc_id", 4) != 2)
+    found = identify(docs.select("doc_id", "text"), filters)
+    return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
