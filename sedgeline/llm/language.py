@@ -1,10 +1,11 @@
 """Language identification by bit-sliced Bloom filters of character n-grams.
 
-Training counts in how many texts of each language an n-gram stands. A
-language's set has the n-grams that stand in at least ``LEAST`` of its texts
-and at a rate of at least ``NEAR`` of the greatest rate that any language has.
-Rates, not numbers, decide, so a set's size is bounded by the mean number of
-distinct n-grams in a text divided by ``LEAST``, however many texts there are.
+Training counts the distinct words of each text, by language, and with a word
+its n-grams. A language's set has the n-grams whose count is at least ``LEAST``
+of its number of words, and whose share of the words is at least ``NEAR`` of
+the greatest share that any language has. Shares, not numbers, decide, so a
+set's size is bounded by the mean number of n-grams in a word divided by
+``LEAST``, however many texts there are.
 
 All sets go into one filter: a place of the filter is a row of bits, one for
 each language, and an n-gram sets its languages' bits at each of its places.
@@ -40,15 +41,16 @@ from pyspark.sql import functions as F
 
 from ..scratch import Scratch
 from .rows import annotate, free
-from .text import chunks, mix
+from .text import chunks, mix, runs, span_hash, spans
 
 LONGEST = 4
-LEAST, NEAR = 1 / 1000, 0.25
+LEAST, NEAR = 1 / 20_000, 0.25
 #: Places of the filter for each n-gram of the largest set, and how many of them an n-gram has.
 ROOM, HASHES = 16, 3
 UNKNOWN = "und"
 #: A task sends its counts on when it holds so many.
-HELD = 1 << 21
+HELD = 1 << 20
+TEXT_CHUNK, PIECE = 1 << 21, 1 << 19
 _MARK = np.uint64(0x1FFFFF)  # no character has this number
 
 
@@ -57,41 +59,51 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(sys.maxunicode + 1)), dtype=bool, count=sys.maxunicode + 1)
 
 
-def grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and hash of each n-gram of a chunk of lower-case texts, and no row for texts without letters."""
+@dataclass
+class Spelled:
+    """The distinct words of a chunk, and of each text's distinct words the row, the word and how often it stands there."""
+
+    text: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    doc: np.ndarray
+    word: np.ndarray
+    times: np.ndarray
+
+
+def words_of(data: np.ndarray, off: np.ndarray) -> Spelled:
+    """The words of a chunk of lower-case texts."""
     text = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), dtype=np.uint32)
-    if not len(text):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     # characters begin at bytes that aren't continuations
-    lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    edge = lead[off]
-    inside = _letters()[text]
-    doc = np.searchsorted(edge, np.arange(len(text)), side="right") - 1
-    first = np.zeros(len(text), dtype=bool)
-    first[edge[:-1][edge[:-1] < len(text)]] = True
-    before = np.append(False, inside[:-1]) & ~first
-    at = np.flatnonzero(inside)
-    new = ~before[at]  # a word's first letter; each word has a mark before and one after it
-    n_words = int(new.sum())
-    place = np.arange(len(at)) + 2 * np.cumsum(new) - 1
-    flat = np.full(len(at) + 2 * n_words, _MARK, dtype=np.uint64)
-    flat[place] = text[at]
-    word = np.zeros(len(flat), dtype=np.int64)
-    starts = place[new] - 1
-    word[starts[1:]] = 1
-    word = np.cumsum(word)
-    row = doc[at[new]][word] if n_words else np.zeros(0, np.int64)
-    docs, out = [], []
-    h = np.zeros(len(flat), dtype=np.uint64)
-    for n in range(1, LONGEST + 1):
-        m = len(flat) - n + 1
-        if m < 1:
-            break
-        h = h[:m] * np.uint64(0x9FB21C651E98DF25) + flat[n - 1 :] + np.uint64(1)
-        own = (word[:m] == word[n - 1 :]) if n > 1 else flat != _MARK
-        docs.append(row[:m][own])
-        out.append(mix(h[own] + np.uint64(n)))
-    return np.concatenate(docs), np.concatenate(out)
+    begin = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+    edge = np.searchsorted(begin, off)
+    doc, start, end = runs(text, edge, _letters())
+    h = span_hash(data, begin[start], begin[end])
+    order = np.lexsort((h, doc))
+    new = np.flatnonzero(np.append(True, (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1]))) if len(h) else np.zeros(0, np.int64)
+    first = order[new]
+    _, own, word = np.unique(h[first], return_index=True, return_inverse=True)
+    return Spelled(text, start[first[own]], end[first[own]], doc[first], word, np.diff(np.append(new, len(h))))
+
+
+def grams(w: Spelled) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct word and hash of the n-grams of a chunk's distinct words, some words and one n at a time."""
+    size = w.end - w.start
+    edge = np.append(0, np.cumsum(size + 2))
+    lo = 0
+    while lo < len(size):
+        hi = max(int(np.searchsorted(edge, edge[lo] + PIECE, side="right")) - 1, lo + 1)
+        to = edge[lo + 1 : hi + 1] - edge[lo]
+        flat = np.full(int(to[-1]), _MARK, dtype=np.uint64)
+        flat[spans(to - size[lo:hi] - 1, to - 1)] = w.text[spans(w.start[lo:hi], w.end[lo:hi])]
+        word = np.repeat(np.arange(lo, hi), size[lo:hi] + 2)
+        h = np.zeros(len(flat), dtype=np.uint64)
+        for n in range(1, min(LONGEST, len(flat)) + 1):
+            m = len(flat) - n + 1
+            h = h[:m] * np.uint64(0x9FB21C651E98DF25) + flat[n - 1 :] + np.uint64(1)
+            own = (word[:m] == word[n - 1 :]) if n > 1 else flat != _MARK
+            yield word[:m][own], mix(h[own] + np.uint64(n))
+        lo = hi
 
 
 @dataclass
@@ -110,16 +122,21 @@ class Filters:
             out = self.rows[p] if out is None else out & self.rows[p]
         return out
 
-    def counts(self, doc: np.ndarray, h: np.ndarray, n_docs: int) -> np.ndarray:
-        """Corrected numbers of n-grams: texts x languages."""
-        masks, total = self.masks(h), np.bincount(doc, minlength=n_docs)
-        wrong = self.share**HASHES
-        out = np.zeros((n_docs, len(self.languages)))
-        for i in range(len(self.languages)):
-            hit = (masks[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)
-            n = np.bincount(doc, weights=hit, minlength=n_docs)
-            out[:, i] = np.maximum(n - total * wrong[i], 0) / max(1 - wrong[i], 1e-9)
-        return out
+    def counts(self, w: Spelled, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+        """Corrected numbers of n-grams (texts x languages) and how many n-grams each text has."""
+        n_words, n_langs = len(w.start), len(self.languages)
+        n, hits = np.zeros(n_words), np.zeros((n_langs, n_words))
+        for of, h in grams(w):
+            masks = self.masks(h)
+            n += np.bincount(of, minlength=n_words)
+            for i in range(n_langs):
+                hits[i] += np.bincount(of, weights=(masks[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1), minlength=n_words)
+        total = np.bincount(w.doc, weights=n[w.word] * w.times, minlength=n_docs)
+        out, wrong = np.zeros((n_docs, n_langs)), self.share**HASHES
+        for i in range(n_langs):
+            own = np.bincount(w.doc, weights=hits[i][w.word] * w.times, minlength=n_docs)
+            out[:, i] = np.maximum(own - total * wrong[i], 0) / max(1 - wrong[i], 1e-9)
+        return out, total.astype(np.int64)
 
 
 def places(h: np.ndarray, size: int) -> Iterator[np.ndarray]:
@@ -130,7 +147,7 @@ def places(h: np.ndarray, size: int) -> Iterator[np.ndarray]:
 
 
 def _counted(languages: list[str]) -> Callable:
-    """From (text, language) to (gram, language, number of texts), added up as far as a task's bound allows."""
+    """From (text, language) to (gram, language, number of words of texts), added up as far as a task's bound allows."""
     number = {x: i for i, x in enumerate(languages)}
 
     def flush(held: list) -> pa.RecordBatch:
@@ -144,23 +161,29 @@ def _counted(languages: list[str]) -> Callable:
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
+        total = np.zeros(len(languages), dtype=np.int64)
         for b in batches:
             lang = np.array([number[x] for x in b.column(1).to_pylist()], dtype=np.int64)
-            for lo, hi, data, off in chunks(b.column(0)):
-                doc, h = grams(data, off)
-                if not len(h):
-                    continue
-                order = np.lexsort((h, doc))
-                doc, h = doc[order], h[order]
-                new = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))
-                held.append((h[new], lang[lo:hi][doc[new]], np.ones(int(new.sum()), np.int64)))
-            if sum(len(x[0]) for x in held) > HELD:
-                out = flush(held)
-                if out.num_rows > HELD // 2:
-                    yield out
-                    held = []
+            for lo, hi, data, off in chunks(b.column(0), TEXT_CHUNK):
+                w = words_of(data, off)
+                spoken = lang[lo:hi][w.doc]
+                times = {y: np.bincount(w.word[spoken == y], minlength=len(w.start)) for y in np.unique(spoken).tolist()}
+                for y, n in times.items():
+                    total[y] += int(n.sum())
+                for of, h in grams(w):
+                    g, at = np.unique(h, return_inverse=True)
+                    for y, n in times.items():
+                        c = np.bincount(at, weights=n[of], minlength=len(g)).astype(np.int64)
+                        held.append((g[c > 0], np.full(int((c > 0).sum()), y), c[c > 0]))
+                    if sum(len(x[0]) for x in held) > HELD:
+                        out = flush(held)
+                        if out.num_rows > HELD // 2:
+                            yield out
+                            held = []
         if held:
             yield flush(held)
+        # rows without a gram: the words of each language
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(languages), pa.int64()), pa.array(np.arange(len(languages), dtype=np.int32)), pa.array(total)], ["gram", "language", "n"])
 
     return over
 
@@ -180,15 +203,17 @@ def fit_languages(docs: DataFrame, learns: Column, lang_col: str = "lang", text_
         return Filters([], np.zeros((1, words), np.uint64), np.zeros(0), 0)
     scratch = Scratch(docs.sparkSession, "language")
     counts = rows.mapInArrow(_counted(languages), "gram long, language int, n long").groupBy("gram", "language").agg(F.sum("n").alias("n"))
-    texts = F.element_at(F.array(*(F.lit(n) for _, n in total)), F.col("language") + 1)
-    rates = counts.withColumn("rate", F.col("n") / texts).groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("language", "rate")).alias("of"))
+    counts = scratch.save(counts, "counts")
+    spoken = {r.language: r.n for r in counts.where("gram IS NULL").collect()}
+    spoken = F.element_at(F.array(*(F.lit(max(spoken.get(i, 0), 1)) for i in range(len(languages)))), F.col("language") + 1)
+    rates = counts.where("gram IS NOT NULL").withColumn("rate", F.col("n") / spoken).groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("language", "rate")).alias("of"))
     sets = rates.select("gram", F.filter("of", lambda x: (x["rate"] >= LEAST) & (x["rate"] >= NEAR * F.col("top"))).alias("of")).where(F.size("of") > 0)
     sets = scratch.save(sets.select("gram", F.transform("of", lambda x: x["language"]).alias("languages")), "sets")
     largest = sets.select(F.explode("languages").alias("language")).groupBy("language").count().agg(F.max("count")).first()[0] or 1
     size = 1 << max((ROOM * largest - 1).bit_length(), 10)
     bits = sets.mapInArrow(_placed(size, words), f"place long, {', '.join(f'm{i} long' for i in range(words))}")
     got = bits.groupBy("place").agg(*(F.bit_or(f"m{i}").alias(f"m{i}") for i in range(words))).toArrow()
-    scratch.drop(sets)
+    scratch.drop(sets, counts)
     filled = np.zeros((size, words), dtype=np.uint64)
     for i in range(words):
         filled[got["place"].to_numpy(), i] = got[f"m{i}"].to_numpy().view(np.uint64)
@@ -219,18 +244,16 @@ def identify(docs: DataFrame, filters: Filters, text_col: str = "text", out_col:
     none, width = len(filters.languages), max(len(filters.languages), 1)
 
     def run(text: pa.Array) -> Iterator[dict[str, pa.Array]]:
-        for lo, hi, data, off in chunks(text):
-            doc, h = grams(data, off)
-            n = np.bincount(doc, minlength=hi - lo)
+        for lo, hi, data, off in chunks(text, TEXT_CHUNK):
+            c, n = filters.counts(words_of(data, off), hi - lo)
             if none:
-                c = filters.counts(doc, h, hi - lo)
                 best, sums = c.argmax(1), c.sum(1)
                 best[sums == 0] = filters.common
                 score = np.where(sums > 0, c.max(1) / np.maximum(sums, 1e-300), 1 / width)
             else:
                 best, score = np.zeros(hi - lo, np.int64), np.zeros(hi - lo)
             best[n == 0], score[n == 0] = none, 0.0
-            yield {"lang": names.take(pa.array(best)), "score": pa.array(score), "n_grams": pa.array(n.astype(np.int64))}
+            yield {"lang": names.take(pa.array(best)), "score": pa.array(score), "n_grams": pa.array(n)}
 
     out = annotate(docs.withColumn(low, F.lower(f"`{text_col}`")), run, "lang string, score double, n_grams long", out_col, low)
     return out.drop(low)

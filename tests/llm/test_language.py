@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sedgeline.llm import language
-from sedgeline.llm.language import LEAST, LONGEST, NEAR, Filters, fit_languages, grams, identify
+from sedgeline.llm.language import LEAST, LONGEST, NEAR, Filters, fit_languages, grams, identify, words_of
 from sedgeline.llm.queries import QUERIES
 
 
@@ -29,17 +29,18 @@ def _chunk(texts):
 
 def test_grams_are_those_of_plain_python():
     texts = ["", "né à", "12 !", "x", "", "中文字 ab", "ab", "é", "the the"]
-    doc, h = grams(*_chunk(texts))
-    seen, names = defaultdict(set), {}
+    w = words_of(*_chunk(texts))
+    of, h = (np.concatenate(x) for x in zip(*grams(w), strict=True))
+    seen, names = defaultdict(Counter), defaultdict(Counter)
+    for d, k, n in zip(w.doc.tolist(), w.word.tolist(), w.times.tolist(), strict=True):
+        for g in h[of == k].tolist():
+            seen[d][g] += n
     for d, t in enumerate(texts):
-        want = Counter(Counter(_plain_grams(t)).values())
-        got = Counter(h[doc == d].tolist())
-        assert Counter(got.values()) == want, t
-        seen[d] = set(got)
-        names[d] = set(_plain_grams(t))
+        names[d] = Counter(_plain_grams(t))
+        assert Counter(seen[d].values()) == Counter(names[d].values()), t
     for a in range(len(texts)):
         for b in range(len(texts)):
-            assert len(seen[a] & seen[b]) == len(names[a] & names[b])
+            assert len(set(seen[a]) & set(seen[b])) == len(set(names[a]) & set(names[b]))
 
 
 def _docs():
@@ -61,10 +62,12 @@ def test_predictions_equal_those_of_exact_sets(spark):
     learns = F.crc32(F.col("doc_id").cast("string")) % 4 != 2
     got = {r.doc_id: r.language for r in identify(df, fit_languages(df, learns)).collect()}
     train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
-    texts, seen = Counter(r[2] for r in train), defaultdict(Counter)
+    texts, seen = Counter(), defaultdict(Counter)
     for _, t, lang in train:
-        for g in set(_plain_grams(t.lower())):
-            seen[g][lang] += 1
+        for word in set(t.lower().split()):
+            texts[lang] += 1
+            for g in _plain_grams(word):
+                seen[g][lang] += 1
     sets = {}
     for g, c in seen.items():
         rate = {k: n / texts[k] for k, n in c.items()}
@@ -90,8 +93,9 @@ def test_correction_for_false_hits():
     rng = np.random.default_rng(0)
     filled = (rng.random((1 << 12, 1)) < 0.5).astype(np.uint64)
     f = Filters(["x"], filled, np.array([filled.mean()]), 0)
-    h = rng.integers(0, 1 << 63, 20_000).astype(np.uint64)
-    assert f.counts(np.zeros(len(h), np.int64), h, 1)[0, 0] < 0.02 * len(h)
+    w = words_of(*_chunk([" ".join("".join(chr(c) for c in rng.integers(0x4E00, 0x9000, 3)) for _ in range(3000))]))
+    c, n = f.counts(w, 1)
+    assert n[0] == 3000 * 12 and c[0, 0] < 0.02 * n[0]
 
 
 def test_held_out_accuracy_of_the_query(spark):
@@ -106,6 +110,7 @@ def test_held_out_accuracy_of_the_query(spark):
 
 def test_defined_results(spark, monkeypatch):
     monkeypatch.setattr(language, "HELD", 50)
+    monkeypatch.setattr(language, "PIECE", 16)
     kind = "doc_id long, text string, lang string, language string, score int"
     rows = [(i, "ab cd ef", "xx", "o", 1) for i in range(4)] * 2 + [(9, "gh ij", "yy", "o", 1), (10, None, "xx", "o", 1), (11, "12 ?", "xx", "o", 1), (12, "ωω", None, "o", 1), (None, "ab", "xx", "o", 1)]
     rows += [(13, "ab " * 400_000, "xx", "o", 1), (14, "g" * 700_000, None, "o", 1)]
