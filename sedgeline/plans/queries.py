@@ -45,7 +45,13 @@ def classify_names(spark, sf_dir):
 _YEARS = r"list_filter(list_transform(list_filter(regexp_extract_all(CELL, '[0-9]+'), lambda x: length(x) = 4), lambda x: CAST(x AS INTEGER)), lambda y: y BETWEEN 1600 AND 2026)"
 
 
-@query(rf"SELECT id, list_min({_YEARS.replace('CELL', 'cell')}) AS earliest, coalesce(list_min({_YEARS.replace('CELL', chr(114) + 'egexp_replace(cell, ' + chr(39) + '[(][^)]*collect[^)]*[)]' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')}), list_min({_YEARS.replace('CELL', 'cell')})) AS published FROM {duck('dates')}")
+_WITHOUT_COLLECTION = "regexp_replace(cell, '[(][^)]*collect[^)]*[)]', ' ', 'g')"
+
+
+@query(
+    f"""SELECT id, list_min({_YEARS.replace('CELL', 'cell')}) AS earliest,
+  coalesce(list_min({_YEARS.replace('CELL', _WITHOUT_COLLECTION)}), list_min({_YEARS.replace('CELL', 'cell')})) AS published FROM {duck('dates')}"""
+)
 def years(spark, sf_dir):
     c = F.col("cell")
     return view(spark, sf_dir, "dates").select("id", num.earliest_year(c).alias("earliest"), num.publication_year(c).alias("published"))

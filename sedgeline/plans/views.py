@@ -28,6 +28,14 @@ VIEWS: dict[str, str] = {
     "hits": """SELECT l_partkey AS target, CASE WHEN l_linenumber % 2 = 0 THEN '-' ELSE '+' END AS strand, l_orderkey % 3000 AS start, l_orderkey % 3000 + CAST(l_quantity AS BIGINT) * 4 AS "end",
       l_suppkey * 10 AS mdl_from, l_suppkey * 10 + CAST(l_quantity AS BIGINT) * 4 AS mdl_to, CAST(l_quantity AS BIGINT) AS score, l_tax AS evalue, (l_orderkey * 10 + l_linenumber) * 1000000 + l_suppkey * 100 + CAST(l_quantity AS BIGINT) AS ord FROM {lineitem}""",
     "grid": "SELECT l_suppkey AS row, l_linenumber AS step, round(avg(l_discount), 6) AS value, round(avg(l_tax), 6) AS cost, sum(l_quantity) AS size FROM {lineitem} GROUP BY l_suppkey, l_linenumber",
+    "localities": """SELECT c_custkey AS id, c_custkey % 211 AS species, CASE c_custkey % 9 WHEN 0 THEN a WHEN 1 THEN a || '; ' || b WHEN 2 THEN b || ' (' || a || ')' WHEN 3 THEN a || ', ' || n || '; ; ' || b || ' [' || a || ']' WHEN 4 THEN 'Near ' || b || ' and ' || a
+      WHEN 5 THEN upper(b) || ' - ' || a || ';' || n WHEN 6 THEN a || ' River, ' || b || ' 12 km' WHEN 7 THEN '' ELSE n || ': ' || b END AS cell
+      FROM (SELECT c_custkey, 'NATION ' || CAST(c_nationkey AS STRING) AS n,
+        CASE c_custkey * 7 % 23 WHEN 0 THEN 'U.S.A. (California)' WHEN 1 THEN 'Russia: Lake Baikal' WHEN 2 THEN 'U.S.S.R. (Moldavia)' WHEN 3 THEN 'Czechoslovakia (near Chotebor)' WHEN 4 THEN 'Puget Sound' WHEN 5 THEN 'Strait of Georgia'
+          WHEN 6 THEN 'Indian Ocean' WHEN 7 THEN 'India' WHEN 8 THEN 'Gulf of Mexico' WHEN 9 THEN 'Georgia' WHEN 10 THEN 'U.S. Georgia' WHEN 11 THEN 'Papua New Guinea' WHEN 12 THEN 'Guinea-Bissau' WHEN 13 THEN 'New  York' WHEN 14 THEN 'Yugoslavia'
+          WHEN 15 THEN 'Soviet Union' WHEN 16 THEN 'Réunion' WHEN 17 THEN 'South Korea' WHEN 18 THEN 'Baltic, Gulf of Finland' WHEN 19 THEN 'Wolga Delta' WHEN 20 THEN 'west africa' WHEN 21 THEN 'Cornwall, England' ELSE 'St. Petersburg' END AS a,
+        CASE c_custkey * 5 % 17 WHEN 0 THEN 'Canada' WHEN 1 THEN 'United States' WHEN 2 THEN 'new hampshire' WHEN 3 THEN 'Black Sea coast' WHEN 4 THEN 'Lake Biwa' WHEN 5 THEN 'u. k.' WHEN 6 THEN 'unknown pond' WHEN 7 THEN 'North Sea' WHEN 8 THEN 'Niger'
+          WHEN 9 THEN 'São Paulo' WHEN 10 THEN 'Victoria, Australia' WHEN 11 THEN 'laboratory; insectary' WHEN 12 THEN 'Czechoslovakia' WHEN 13 THEN 'Zurich 1987' WHEN 14 THEN 'A. S. S. R. steppe' WHEN 15 THEN 'caspian' ELSE 'Virginia' END AS b FROM {customer}) q""",
     "edges": "SELECT p_partkey DIV 2 AS parent, p_partkey AS child FROM {part} WHERE p_partkey BETWEEN 2 AND 127",
     "records": """SELECT o_orderkey AS rec, o_custkey AS cust, o_orderkey % 997 AS cluster, o_custkey % 211 AS db_row, o_orderkey AS acc_pos, o_totalprice AS price FROM {orders}""",
 }
