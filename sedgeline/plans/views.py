@@ -41,6 +41,35 @@ VIEWS: dict[str, str] = {
 }
 
 
+#: Forms that cells of hosts take.
+_PHRASES = (
+    "Aedes cantans (type host)", "Bombus honshuensis, Bombus diversus diversus, Bombus ussurensis", "Daphnia magna", "D. pulex", "Sycia inopinata (in the polychaete annelid Audouinia tentaculata)",
+    "Lecudina (Ophioidina) sp.", "A gregarine in gut of Capitella capitata", "Daphnia Iongispina", "Ageneotettix d. deorum", "S.mauritia acronyctoides", "Daphnia longispina/galeata complex",
+    "Dissosteira Carolina", "Aedes sticticus (= Ochlerotatus crinifer)", "Simulium sp. nov. 2", "crab", "Unknown", "Various", "Gammarus", "A. flavescens", "Nosema bombycis Nageli, 1857",
+    "Poecilia reticulata (Swamp Guppy)", "Simulium vittatum (should be Simulium aureum)", "Énchytreus cf. albidus", "Heterophyes heterophyes (parasite in Liza ramada) (experimental)", "B. diversus",
+    "Ixodes ricinus in Apodemus sylvaticus", "L. zonata (also Lecudina polymorpha)", " ",
+)
+
+
+def _phrase(number: str) -> str:
+    return f"CASE ({number}) % {len(_PHRASES)} " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_PHRASES)) + " END"
+
+
+VIEWS |= {
+    "host_cells": f"""SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN a WHEN 1 THEN a || '; ' || b WHEN 2 THEN b || ';' || g || ' ' || e || '; ' || substr(g, 1, 1) || '. ' || e || 'us' WHEN 3 THEN b || ';;' || a || ' ; ' || g
+      WHEN 4 THEN g || ' ' || e || ', ' || g || ' ' || e || 'a, ' || a ELSE a || '; ' || b || '; ' || g || ' ' || e || ' (host ' || CAST(p_size % 10 AS STRING) || ')' END AS cell
+      FROM (SELECT p_partkey, p_size, g || 'ella' AS g, e, {_phrase('p_partkey * 5 + p_size')} AS a, {_phrase('p_partkey * 11 + p_size * 3')} AS b FROM {_PART}) c""",
+    "answers": f"""SELECT CASE WHEN p_partkey % 29 = 5 THEN e WHEN p_partkey % 31 = 7 THEN g || ' ' || e || ' x' ELSE g || ' ' || e END AS host, 'species' AS rank, s.cand, s.ord, s.source, CASE s.cand WHEN 0 THEN g ELSE 'Syno' || lower(g) END || ' ' || e AS asked,
+      CASE (p_partkey * 7 + s.ord * 3 + s.cand * 5) % 12 WHEN 0 THEN g || ' ' || e WHEN 1 THEN g || ' ' || e || ' Sprague, 1976' WHEN 2 THEN g || ' (' || g || 'ina)' WHEN 3 THEN 'X' || substr(g, 2) || ' ' || e WHEN 4 THEN 'Xy' || substr(g, 3) || ' ' || e WHEN 5 THEN 'Other thing'
+        WHEN 6 THEN g || ' ' || e || 'um' WHEN 7 THEN g || ' differens' WHEN 8 THEN '' WHEN 9 THEN 'Syno' || lower(g) || ' ' || e WHEN 10 THEN 'Xy' || substr(g, 3) || ' ' || e || ' (L., 1758)' ELSE NULL END AS returned,
+      CASE WHEN s.ord = 3 AND p_size % 9 = 0 THEN 'free_text' WHEN p_size % 4 = 0 THEN NULL ELSE 'EXACT' END AS match_type, CASE WHEN (p_partkey + s.ord) % 13 = 0 THEN 'Plantae' ELSE 'Animalia' END AS kingdom,
+      CASE (p_partkey * 5 + s.ord * p_size) % 7 WHEN 0 THEN '' WHEN 1 THEN 'Chordata' WHEN 2 THEN 'Craniata' WHEN 3 THEN 'Myzozoa' WHEN 4 THEN 'Miozoa' ELSE 'Arthropoda' END AS phylum, CASE WHEN p_size % 2 = 0 THEN 'Conoidasida' ELSE '' END AS class,
+      CASE (p_partkey + s.ord * 2) % 5 WHEN 0 THEN 'Eugregarinida' WHEN 1 THEN '' ELSE 'Diptera' END AS `order`, CASE WHEN (p_partkey + s.ord) % 3 = 0 THEN '' ELSE g || 'idae' END AS family, g AS genus, g || ' ' || e AS species
+      FROM (SELECT p_partkey, p_size, g || 'ella' AS g, e || translate(CAST(p_partkey AS STRING), '0123456789', 'abcdefghij') AS e FROM {_PART}) p
+      CROSS JOIN (SELECT 0 AS cand, 0 AS ord, 'GBIF' AS source UNION ALL SELECT 0, 1, 'COL' UNION ALL SELECT 0, 2, 'WoRMS' UNION ALL SELECT 0, 3, 'NCBI' UNION ALL SELECT 1, 0, 'GBIF' UNION ALL SELECT 1, 2, 'WoRMS') s""",
+}
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = VIEWS[name].replace('"end"', "`end`")
     used = [t for t in ("part", "orders", "lineitem", "supplier", "customer") if "{" + t + "}" in text]
@@ -49,7 +78,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def duck(name: str) -> str:
     """The view as a DuckDB subquery."""
-    text = VIEWS[name].replace(" DIV ", " // ")
+    text = VIEWS[name].replace(" DIV ", " // ").replace("`", '"')
     for t in ("part", "orders", "lineitem", "supplier", "customer"):
         text = text.replace("{" + t + "}", t)
     return f"({text})"
