@@ -5,6 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
+
+#: Fixed value: the name of the whole group, where a cluster has no genus.
+FALLBACK = "Microsporidia"
+
+#: Fixed value: the group's name, where a cluster has no genus.
+FALLBACK = "Microsporidia"
+
 
 def trim_status(has_hit: Column, length: Column, coverage: Column, min_length: int, min_coverage: int) -> tuple[Column, Column]:
     """(status, reason): dropped without a hit, then by length, then by model coverage; else kept with no reason."""
@@ -28,10 +36,15 @@ def upper_median(df: DataFrame, by: str, value: str) -> DataFrame:
 
 
 def pick_name(names: DataFrame, key: str, name: str, rank: str, order: str) -> DataFrame:
-    """(key, name, n_names): of the best rank the name of two words at most, the shortest, the commonest, the first seen."""
-    n = names.where(F.coalesce(F.col(name), F.lit("")) != "").groupBy(key, name).agg(F.min(rank).alias("_rank"), F.count("*").alias("_n"), F.min(order).alias("_first"))
-    best = F.struct("_rank", F.size(F.split(name, r"\s+")) > 2, F.length(name), -F.col("_n"), "_first")
-    return n.groupBy(key).agg(F.min_by(name, best).alias(name), F.count("*").alias("n_names"))
+    """(key, name, n_names): of the best rank the name of two words at most, the shortest, the commonest, the first seen.
+
+    Spellings that differ in case and white space alone are one name, written as it was first.
+    """
+    spelt = tx.clean(F.col(name))
+    n = names.withColumn("_name", spelt).where("_name <> ''").groupBy(key, F.lower("_name").alias("_folded"))
+    n = n.agg(F.min(rank).alias("_rank"), F.count("*").alias("_n"), F.min(F.struct(order, "_name")).alias("_first"))
+    best = F.struct("_rank", F.size(F.split("_folded", " ")) > 2, F.length("_folded"), -F.col("_n"), F.col("_first")[order])
+    return n.groupBy(key).agg(F.min_by(F.col("_first._name"), best).alias(name), F.count("*").alias("n_names"))
 
 
 def majority(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
@@ -40,8 +53,12 @@ def majority(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
     return n.groupBy(key).agg(F.max_by(value, F.struct("votes", -F.col("_first"))).alias(value), F.max("votes").alias("votes"))
 
 
-def provisional_label(genus: Column, prefix: str, number: Column) -> Column:
-    return F.format_string(f"%s sp. {prefix}-C%04d", genus, number)
+def provisional_label(genus: Column, prefix: str, cluster: Column) -> Column:
+    """'Genus sp. MSP-C0042'; without a genus that of the whole group, and a cluster that is no number as it is."""
+    c = cluster.cast("string")
+    tag = F.when(c.rlike("^[0-9]+$"), F.lpad(c, F.greatest(F.length(c), F.lit(4)), F.lit("0"))).otherwise(c)
+    name = F.when(F.coalesce(genus, F.lit("")) == "", F.lit(FALLBACK)).otherwise(F.initcap(genus))
+    return F.concat(name, F.lit(f" sp. {prefix}-C"), tag)
 
 
 def united(values: DataFrame, key: str, source: str, order: str, value: str) -> DataFrame:
@@ -52,10 +69,10 @@ def united(values: DataFrame, key: str, source: str, order: str, value: str) ->
 
 
 def merged(a: Column, b: Column) -> tuple[Column, Column]:
-    """(values of a and then those of b that a lacks without regard to case, how many those are)."""
+    """(distinct values of a and then of b, without regard to case and white space, in their first spelling; how many of b, as they stand there, a lacks)."""
     low = F.transform(a, lambda x: F.lower(x))
     new = F.filter(b, lambda v: ~F.array_contains(low, F.lower(v)))
-    return F.concat(a, new), F.size(new).cast("long")
+    return tx.dedupe(F.transform(F.concat(a, new), lambda v: tx.clean(v))), F.size(new).cast("long")
 
 
 def pooled(counts: DataFrame, group: str, parent: str, n: str, least: int) -> DataFrame:
@@ -91,17 +108,10 @@ def first_rule(rules: list[tuple[str, str, list[str]]], other: str, none: str) -
     return out.when(some, other).otherwise(none)
 
 
-def is_description(c: Column) -> Column:
-    return c.rlike(r"^([a-z]|(An?|The) )")
-
-
-def looks_like_a_taxon(c: Column) -> Column:
-    return c.rlike(r"^[A-Z][a-z-]+(\s+[a-z-]+)?$") & (F.length(c) >= 4)
-
-
 def name_changed(asked: Column, got: Column) -> Column:
-    two = lambda c: F.slice(F.split(F.lower(F.trim(c)), r"\s+"), 1, 2)
-    return two(asked) != two(got)
+    """Whether genus and epithet of an answer differ from those asked for, letters only; no answer is no change."""
+    two = lambda c: F.slice(F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z ]", ""), " +"), lambda t: t != ""), 1, 2)
+    return (F.trim(F.coalesce(got, F.lit(""))) != "") & (two(asked) != two(got))
 
 
 def place(c: Column) -> tuple[Column, Column]:

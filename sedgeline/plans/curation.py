@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.hosts import is_description
 from ..operators import curate
+from ..operators.resolve_hosts import looks_like_a_taxon
 from .queries import _KEYED, _table, query
 from .views import duck, view
 
@@ -45,7 +47,7 @@ def length_floor(spark, sf_dir):
     return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), n.alias("metric"), ((n >= 30) | (F.col("p_partkey") % 7 == 0)).alias("stays"))
 
 
-_ODD = "(SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'Species ' || chr(160) || ' name' WHEN 1 THEN '  ' WHEN 2 THEN 'The ' || p_name WHEN 3 THEN upper(substr(p_name, 1, 1)) || split_part(substr(p_name, 2), ' ', 1) WHEN 4 THEN 'Abc' ELSE p_name END AS nm FROM {part})"
+_ODD = "(SELECT p_partkey AS id, CASE p_partkey % 11 WHEN 0 THEN 'Species ' || chr(160) || ' name' WHEN 1 THEN '  ' WHEN 2 THEN 'The ' || p_name WHEN 3 THEN upper(substr(p_name, 1, 1)) || split_part(substr(p_name, 2), ' ', 1) WHEN 4 THEN 'Abc' WHEN 5 THEN 'Unidentified ' || p_name WHEN 6 THEN ' Daphnia magna ' WHEN 7 THEN CAST(p_size AS STRING) || ' species of ' || p_name WHEN 8 THEN 'THE ' || p_name WHEN 9 THEN 'Thea ' || p_name ELSE p_name END AS nm FROM {part})"
 
 
 @query(f"SELECT count(*) FILTER (k = 'species name') AS headers, count(*) FILTER (k = '') AS blank, count(*) FILTER (k NOT IN ('', 'species name')) AS stays FROM (SELECT lower(trim(regexp_replace(replace(nm, chr(160), ' '), '\\s+', ' ', 'g'))) AS k FROM {_ODD.replace('{part}', 'part')})")
@@ -55,11 +57,19 @@ def dropped_rows(spark, sf_dir):
     return k.agg(F.count_if(F.col("k") == "species name").alias("headers"), F.count_if(F.col("k") == "").alias("blank"), F.count_if(~F.col("k").isin("", "species name")).alias("stays"))
 
 
-@query(f"SELECT id, regexp_matches(nm, '^([a-z]|(An?|The) )') AS description, regexp_full_match(nm, '[A-Z][a-z-]+(\\s+[a-z-]+)?') AND length(nm) >= 4 AS taxon, NOT regexp_matches(nm, '^[A-Z][a-z]') AS odd FROM {_ODD.replace('{part}', 'part')}")
+#: What a first word must not be, spelt out for the SQL.
+_NO_NAME = ("a", "an", "the", "unnamed", "unidentified", "undescribed", "gregarine", "form", "parasitic")
+_FIRST = "regexp_extract(lower(nm), '^([a-z0-9_]*)', 1)"
+
+
+@query(
+    f"""SELECT id, nm <> '' AND (nm[1] = lower(nm[1]) OR {_FIRST} IN {_NO_NAME}) AS description,
+  trim(nm)[1] BETWEEN 'A' AND 'Z' AND length(trim(nm)) >= 4 AND regexp_full_match(trim(nm)[2:], '[a-z-]+(\\s+[a-z-]+)?') AS taxon, NOT regexp_matches(nm, '^[A-Z][a-z]') AS odd FROM {_ODD.replace('{part}', 'part')}"""
+)
 def name_tests(spark, sf_dir):
     x = spark.sql(f"SELECT id, nm FROM {_ODD} q", part=_table(spark, sf_dir, "part"))
     c = F.col("nm")
-    return x.select("id", curate.is_description(c).alias("description"), curate.looks_like_a_taxon(c).alias("taxon"), (~c.rlike("^[A-Z][a-z]")).alias("odd"))
+    return x.select("id", is_description(c).alias("description"), looks_like_a_taxon(c).alias("taxon"), (~c.rlike("^[A-Z][a-z]")).alias("odd"))
 
 
 @query("SELECT c.country, c.n, e.extant, CASE WHEN e.extant > 0 THEN round(1000.0 * c.n / e.extant, 3) END AS rate, e.extant IS NULL AS missing FROM (SELECT s_nationkey AS country, count(*) AS n FROM supplier GROUP BY 1) c LEFT JOIN (SELECT c_nationkey AS country, count(*) AS extant FROM customer WHERE c_nationkey % 4 <> 1 GROUP BY 1) e ON c.country = e.country")
@@ -70,23 +80,34 @@ def rates(spark, sf_dir):
     return c.join(e, "country", "left").select("country", "n", "extant", F.when(F.col("extant") > 0, F.round(1000.0 * F.col("n") / F.col("extant"), 3)).alias("rate"), F.col("extant").isNull().alias("missing"))
 
 
+#: Names as rows spell them: some in capitals, some with doubled spaces.
+_SPELT = "CASE id % 7 WHEN 0 THEN upper(nm) WHEN 1 THEN replace(nm, ' ', '  ') ELSE nm END"
+
+
 @query(
-    f"""WITH n AS (SELECT id % 300 AS cluster, id, nm, {_RANK} AS r FROM {_KEYED}), d AS (SELECT cluster, nm, min(r) AS r, count(*) AS n, min(id) AS f FROM n GROUP BY cluster, nm)
+    f"""WITH n AS (SELECT id % 300 AS cluster, id, trim(regexp_replace({_SPELT}, '\\s+', ' ', 'g')) AS nm, {_RANK} AS r FROM {_KEYED}), d AS (SELECT cluster, lower(nm) AS low, min(r) AS r, count(*) AS n, min(id) AS f, arg_min(nm, id) AS nm FROM n GROUP BY cluster, lower(nm))
   SELECT cluster, nm, n_names FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY r, len(string_split(nm, ' ')) > 2, length(nm), -n, f) AS k, count(*) OVER (PARTITION BY cluster) AS n_names FROM d) WHERE k = 1"""
 )
 def species_names(spark, sf_dir):
-    n = view(spark, sf_dir, "names").select((F.col("id") % 300).alias("cluster"), "id", "nm", tx.name_rank(tx.name_key(F.col("nm"))).alias("r"))
+    n = view(spark, sf_dir, "names").select((F.col("id") % 300).alias("cluster"), "id", F.expr(_SPELT).alias("nm"), tx.name_rank(tx.name_key(F.col("nm"))).alias("r"))
     return curate.pick_name(n, "cluster", "nm", "r", "id")
 
 
+_UNINFORMATIVE = "'^(uncultured|unidentified|unclassified|environmental|microsporidian?|fungal|eukaryot[a-z0-9_]*|unnamed|unknown|undescribed|mutated)\\b'"
+
+
 @query(
-    f"""WITH n AS (SELECT id % 300 AS cluster, id, t[1] AS genus FROM {_KEYED} WHERE coalesce(t[1], '') <> ''), d AS (SELECT cluster, genus, count(*) AS votes, min(id) AS f FROM n GROUP BY 1, 2)
-  SELECT cluster, genus, votes, genus || ' sp. MSP-C' || lpad(CAST(cluster AS VARCHAR), 4, '0') AS label FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY votes DESC, f) AS k FROM d) WHERE k = 1"""
+    f"""WITH n AS (SELECT id % 1300 AS cluster, id, nm FROM {duck('names')}), g AS (SELECT cluster, upper(nm[1]) || lower(string_split(nm, ' ')[1][2:]) AS genus, id FROM n WHERE NOT regexp_matches(lower(nm), {_UNINFORMATIVE})),
+  d AS (SELECT cluster, genus, count(*) AS votes, min(id) AS f FROM g GROUP BY 1, 2), w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY votes DESC, f) AS k FROM d) WHERE k = 1)
+  SELECT c.cluster, coalesce(genus, '') AS genus, coalesce(votes, 0) AS votes, coalesce(genus, 'Microsporidia') || ' sp. MSP-C' || CASE WHEN c.cluster < 10000 THEN printf('%04d', c.cluster) ELSE CAST(c.cluster AS VARCHAR) END AS label FROM (SELECT DISTINCT cluster FROM n) c LEFT JOIN w ON c.cluster = w.cluster"""
 )
 def provisional_labels(spark, sf_dir):
-    """The commonest genus of each cluster, and the cluster's label by it."""
-    n = view(spark, sf_dir, "names").select((F.col("id") % 300).alias("cluster"), "id", F.split(tx.name_key(F.col("nm")), " ")[0].alias("genus"))
-    return curate.majority(n, "cluster", "genus", "id").select("cluster", "genus", "votes", curate.provisional_label(F.col("genus"), "MSP", F.col("cluster")).alias("label"))
+    """The commonest genus of each cluster, and the cluster's label by it; a cluster without one has a label too."""
+    n = view(spark, sf_dir, "names").select((F.col("id") % 1300).alias("cluster"), "id", "nm")
+    genus = F.when(~F.lower("nm").rlike(tx.UNINFORMATIVE), F.initcap(F.split("nm", " ")[0]))
+    won = curate.majority(n.withColumn("genus", genus), "cluster", "genus", "id")
+    every = n.select("cluster").distinct().join(won, "cluster", "left")
+    return every.select("cluster", F.coalesce("genus", F.lit("")).alias("genus"), F.coalesce("votes", F.lit(0)).alias("votes"), curate.provisional_label(F.col("genus"), "MSP", F.col("cluster")).alias("label"))
 
 
 @query(f"SELECT host, string_agg(DISTINCT phylum, '; ' ORDER BY phylum) AS vals, string_agg(source, '+' ORDER BY ord) AS sources FROM {duck('sources')} WHERE phylum <> '' GROUP BY host")
@@ -145,9 +166,17 @@ def several_years(spark, sf_dir):
     return view(spark, sf_dir, "dates").select("id", F.size(y).cast("long").alias("n_years")).where("n_years > 1")
 
 
-@query("SELECT id, array_to_string(list_concat(a, list_filter(b, lambda v: NOT list_contains(list_transform(a, lambda x: lower(x)), lower(v)))), '|') AS merged, len(list_filter(b, lambda v: NOT list_contains(list_transform(a, lambda x: lower(x)), lower(v)))) AS n_new FROM (SELECT p_partkey AS id, string_split(p_name, ' ') AS a, string_split(upper(p_type) || ' ' || upper(split_part(p_name, ' ', 1)), ' ') AS b FROM part)")
+@query(
+    """WITH p AS (SELECT p_partkey AS id, string_split(p_name, ' ') || CASE WHEN p_partkey % 4 = 0 THEN [upper(p_name)] ELSE [] END AS a, string_split(upper(p_type) || ' ' || upper(split_part(p_name, ' ', 1)) || ' Cc dd', ' ') || ['cc', 'Cc  dd', 'cc dd', p_name] AS b FROM part),
+  v AS (SELECT id, 0 AS side, i, a[i] AS v FROM p, range(1, len(a) + 1) t(i) UNION ALL SELECT id, 1, i, b[i] FROM p, range(1, len(b) + 1) t(i) WHERE NOT list_contains(list_transform(a, lambda x: lower(x)), lower(b[i]))),
+  d AS (SELECT id, arg_min(v, (side, i)) AS v, min((side, i)) AS o FROM (SELECT id, side, i, regexp_replace(v, '\\s+', ' ', 'g') AS v FROM v) GROUP BY id, lower(v))
+  SELECT d.id, string_agg(v, '|' ORDER BY o) AS merged, any_value(n) AS n_new FROM d JOIN (SELECT id, count(*) FILTER (side = 1) AS n FROM v GROUP BY id) c ON d.id = c.id GROUP BY d.id"""
+)
 def merged_lists(spark, sf_dir):
-    a, b = F.split("p_name", " "), F.split(F.concat(F.upper("p_type"), F.lit(" "), F.upper(F.split_part("p_name", F.lit(" "), F.lit(1)))), " ")
+    """Two lists that repeat values in other cases and with other spaces."""
+    first = F.split_part("p_name", F.lit(" "), F.lit(1))
+    a = F.concat(F.split("p_name", " "), F.when(F.col("p_partkey") % 4 == 0, F.array(F.upper("p_name"))).otherwise(F.array().cast("array<string>")))
+    b = F.concat(F.split(F.concat_ws(" ", F.upper("p_type"), F.upper(first), F.lit("Cc dd")), " "), F.array(F.lit("cc"), F.lit("Cc  dd"), F.lit("cc dd"), F.col("p_name")))
     both, n = curate.merged(a, b)
     return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array_join(both, "|").alias("merged"), n.alias("n_new"))
 
@@ -167,11 +196,17 @@ def common_to_all(spark, sf_dir):
     return o.groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"), F.countDistinct("o_orderpriority").alias("d")).join(F.broadcast(panels), F.col("d") == F.col("p")).select("k", "n")
 
 
-@query("SELECT p_partkey AS id, CASE WHEN abs(length(a) - length(b)) > 2 THEN 99 ELSE levenshtein(a, b) END AS edits, array_to_string(string_split(lower(a || ' x'), ' ')[1:2], ' ') <> array_to_string(string_split(lower(b || ' x y'), ' ')[1:2], ' ') AS changed FROM (SELECT p_partkey, split_part(p_name, ' ', 1) AS a, CASE WHEN p_partkey % 2 = 0 THEN split_part(p_name, ' ', 2) ELSE upper(substr(p_name, 1, 1)) || substr(split_part(p_name, ' ', 1), 2) END AS b FROM part)")
+_BOTH = """(SELECT p_partkey, split_part(p_name, ' ', 1) AS a, CASE WHEN p_partkey % 2 = 0 THEN split_part(p_name, ' ', 2) ELSE upper(substr(p_name, 1, 1)) || substr(split_part(p_name, ' ', 1), 2) END AS b,
+  CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN p_name || ' (L., 1758)' WHEN 2 THEN upper(p_name) || '.' WHEN 3 THEN p_type || ' ' || p_name ELSE split_part(p_name, ' ', 1) || '-' || split_part(p_name, ' ', 2) END AS got, p_name FROM {part})"""
+
+
+@query(
+    f"""SELECT p_partkey AS id, CASE WHEN abs(length(a) - length(b)) > 2 THEN 99 ELSE levenshtein(a, b) END AS edits,
+  got <> '' AND list_filter(regexp_split_to_array(regexp_replace(lower(got), '[^a-z ]', '', 'g'), ' '), lambda x: x <> '')[1:2] <> list_filter(regexp_split_to_array(lower(p_name), ' '), lambda x: x <> '')[1:2] AS changed FROM {_BOTH.replace('{part}', 'part')}"""
+)
 def name_edits(spark, sf_dir):
-    a = F.split_part("p_name", F.lit(" "), F.lit(1))
-    b = F.when(F.col("p_partkey") % 2 == 0, F.split_part("p_name", F.lit(" "), F.lit(2))).otherwise(F.concat(F.upper(F.substring("p_name", 1, 1)), F.substr(a, F.lit(2))))
-    return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), curate.edits(a, b).alias("edits"), curate.name_changed(F.concat(a, F.lit(" x")), F.concat(b, F.lit(" x y"))).alias("changed"))
+    rows = spark.sql(f"SELECT * FROM {_BOTH} q", part=_table(spark, sf_dir, "part"))
+    return rows.select(F.col("p_partkey").alias("id"), curate.edits(F.col("a"), F.col("b")).alias("edits"), curate.name_changed(F.col("p_name"), F.col("got")).alias("changed"))
 
 
 @query("SELECT p_partkey AS id, CASE WHEN lower(p_type) IN ('medium', 'standard') THEN 'small' WHEN lower(p_brand) IN ('brand#4', 'brand#2') THEN 'first' WHEN lower(p_type) = 'large' THEN 'large' ELSE 'Other / unplaced' END AS grp FROM part")
