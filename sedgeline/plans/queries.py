@@ -72,11 +72,11 @@ def named_by_decade(spark, sf_dir):
     return bins.join(c, "decade", "left").select("decade", n.alias("named"), p.alias("provisional"), (n + p).alias("total"))
 
 
-_KEYTOK = (
-    r"list_filter(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(regexp_replace("
-    + _BARE.replace("NAME", r"regexp_replace(nm, '\s*\(?\b[A-Z][A-Za-z''-]{2,}(?:\s*(?:&|and|et)\s*[A-Z][A-Za-z''-]{2,})*(?:\s+et\s+al\.?)?[,\s]+(?:1[5-9][0-9]{2}|20[0-9]{2})\b\)?', ' ', 'g')")
-    + r", '\b(?:cf|aff|nr|ex)\.?\s+', ' ', 'g'), '\b(?:var|subsp|ssp|forma|morphotype|genotype|serotype|strain|isolate|clone|haplotype|lineage|type)\.?\s*\S*', ' ', 'g'), '\bspp?\.?(\s|$)', ' sp ', 'g'), '[^a-z0-9\s]', ' ', 'g'), '\s+'), lambda t: t NOT IN ('', 'nov', 'gen', 'et', 'and'))"
-)
+_AUTHORITY = tx.AUTHORITY.replace("\\u00c0-\\u024f", "À-ɏ").replace("\\u2019", "’").replace("'", "''")
+_KEYTOK = f"lower(strip_accents(regexp_replace(nm, '{_AUTHORITY}', ' ', 'g')))"
+for _gone, _to in ((r"\(.*?\)", " "), (tx.KEY_ACTS, " "), (tx.QUALIFIERS, " "), (tx.STRAINS, " "), (tx.BARE_SP, " sp "), (r"[^a-z0-9\s]", " ")):
+    _KEYTOK = f"regexp_replace({_KEYTOK}, '{_gone}', '{_to}', 'g')"
+_KEYTOK = f"list_filter(regexp_split_to_array({_KEYTOK}, '\\s+'), lambda t: t NOT IN ('', 'nov', 'gen', 'et', 'and'))"
 _KEYED = f"(SELECT id, nm, array_to_string(tok[1:2], ' ') AS k, tok[1:2] AS t FROM (SELECT id, nm, {_KEYTOK} AS tok FROM {duck('names')}))"
 _ABBR = "CASE WHEN len(t) = 2 AND length(t[1]) > 1 AND t[2] <> 'sp' THEN substr(t[1], 1, 1) || ' ' || t[2] ELSE '' END"
 

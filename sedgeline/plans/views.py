@@ -59,6 +59,13 @@ VIEWS |= {
     "host_cells": f"""SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN a WHEN 1 THEN a || '; ' || b WHEN 2 THEN b || ';' || g || ' ' || e || '; ' || substr(g, 1, 1) || '. ' || e || 'us' WHEN 3 THEN b || ';;' || a || ' ; ' || g
       WHEN 4 THEN g || ' ' || e || ', ' || g || ' ' || e || 'a, ' || a ELSE a || '; ' || b || '; ' || g || ' ' || e || ' (host ' || CAST(p_size % 10 AS STRING) || ')' END AS cell
       FROM (SELECT p_partkey, p_size, g || 'ella' AS g, e, {_phrase('p_partkey * 5 + p_size')} AS a, {_phrase('p_partkey * 11 + p_size * 3')} AS b FROM {_PART}) c""",
+    "spellings": f"""SELECT p_partkey AS id, lower(g) || 'ella ' || e || translate(CAST(p_partkey AS STRING), '0123456789', 'abcdefghij') AS key FROM {_PART}""",
+    "curated": f"""SELECT p_partkey AS row, CASE p_partkey % 5 WHEN 0 THEN g || 'ella ' || e || x WHEN 1 THEN g || 'ella ' || e || x || ' (' || g || 'opsis ' || e || 'us)' WHEN 2 THEN g || 'ella ' || e || ' Sprague & Vávra, 1976 = ' || g || 'idia ' || e || x
+      WHEN 3 THEN g || 'ella sp. (siberian isolate)' ELSE g || 'ella cf. ' || e || ' sp. nov.' END AS name, 'MG ' || CAST(100000 + p_partkey AS STRING) || '.1; XR_' || CAST(200000 + p_partkey % 7 AS STRING) AS accessions
+      FROM (SELECT *, translate(CAST(p_partkey % 100 AS STRING), '0123456789', 'abcdefghij') AS x FROM {_PART}) a""",
+    "found": f"""SELECT l AS cluster, CASE l % 7 WHEN 0 THEN g || 'ella ' || e || x WHEN 1 THEN substr(g, 1, 1) || '. ' || e || x WHEN 2 THEN g || 'opsis ' || e || 'us' WHEN 3 THEN g || 'osema ' || e WHEN 4 THEN 'Uncultured ' || g WHEN 5 THEN g || 'ella ' || e || 'zzz' ELSE g || 'idia ' || e || x END AS name,
+      CASE WHEN l % 11 = 0 THEN 'AB' || CAST(500000 + l AS STRING) || ', mg' || CAST(100000 + l AS STRING) WHEN l % 13 = 0 THEN 'XR200003.1' ELSE '' END AS accessions
+      FROM (SELECT c_custkey AS l, translate(CAST(c_custkey % 150 AS STRING), '0123456789', 'abcdefghij') AS x, p.g, p.e FROM {{customer}} c JOIN (SELECT p_partkey, g, e FROM {_PART}) p ON c.c_custkey * 3 % 500 = p.p_partkey) a""",
     "answers": f"""SELECT CASE WHEN p_partkey % 29 = 5 THEN e WHEN p_partkey % 31 = 7 THEN g || ' ' || e || ' x' ELSE g || ' ' || e END AS host, 'species' AS rank, s.cand, s.ord, s.source, CASE s.cand WHEN 0 THEN g ELSE 'Syno' || lower(g) END || ' ' || e AS asked,
       CASE (p_partkey * 7 + s.ord * 3 + s.cand * 5) % 12 WHEN 0 THEN g || ' ' || e WHEN 1 THEN g || ' ' || e || ' Sprague, 1976' WHEN 2 THEN g || ' (' || g || 'ina)' WHEN 3 THEN 'X' || substr(g, 2) || ' ' || e WHEN 4 THEN 'Xy' || substr(g, 3) || ' ' || e WHEN 5 THEN 'Other thing'
         WHEN 6 THEN g || ' ' || e || 'um' WHEN 7 THEN g || ' differens' WHEN 8 THEN '' WHEN 9 THEN 'Syno' || lower(g) || ' ' || e WHEN 10 THEN 'Xy' || substr(g, 3) || ' ' || e || ' (L., 1758)' ELSE NULL END AS returned,
