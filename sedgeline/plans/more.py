@@ -27,14 +27,14 @@ def circular_arcs(spark, sf_dir):
 
 
 @query(
-    f"""WITH RECURSIVE {_UP}, tip AS (SELECT child AS node FROM {_TREE} WHERE child >= 64 AND child % 5 = 0),
+    f"""WITH RECURSIVE {_UP}, tip AS (SELECT child AS node FROM {_TREE} WHERE child NOT IN (SELECT parent FROM {_TREE}) AND child % 5 = 0),
   k AS (SELECT DISTINCT ancestor AS node FROM up JOIN tip USING (node) UNION SELECT e.parent FROM up JOIN tip USING (node) JOIN {_TREE} e ON e.child = up.ancestor),
   s AS (SELECT parent AS node FROM {_TREE} e JOIN k ON e.child = k.node GROUP BY parent HAVING count(*) > 1 UNION SELECT node FROM tip)
   SELECT (SELECT arg_min(u.ancestor, u.distance) FROM up u JOIN s t ON t.node = u.ancestor WHERE u.node = s.node AND u.distance > 0) AS parent, s.node AS child FROM s"""
 )
 def pruned_tree(spark, sf_dir):
     e = view(spark, sf_dir, "edges")
-    return trees.prune(spark, e, e.where("child >= 64 AND child % 5 = 0").select(F.col("child").alias("node")))
+    return trees.prune(spark, e, e.where("child % 5 = 0").select(F.col("child").alias("node")).join(e.select(F.col("parent").alias("node")), "node", "left_anti"))
 
 
 _UPD = "(SELECT c_custkey AS u, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'A' || CAST(c_custkey % 400 AS STRING) END AS acc, c_mktsegment || CAST(c_nationkey AS STRING) AS nm FROM {customer})"

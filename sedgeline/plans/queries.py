@@ -87,20 +87,19 @@ def name_keys(spark, sf_dir):
     return k.select("id", "key", tx.abbreviated_key(F.col("key")).alias("abbreviated"), tx.name_rank(F.col("key")).alias("rank"))
 
 
-_DB = f"(SELECT * FROM {_KEYED} WHERE id % 3 = 0)"
-
-
 @query(
-    f"""WITH n AS (SELECT id, k, t, {_ABBR} AS ab FROM {_KEYED}), a AS (SELECT * FROM n WHERE id % 3 = 1), b AS (SELECT * FROM n WHERE id % 50 = 0),
-  m AS (SELECT a.id AS l, b.id AS r, 1 AS tier, 'exact' AS basis FROM a JOIN b ON a.k = b.k WHERE a.k <> '' UNION SELECT a.id, b.id, 2, 'abbreviated' FROM a JOIN b ON a.k = b.ab WHERE a.k <> ''
+    f"""WITH n AS (SELECT id, k, t, {_ABBR} AS ab FROM {_KEYED}), a AS (SELECT *, CASE WHEN length(t[1]) = 1 THEN k ELSE ab END AS sh FROM n WHERE id % 50 = 0), b AS (SELECT * FROM n),
+  m AS (SELECT a.id AS l, b.id AS r, 1 AS tier, 'exact' AS basis FROM a JOIN b ON a.k = b.k WHERE a.k <> '' UNION SELECT a.id, b.id, 2, 'abbreviated' FROM a JOIN b ON a.sh = b.ab WHERE b.ab <> ''
     UNION SELECT a.id, b.id, 3, 'epithet' FROM a JOIN b ON a.t[2] = b.t[2] WHERE coalesce(a.t[2], '') <> '')
   SELECT l AS "left", r AS "right", tier, basis FROM m QUALIFY tier = min(tier) OVER (PARTITION BY l)"""
 )
 def match_tiers(spark, sf_dir):
+    """Every fiftieth name against all names."""
     k = view(spark, sf_dir, "names").select("id", tx.name_key(F.col("nm")).alias("k"))
     k = k.select("id", "k", tx.abbreviated_key(F.col("k")).alias("ab"), F.try_element_at(F.split("k", " "), F.lit(2)).alias("ep"))
-    left, right = k.where("id % 3 = 1").withColumnRenamed("id", "left"), k.where("id % 50 = 0").withColumnRenamed("id", "right")
-    return resolve.match_tiers(left, right, "left", "right", [("exact", "k", "k"), ("abbreviated", "k", "ab"), ("epithet", "ep", "ep")])
+    k = k.withColumn("short", F.when(F.length(F.split("k", " ")[0]) == 1, F.col("k")).otherwise(F.col("ab")))
+    left, right = k.where("id % 50 = 0").withColumnRenamed("id", "left"), k.withColumnRenamed("id", "right")
+    return resolve.match_tiers(left, right, "left", "right", [("exact", "k", "k"), ("abbreviated", "short", "ab"), ("epithet", "ep", "ep")])
 
 
 @query(rf"""SELECT id, array_to_string(list_filter(v, lambda x, i: list_position(f, f[i]) = i), '|') AS vals, len(v) AS n FROM (SELECT id, v, list_transform(v, lambda x: lower(regexp_replace(x, '\s+', ' ', 'g'))) AS f
@@ -131,14 +130,14 @@ def habitat_combinations(spark, sf_dir):
 
 
 @query(
-    f"""WITH a AS (SELECT id, envs AS e FROM {_ENVS} WHERE id % 3 <> 0), b AS (SELECT id + 1 AS id, envs AS e FROM {_ENVS} WHERE id % 4 <> 0),
+    f"""WITH a AS (SELECT id, envs AS e FROM {_ENVS}), b AS (SELECT id * 2 + 1 AS id, envs AS e FROM {_ENVS}),
   j AS (SELECT coalesce(a.e, '') AS x, coalesce(b.e, '') AS y FROM a FULL JOIN b ON a.id = b.id)
   SELECT count(*) FILTER (x <> '' AND y <> '') AS "both", count(*) FILTER (x <> '' AND y = '') AS only_a, count(*) FILTER (x = '' AND y <> '') AS only_b, count(*) FILTER (x = '' AND y = '') AS neither,
     count(*) FILTER (x <> '' AND y <> '' AND len(list_intersect(string_split(x, '; '), string_split(y, '; '))) > 0) AS agree FROM j"""
 )
 def concordance(spark, sf_dir):
     e = view(spark, sf_dir, "cells").select("id", tx.habitats(F.col("place")).alias("e"))
-    return sets.concordance(e.where("id % 3 <> 0"), e.where("id % 4 <> 0").withColumn("id", F.col("id") + 1), "id", "e")
+    return sets.concordance(e, e.withColumn("id", F.col("id") * 2 + 1), "id", "e")
 
 
 @query(f"""SELECT id, CASE WHEN regexp_full_match(cell, '[0-9]{{5}}') THEN month(d) || '-' || day(d) ELSE cell END AS fixed FROM (SELECT id, cell, DATE '1899-12-30' + coalesce(TRY_CAST(regexp_extract(cell, '^[0-9]{{5}}$') AS INTEGER), 0) AS d FROM {duck('dates')})""")
@@ -267,11 +266,11 @@ def pure_subclades(spark, sf_dir):
     return trees.pure_subclades(spark, e, e.select(F.col("child").alias("node")).where("(node DIV 4) % 3 > 0"))
 
 
-@query(f"""WITH RECURSIVE {_UP}, m AS (SELECT child AS node, child % 9 AS g FROM {_TREE} WHERE child >= 100), a AS (SELECT g, ancestor, count(*) AS k, max(distance) AS far FROM m JOIN up USING (node) GROUP BY g, ancestor)
+@query(f"""WITH RECURSIVE {_UP}, m AS (SELECT child AS node, child // 50 AS g FROM {_TREE}), a AS (SELECT g, ancestor, count(*) AS k, max(distance) AS far FROM m JOIN up USING (node) GROUP BY g, ancestor)
   SELECT g, arg_min(ancestor, far) AS node FROM a JOIN (SELECT g, count(*) AS n FROM m GROUP BY g) USING (g) WHERE k = n GROUP BY g""")
 def common_ancestors(spark, sf_dir):
     e = view(spark, sf_dir, "edges")
-    return trees.common_ancestor(spark, e, e.where("child >= 100").select(F.col("child").alias("node"), (F.col("child") % 9).alias("g")), "g")
+    return trees.common_ancestor(spark, e, e.select(F.col("child").alias("node"), F.expr("child DIV 50").alias("g")), "g")
 
 
 @query("""WITH p AS (SELECT a.label, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) * 100 AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id)
@@ -298,19 +297,18 @@ def duplicate_names(spark, sf_dir):
 
 
 @query("""SELECT coalesce(a.k, b.k) AS host, coalesce(nullif(a.v, ''), b.v, '') AS env, CASE WHEN a.k IS NULL THEN 'prediction' WHEN b.k IS NULL THEN 'lookup' ELSE 'both' END AS side
-  FROM (SELECT p_partkey AS k, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_type END AS v FROM part WHERE p_partkey % 3 <> 0) a FULL JOIN (SELECT p_partkey AS k, p_brand AS v FROM part WHERE p_partkey % 5 <> 0) b ON a.k = b.k""")
+  FROM (SELECT p_partkey AS k, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_type END AS v FROM part) a FULL JOIN (SELECT c_custkey * 2 AS k, c_mktsegment AS v FROM customer) b ON a.k = b.k""")
 def combined_hosts(spark, sf_dir):
     """Lookup and prediction side by side: the lookup's value first, blanks filled from the prediction."""
-    p = _table(spark, sf_dir, "part")
-    a = p.where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("host"), F.when(F.col("p_partkey") % 4 == 0, "").otherwise(F.col("p_type")).alias("a"), F.lit(1).alias("in_a"))
-    b = p.where("p_partkey % 5 <> 0").select(F.col("p_partkey").alias("host"), F.col("p_brand").alias("b"), F.lit(1).alias("in_b"))
+    a = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("host"), F.when(F.col("p_partkey") % 4 == 0, "").otherwise(F.col("p_type")).alias("a"), F.lit(1).alias("in_a"))
+    b = _table(spark, sf_dir, "customer").select((F.col("c_custkey") * 2).alias("host"), F.col("c_mktsegment").alias("b"), F.lit(1).alias("in_b"))
     side = F.when(F.col("in_a").isNull(), "prediction").when(F.col("in_b").isNull(), "lookup").otherwise("both")
     return a.join(b, "host", "full").select("host", F.coalesce(F.nullif("a", F.lit("")), "b", F.lit("")).alias("env"), side.alias("side"))
 
 
-@query("SELECT o_custkey AS cust, count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) GROUP BY o_custkey")
+@query("SELECT o_custkey AS cust, count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT s_suppkey * 3 FROM supplier) GROUP BY o_custkey")
 def cache_todo(spark, sf_dir):
-    cache = _table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("cust"))
+    cache = _table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 3).alias("cust"))
     return _table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("cust")).agg(F.count("*").alias("n")).join(cache, "cust", "left_anti")
 
 

@@ -36,7 +36,7 @@ VIEWS: dict[str, str] = {
           WHEN 15 THEN 'Soviet Union' WHEN 16 THEN 'Réunion' WHEN 17 THEN 'South Korea' WHEN 18 THEN 'Baltic, Gulf of Finland' WHEN 19 THEN 'Wolga Delta' WHEN 20 THEN 'west africa' WHEN 21 THEN 'Cornwall, England' ELSE 'St. Petersburg' END AS a,
         CASE c_custkey * 5 % 17 WHEN 0 THEN 'Canada' WHEN 1 THEN 'United States' WHEN 2 THEN 'new hampshire' WHEN 3 THEN 'Black Sea coast' WHEN 4 THEN 'Lake Biwa' WHEN 5 THEN 'u. k.' WHEN 6 THEN 'unknown pond' WHEN 7 THEN 'North Sea' WHEN 8 THEN 'Niger'
           WHEN 9 THEN 'São Paulo' WHEN 10 THEN 'Victoria, Australia' WHEN 11 THEN 'laboratory; insectary' WHEN 12 THEN 'Czechoslovakia' WHEN 13 THEN 'Zurich 1987' WHEN 14 THEN 'A. S. S. R. steppe' WHEN 15 THEN 'caspian' ELSE 'Virginia' END AS b FROM {customer}) q""",
-    "edges": "SELECT p_partkey DIV 2 AS parent, p_partkey AS child FROM {part} WHERE p_partkey BETWEEN 2 AND 127",
+    "edges": "SELECT p_partkey DIV 2 AS parent, p_partkey AS child FROM {part} WHERE p_partkey >= 2",
     "records": """SELECT o_orderkey AS rec, o_custkey AS cust, o_orderkey % 997 AS cluster, o_custkey % 211 AS db_row, o_orderkey AS acc_pos, o_totalprice AS price FROM {orders}""",
 }
 
