@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import components
+from ..operators.components import components
 from ..scratch import Scratch
 from .text import SPACED, chunks, lists, mix, shingles, words
 
