@@ -137,11 +137,16 @@ def least_share(of_u: np.ndarray, of_p: np.ndarray, delta: float = 0.1) -> float
     return float(np.clip(u / p - 2 * error, 0.02, 0.98))
 
 
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Styles in the width in which they are written; fitting and scoring both bin them in it."""
+    return x.astype(np.float32)
+
+
 def _styles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         done = 0
         for x in style_chunks(b.column(1)):
-            x = x.astype(np.float32)
+            x = narrow(x)
             yield pa.RecordBatch.from_arrays([b.column(0).slice(done, len(x)), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "style"])
             done += len(x)
 
@@ -260,7 +265,7 @@ def score_quality(docs: DataFrame, model: Model, text_col: str = "text", out_col
 
     def run(text: pa.Array) -> Iterator[dict[str, pa.Array]]:
         for x in style_chunks(text):
-            yield {"score": pa.array(model.score(x))}
+            yield {"score": pa.array(model.score(narrow(x).astype(float)))}
 
     return annotate(docs, run, "score double", out_col, text_col)
 

@@ -15,9 +15,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK, CHUNK_ROWS = 1 << 21, 60_000
-_B = np.uint64(0x9E3779B97F4A7C15 | 1)
-_B_INV = np.uint64(pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {}
+#: Spans are hashed as polynomials of their bytes at two places, modulo a prime: unlike a power of two it has no texts that meet at every place.
+_PRIME = (1 << 31) - 1
+_PLACES = (0x2F5A1C97, 0x61D3B0E5)
+_FOLD, _MOD = np.uint64(31), np.uint64(_PRIME)
+_BYTE = np.arange(1, 257, dtype=np.uint64)
+_powers: dict[int, np.ndarray] = {}
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -40,12 +43,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power(base: np.uint64, name: str, n: int) -> np.ndarray:
-    if name not in _powers or len(_powers[name]) < n:
-        p = np.full(max(n, CHUNK + 1), base, dtype=np.uint64)
-        p[0] = 1
-        _powers[name] = np.multiply.accumulate(p)
-    return _powers[name][:n]
+def _fold(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, in place."""
+    for _ in range(2):
+        high = x >> _FOLD
+        x &= _MOD
+        x += high
+    x[x >= _MOD] -= _MOD
+    return x
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    """The first n powers of a base modulo the prime."""
+    have = _powers.get(base)
+    if have is None or len(have) < n:
+        size = max(n, CHUNK + 1)
+        p = np.ones(size, dtype=np.uint64)
+        done = 1
+        while done < size:
+            m = min(done, size - done)
+            p[done : done + m] = _fold(p[:m] * np.uint64(pow(base, done, _PRIME)))
+            done += m
+        have = _powers[base] = p.astype(np.uint32)
+    return have[:n]
 
 
 def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -116,17 +136,30 @@ def words(data: np.ndarray, off: np.ndarray, table: np.ndarray = SPACED, lower:
 
 
 def prefix(data: np.ndarray) -> np.ndarray:
-    """Prefix sums from which span_hash takes any span's hash."""
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_B, "up", len(data)), out=sums[1:])
+    """Prefix sums, one row for each place, from which span_hash takes any span's hash."""
+    n = len(data)
+    sums = np.zeros((len(_PLACES), n + 1), dtype=np.uint32)
+    for row, base in zip(sums, _PLACES, strict=True):
+        x = _BYTE[data]
+        x *= _power(base, n)
+        if n > 1 << 24:  # sums of terms as they are would not fit
+            _fold(x)
+        np.cumsum(x, out=x)
+        row[1:] = _fold(x)
     return sums
 
 
 def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
     """64-bit hashes of byte spans, equal for equal bytes wherever they stand."""
     sums = prefix(data) if sums is None else sums
-    h = (sums[end] - sums[start]) * _power(_B_INV, "down", len(data) + 1)[start]
-    return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    out = (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    for k, (row, base) in enumerate(zip(sums, _PLACES, strict=True)):
+        h = row[end].astype(np.uint64)
+        h += _MOD - row[start]
+        _fold(h)
+        h *= _power(pow(base, -1, _PRIME), len(data) + 1)[start]
+        out += _fold(h) << np.uint64(32 * k)
+    return mix(out)
 
 
 def combine(h: np.ndarray, n: int) -> np.ndarray:

@@ -1,6 +1,8 @@
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from sedgeline.llm.style import style_chunks
 from sedgeline.llm.quality import Model, Sums, bin_edges, crc_mod, fit_quality, least_share, score_quality, sums
 
 
@@ -72,3 +74,16 @@ def test_no_positives_and_empty_tables(spark):
     assert fit_quality(docs.limit(0), labels, F.lit(True)).prior == 1.0
     same = spark.createDataFrame([(1, 1), (1, 1), (2, 0)], "doc_id long, quality int")
     assert score_quality(docs, fit_quality(docs, same, F.lit(True))).count() == 4
+
+
+def test_scores_are_those_of_the_bins_that_were_fitted(spark):
+    """Values at rounded edges, such as 0.01 and 0.7, have one side only."""
+    path = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{path}/{t}.parquet") for t in ("documents", "labels"))
+    model = fit_quality(docs, labels, crc_mod("doc_id", 5) != 0)
+    got = {r.doc_id: r.quality_score.score for r in score_quality(docs, model).collect()}
+    texts = docs.select("doc_id", "text").toPandas()
+    for x, rows in zip(style_chunks(pa.array(texts.text)), [texts.doc_id.to_numpy()], strict=True):
+        bins = model.columns(x.astype(np.float32).astype(float))
+        g = model.weight[bins].sum(1) + model.weight[-1]
+        assert np.allclose([got[i] for i in rows], 1 / (1 + np.exp(-g)), atol=1e-6)
