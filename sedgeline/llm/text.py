@@ -19,7 +19,7 @@ CHUNK, CHUNK_ROWS = 1 << 21, 60_000
 _PRIME = (1 << 31) - 1
 _PLACES = (0x2F5A1C97, 0x61D3B0E5)
 _FOLD, _MOD = np.uint64(31), np.uint64(_PRIME)
-_BYTE = np.arange(1, 257, dtype=np.uint64)
+_STEP = 1 << 14
 _powers: dict[int, np.ndarray] = {}
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -49,8 +49,7 @@ def _fold(x: np.ndarray) -> np.ndarray:
         high = x >> _FOLD
         x &= _MOD
         x += high
-    x[x >= _MOD] -= _MOD
-    return x
+    return np.minimum(x, x - _MOD, out=x)  # what is under the prime wraps round
 
 
 def _power(base: int, n: int) -> np.ndarray:
@@ -139,27 +138,33 @@ def prefix(data: np.ndarray) -> np.ndarray:
     """Prefix sums, one row for each place, from which span_hash takes any span's hash."""
     n = len(data)
     sums = np.zeros((len(_PLACES), n + 1), dtype=np.uint32)
-    for row, base in zip(sums, _PLACES, strict=True):
-        x = _BYTE[data]
-        x *= _power(base, n)
-        if n > 1 << 24:  # sums of terms as they are would not fit
-            _fold(x)
-        np.cumsum(x, out=x)
-        row[1:] = _fold(x)
+    powers = [_power(base, n) for base in _PLACES]
+    for lo in range(0, n, _STEP):  # steps that stay in a core's cache
+        plain = np.add(data[lo : lo + _STEP], 1, dtype=np.uint64)
+        for row, p in zip(sums, powers, strict=True):
+            x = plain * p[lo : lo + _STEP]
+            np.cumsum(x, out=x)
+            x += row[lo]
+            row[lo + 1 : lo + 1 + len(x)] = _fold(x)
     return sums
 
 
 def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
     """64-bit hashes of byte spans, equal for equal bytes wherever they stand."""
     sums = prefix(data) if sums is None else sums
-    out = (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    for k, (row, base) in enumerate(zip(sums, _PLACES, strict=True)):
-        h = row[end].astype(np.uint64)
-        h += _MOD - row[start]
-        _fold(h)
-        h *= _power(pow(base, -1, _PRIME), len(data) + 1)[start]
-        out += _fold(h) << np.uint64(32 * k)
-    return mix(out)
+    down = [_power(pow(base, -1, _PRIME), len(data) + 1) for base in _PLACES]
+    out = np.empty(len(start), dtype=np.uint64)
+    for lo in range(0, len(start), _STEP):
+        s, e = start[lo : lo + _STEP], end[lo : lo + _STEP]
+        total = (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        for k, (row, p) in enumerate(zip(sums, down, strict=True)):
+            h = row[e].astype(np.uint64)
+            h += _MOD
+            h -= row[s]
+            h *= p[s]
+            total += _fold(h) << np.uint64(32 * k)
+        out[lo : lo + _STEP] = mix(total)
+    return out
 
 
 def combine(h: np.ndarray, n: int) -> np.ndarray:
