@@ -26,6 +26,19 @@ PHYLUM_ALIASES = {
     "pentastomida": "Arthropoda", "myzostomida": "Annelida", "echiura": "Annelida", "sipuncula": "Annelida", "apicomplexa": "Apicomplexa",
 }
 
+# Genera that are known by their shape, and words that are no taxon.
+GENUS_PATTERNS = (
+    ("gammarus$|gammarellus$", "amphipod_fw", "low"),
+    ("cyclops$|cyclopina$", "copepod_fw", "medium"),
+    ("daphnia$|daphnid", "cladoceran", "medium"),
+    ("simulium$|simuliid", "blackfly", "medium"),
+    ("chironomus$|chironom", "chironomid", "medium"),
+    ("penaeus$", "decapod_marine", "medium"),
+    ("cambarus$|astacus$", "decapod_fw", "medium"),
+    ("^culex|^aedes|^anopheles", "mosquito", "medium"),
+)
+NOT_TAXA = r"(?i)^(amphipod|gammaridean|laboratory|labatory|hamsters|unidentified|and|wasp|host|mice|rats|fish|insect|isopod|shrimp|crab|snail|[A-Z]\.?)$"
+
 
 def first_rule(text: Column, rules: dict[str, str]) -> Column:
     """The name of the first rule whose pattern is in the text."""

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import terms
 from ..functions import text as tx
-from ..operators import resolve, trees
-from .queries import _ABBR, _KEYED, _TREE, _UP, _table, query
+from ..operators import dendrogram, resolve, trees
+from .queries import _ABBR, _KEYED, _TREE, _UP, QUERIES, _table, query
 from .views import duck, view
 
 _CIRCLE = "(SELECT o_custkey % 50 AS tree, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) AS pos, o_orderkey % 5 < 3 AS m FROM orders)"
@@ -169,3 +169,22 @@ def country_counts(spark, sf_dir):
     j = _table(spark, sf_dir, "orders").join(_table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(_table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     unit = j.groupBy("o_custkey", F.col("n_name").alias("country")).agg(F.max(F.col("o_orderstatus") == "F").alias("named"))
     return unit.groupBy("country").agg(F.count_if("named").alias("named"), F.count_if(~F.col("named")).alias("provisional"))
+
+
+@query(
+    f"""WITH i AS MATERIALIZED {duck('identities')}, m AS (SELECT species, least(a, b) AS a, greatest(a, b) AS b, max(identity) AS v FROM i WHERE a <> b GROUP BY ALL)
+  SELECT species, a, b, printf('%.3f', v::DOUBLE) AS text FROM m UNION ALL SELECT species, b, a, printf('%.3f', v::DOUBLE) FROM m UNION ALL SELECT species, a, a, '100' FROM (SELECT species, a FROM i UNION SELECT species, b FROM i)"""
+)
+def identity_matrix(spark, sf_dir):
+    """Cells of the matrices of all species."""
+    return dendrogram.matrix_cells(view(spark, sf_dir, "identities"))
+
+
+def leaf_orders(spark, sf_dir):
+    """Order of the clusters in each species' matrix. SQL can't merge step by step; tests hold it against one merge at a time."""
+    pairs = view(spark, sf_dir, "identities").select("species", "a", "b", (100 - F.col("identity")).alias("distance"))
+    leaves, _ = dendrogram.average_linkage(spark, pairs)
+    return leaves.withColumnRenamed("leaf", "cluster")
+
+
+QUERIES["leaf_orders"] = leaf_orders

@@ -37,6 +37,7 @@ VIEWS: dict[str, str] = {
         CASE c_custkey * 5 % 17 WHEN 0 THEN 'Canada' WHEN 1 THEN 'United States' WHEN 2 THEN 'new hampshire' WHEN 3 THEN 'Black Sea coast' WHEN 4 THEN 'Lake Biwa' WHEN 5 THEN 'u. k.' WHEN 6 THEN 'unknown pond' WHEN 7 THEN 'North Sea' WHEN 8 THEN 'Niger'
           WHEN 9 THEN 'São Paulo' WHEN 10 THEN 'Victoria, Australia' WHEN 11 THEN 'laboratory; insectary' WHEN 12 THEN 'Czechoslovakia' WHEN 13 THEN 'Zurich 1987' WHEN 14 THEN 'A. S. S. R. steppe' WHEN 15 THEN 'caspian' ELSE 'Virginia' END AS b FROM {customer}) q""",
     "edges": "SELECT p_partkey DIV 2 AS parent, p_partkey AS child FROM {part} WHERE p_partkey >= 2",
+    "identities": """SELECT 'species ' || CAST(l_suppkey AS STRING) AS species, 'c' || CAST(l_partkey % 17 AS STRING) AS a, 'c' || CAST(l_orderkey % 13 AS STRING) AS b, 60 + CAST(l_orderkey * 7919 + l_partkey * 104729 + l_linenumber * 31 AS BIGINT) % 39989 / 1000.0 AS identity FROM {lineitem}""",
     "records": """SELECT o_orderkey AS rec, o_custkey AS cust, o_orderkey % 997 AS cluster, o_custkey % 211 AS db_row, o_orderkey AS acc_pos, o_totalprice AS price FROM {orders}""",
 }
 
@@ -55,6 +56,9 @@ def _phrase(number: str) -> str:
     return f"CASE ({number}) % {len(_PHRASES)} " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_PHRASES)) + " END"
 
 
+#: Names of groups by number; the genera that are known by their shape have seven of them.
+_GROUP = "CASE {0} WHEN 0 THEN 'amphipod_fw' WHEN 1 THEN 'copepod_fw' WHEN 2 THEN 'cladoceran' WHEN 3 THEN 'blackfly' WHEN 4 THEN 'mosquito' ELSE 'group ' || CAST({0} AS STRING) END"
+
 VIEWS |= {
     "host_cells": f"""SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN a WHEN 1 THEN a || '; ' || b WHEN 2 THEN b || ';' || g || ' ' || e || '; ' || substr(g, 1, 1) || '. ' || e || 'us' WHEN 3 THEN b || ';;' || a || ' ; ' || g
       WHEN 4 THEN g || ' ' || e || ', ' || g || ' ' || e || 'a, ' || a ELSE a || '; ' || b || '; ' || g || ' ' || e || ' (host ' || CAST(p_size % 10 AS STRING) || ')' END AS cell
@@ -66,6 +70,12 @@ VIEWS |= {
     "found": f"""SELECT l AS cluster, CASE l % 7 WHEN 0 THEN g || 'ella ' || e || x WHEN 1 THEN substr(g, 1, 1) || '. ' || e || x WHEN 2 THEN g || 'opsis ' || e || 'us' WHEN 3 THEN g || 'osema ' || e WHEN 4 THEN 'Uncultured ' || g WHEN 5 THEN g || 'ella ' || e || 'zzz' ELSE g || 'idia ' || e || x END AS name,
       CASE WHEN l % 11 = 0 THEN 'AB' || CAST(500000 + l AS STRING) || ', mg' || CAST(100000 + l AS STRING) WHEN l % 13 = 0 THEN 'XR200003.1' ELSE '' END AS accessions
       FROM (SELECT c_custkey AS l, translate(CAST(c_custkey % 150 AS STRING), '0123456789', 'abcdefghij') AS x, p.g, p.e FROM {{customer}} c JOIN (SELECT p_partkey, g, e FROM {_PART}) p ON c.c_custkey * 3 % 500 = p.p_partkey) a""",
+    "genera": f"""SELECT p_partkey AS ord, g || e || translate(CAST(p_partkey % 150 AS STRING), '0123456789', 'abcdefghij') AS genus, {_GROUP.format('(p_partkey * 7 + p_size) % 27')} AS grp FROM {_PART}""",
+    "host_groups": f"""SELECT {_GROUP.format('n_nationkey')} AS grp, CASE n_nationkey % 3 WHEN 0 THEN 'freshwater' WHEN 1 THEN 'marine' ELSE 'terrestrial' END AS environment,
+      split(CASE n_nationkey % 3 WHEN 0 THEN 'freshwater;terrestrial' WHEN 1 THEN 'marine;brackish' ELSE 'terrestrial' END, ';') AS environments, n_name AS host_group, CASE WHEN n_nationkey % 4 = 0 THEN 'aquatic larva' ELSE '' END AS note, CASE WHEN n_nationkey % 5 = 0 THEN 'medium' ELSE 'high' END AS confidence FROM {{nation}}""",
+    "taxa": f"""SELECT c_custkey AS id, CASE c_custkey % 14 WHEN 0 THEN g || ' magna' WHEN 1 THEN substr(g, 1, 2) || substr(g, 4) || ' sp.' WHEN 2 THEN substr(g, 1, 3) || 'zz' || substr(g, 6) WHEN 3 THEN g || 'q longa' WHEN 4 THEN substr(g, 1, 4) || 'gammarus pulex'
+      WHEN 5 THEN 'Culex ' || g WHEN 6 THEN ' ' WHEN 7 THEN 'Shrimp' WHEN 8 THEN ' ' || upper(g) || ' X' WHEN 9 THEN NULL WHEN 10 THEN 'Wyz' || g WHEN 11 THEN substr(g, 1, 1) || '.' WHEN 12 THEN substr(g, 1, 4) ELSE substr(g, 1, 2) || 'y' || substr(g, 3, 3) || 'y' || substr(g, 7) END AS host
+      FROM (SELECT c_custkey, g || e || translate(CAST(p_partkey % 150 AS STRING), '0123456789', 'abcdefghij') AS g FROM {{customer}} JOIN {_PART} ON p_partkey = c_custkey) c""",
     "answers": f"""SELECT CASE WHEN p_partkey % 29 = 5 THEN e WHEN p_partkey % 31 = 7 THEN g || ' ' || e || ' x' ELSE g || ' ' || e END AS host, 'species' AS rank, s.cand, s.ord, s.source, CASE s.cand WHEN 0 THEN g ELSE 'Syno' || lower(g) END || ' ' || e AS asked,
       CASE (p_partkey * 7 + s.ord * 3 + s.cand * 5) % 12 WHEN 0 THEN g || ' ' || e WHEN 1 THEN g || ' ' || e || ' Sprague, 1976' WHEN 2 THEN g || ' (' || g || 'ina)' WHEN 3 THEN 'X' || substr(g, 2) || ' ' || e WHEN 4 THEN 'Xy' || substr(g, 3) || ' ' || e WHEN 5 THEN 'Other thing'
         WHEN 6 THEN g || ' ' || e || 'um' WHEN 7 THEN g || ' differens' WHEN 8 THEN '' WHEN 9 THEN 'Syno' || lower(g) || ' ' || e WHEN 10 THEN 'Xy' || substr(g, 3) || ' ' || e || ' (L., 1758)' ELSE NULL END AS returned,
@@ -79,13 +89,13 @@ VIEWS |= {
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = VIEWS[name].replace('"end"', "`end`")
-    used = [t for t in ("part", "orders", "lineitem", "supplier", "customer") if "{" + t + "}" in text]
+    used = [t for t in ("part", "orders", "lineitem", "supplier", "customer", "nation") if "{" + t + "}" in text]
     return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
 
 
 def duck(name: str) -> str:
     """The view as a DuckDB subquery."""
     text = VIEWS[name].replace(" DIV ", " // ").replace("`", '"')
-    for t in ("part", "orders", "lineitem", "supplier", "customer"):
+    for t in ("part", "orders", "lineitem", "supplier", "customer", "nation"):
         text = text.replace("{" + t + "}", t)
     return f"({text})"
