@@ -59,6 +59,14 @@ def _phrase(number: str) -> str:
 #: Names of groups by number; the genera that are known by their shape have seven of them.
 _GROUP = "CASE {0} WHEN 0 THEN 'amphipod_fw' WHEN 1 THEN 'copepod_fw' WHEN 2 THEN 'cladoceran' WHEN 3 THEN 'blackfly' WHEN 4 THEN 'mosquito' ELSE 'group ' || CAST({0} AS STRING) END"
 
+
+def _spore(form: str, n: str) -> str:
+    n = f"CAST({n} AS STRING)"
+    forms = (f"{n} || '.25 +/- 0.3 (3.71 - 4.33 um); '", f"{n} || '.1 fixed/' || {n} || '.75 fresh;'", f"{n} || '-' || {n} || '.5 (stained); '", f"'(' || {n} || '-9.5 um diameter) ; '", f"{n} || ' (fresh); '", f"'3.7 - 4.9 um (avg: ' || {n} || '.4 um); '",
+             f"{n} || ' (macrospore, fresh);; '", "'not measured; '", f"'Meiospore ' || {n} || '.5 live; '", f"{n} || '.5-2.0/0.8; '", f"'(' || {n} || ' um); '", f"{n} || ' x (type b) (Fixed); '")
+    return f"CASE ({form}) % {len(forms)} " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(forms)) + " END"
+
+
 VIEWS |= {
     "host_cells": f"""SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN a WHEN 1 THEN a || '; ' || b WHEN 2 THEN b || ';' || g || ' ' || e || '; ' || substr(g, 1, 1) || '. ' || e || 'us' WHEN 3 THEN b || ';;' || a || ' ; ' || g
       WHEN 4 THEN g || ' ' || e || ', ' || g || ' ' || e || 'a, ' || a ELSE a || '; ' || b || '; ' || g || ' ' || e || ' (host ' || CAST(p_size % 10 AS STRING) || ')' END AS cell
@@ -70,6 +78,9 @@ VIEWS |= {
     "found": f"""SELECT l AS cluster, CASE l % 7 WHEN 0 THEN g || 'ella ' || e || x WHEN 1 THEN substr(g, 1, 1) || '. ' || e || x WHEN 2 THEN g || 'opsis ' || e || 'us' WHEN 3 THEN g || 'osema ' || e WHEN 4 THEN 'Uncultured ' || g WHEN 5 THEN g || 'ella ' || e || 'zzz' ELSE g || 'idia ' || e || x END AS name,
       CASE WHEN l % 11 = 0 THEN 'AB' || CAST(500000 + l AS STRING) || ', mg' || CAST(100000 + l AS STRING) WHEN l % 13 = 0 THEN 'XR200003.1' ELSE '' END AS accessions
       FROM (SELECT c_custkey AS l, translate(CAST(c_custkey % 150 AS STRING), '0123456789', 'abcdefghij') AS x, p.g, p.e FROM {{customer}} c JOIN (SELECT p_partkey, g, e FROM {_PART}) p ON c.c_custkey * 3 % 500 = p.p_partkey) a""",
+    "spores": f"""SELECT p_partkey AS id, CASE p_partkey % 11 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE {_spore('p_partkey', 'p_size')} || {_spore('p_partkey DIV 7', 'p_size + 3')} END AS length, {_spore('p_partkey * 3', 'p_size DIV 2')} || CASE WHEN p_partkey % 4 < 3 THEN {_spore('p_partkey DIV 5 + p_size', 'p_size DIV 3')} ELSE '' END AS width,
+      CASE p_partkey % 9 WHEN 0 THEN 'rod (fixed); oval (fresh)' WHEN 1 THEN 'Pyriform (stained)' WHEN 2 THEN 'spherical' WHEN 3 THEN 'oval (meiospore); ellipsoid (macrospore, fresh)' WHEN 4 THEN 'kidney-shaped; curved' WHEN 5 THEN '' WHEN 6 THEN 'ovocylindrical (live); barrel (stained) ; rod (octospore)' WHEN 7 THEN 'horseshoe (fixed); slender (Fresh smear)' ELSE 'Broad; ovoid (fixed)' END AS shape,
+      CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN CAST(p_size AS STRING) || '.5 (meiospores); 7 (macrospores)' ELSE 'several' END AS coils, CASE p_partkey % 8 WHEN 0 THEN '5 - 6' WHEN 1 THEN CAST(44000 + p_partkey % 700 AS STRING) WHEN 2 THEN '2021-05-06' WHEN 3 THEN 'Uncoiled' WHEN 4 THEN '' WHEN 5 THEN '(10) ; 8 (rarely 9); 3-4' WHEN 6 THEN 'about 11' ELSE 'many' END AS coil_range FROM {{part}}""",
     "genera": f"""SELECT p_partkey AS ord, g || e || translate(CAST(p_partkey % 150 AS STRING), '0123456789', 'abcdefghij') AS genus, {_GROUP.format('(p_partkey * 7 + p_size) % 27')} AS grp FROM {_PART}""",
     "host_groups": f"""SELECT {_GROUP.format('n_nationkey')} AS grp, CASE n_nationkey % 3 WHEN 0 THEN 'freshwater' WHEN 1 THEN 'marine' ELSE 'terrestrial' END AS environment,
       split(CASE n_nationkey % 3 WHEN 0 THEN 'freshwater;terrestrial' WHEN 1 THEN 'marine;brackish' ELSE 'terrestrial' END, ';') AS environments, n_name AS host_group, CASE WHEN n_nationkey % 4 = 0 THEN 'aquatic larva' ELSE '' END AS note, CASE WHEN n_nationkey % 5 = 0 THEN 'medium' ELSE 'high' END AS confidence FROM {{nation}}""",
