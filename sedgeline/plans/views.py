@@ -81,6 +81,11 @@ VIEWS |= {
     "spores": f"""SELECT p_partkey AS id, CASE p_partkey % 11 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE {_spore('p_partkey', 'p_size')} || {_spore('p_partkey DIV 7', 'p_size + 3')} END AS length, {_spore('p_partkey * 3', 'p_size DIV 2')} || CASE WHEN p_partkey % 4 < 3 THEN {_spore('p_partkey DIV 5 + p_size', 'p_size DIV 3')} ELSE '' END AS width,
       CASE p_partkey % 9 WHEN 0 THEN 'rod (fixed); oval (fresh)' WHEN 1 THEN 'Pyriform (stained)' WHEN 2 THEN 'spherical' WHEN 3 THEN 'oval (meiospore); ellipsoid (macrospore, fresh)' WHEN 4 THEN 'kidney-shaped; curved' WHEN 5 THEN '' WHEN 6 THEN 'ovocylindrical (live); barrel (stained) ; rod (octospore)' WHEN 7 THEN 'horseshoe (fixed); slender (Fresh smear)' ELSE 'Broad; ovoid (fixed)' END AS shape,
       CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN CAST(p_size AS STRING) || '.5 (meiospores); 7 (macrospores)' ELSE 'several' END AS coils, CASE p_partkey % 8 WHEN 0 THEN '5 - 6' WHEN 1 THEN CAST(44000 + p_partkey % 700 AS STRING) WHEN 2 THEN '2021-05-06' WHEN 3 THEN 'Uncoiled' WHEN 4 THEN '' WHEN 5 THEN '(10) ; 8 (rarely 9); 3-4' WHEN 6 THEN 'about 11' ELSE 'many' END AS coil_range FROM {{part}}""",
+    "noted": """SELECT o_orderkey AS row, CASE o_orderkey % 17 WHEN 3 THEN ' ' ELSE 'Genus  ' || CAST(o_orderkey % 3001 AS STRING) END AS name, CASE o_orderkey % 13 WHEN 0 THEN NULL WHEN 1 THEN 'Provisional species: defined by 18S sequence cluster 7' WHEN 2 THEN 'x [ADDED 2026-07-0' || CAST(1 + o_custkey % 9 AS STRING) || ']'
+      WHEN 3 THEN '[TRANSFERRED/ADDED 2026-08-01]' WHEN 4 THEN '[MERGED 2026-08-06: original rows ' || CAST(o_custkey AS STRING) || ', ' || CAST(o_custkey * 30 AS STRING) || ', ' || CAST(o_custkey + 5 AS STRING) || ']' WHEN 5 THEN 'combined records: OLD ' || CAST(o_custkey AS STRING) || ' | Old  9; [TRANSFERRED/ADDED 2026-08-02] [TRANSFERRED/ADDED 2026-08-03]'
+      WHEN 6 THEN '[MERGED 2026-08-06: original rows ' || CAST(2000 + o_custkey AS STRING) || ',2900 ] [TRANSFERRED/ADDED 2026-08-02]' WHEN 7 THEN 'combined records: Old ' || CAST(o_custkey AS STRING) || ' | Genus 2 | Old 14]' WHEN 8 THEN 'combined records: A | B | C [TRANSFERRED/ADDED 2026-08-02]' ELSE '' END AS remarks FROM {orders}""",
+    "originals": """SELECT CASE c_custkey % 4 WHEN 0 THEN 'Genus ' || CAST(c_custkey * 3 AS STRING) WHEN 1 THEN ' genus  ' || CAST(c_custkey AS STRING) WHEN 2 THEN 'Old ' || CAST(c_custkey AS STRING) ELSE 'Alias ' || CAST(c_custkey AS STRING) END AS name FROM {customer}""",
+    "aliases": "SELECT 'alias ' || CAST(s_suppkey * 4 + 3 AS STRING) AS name, 'GENUS ' || CAST(s_suppkey * 2 AS STRING) AS current FROM {supplier}",
     "genera": f"""SELECT p_partkey AS ord, g || e || translate(CAST(p_partkey % 150 AS STRING), '0123456789', 'abcdefghij') AS genus, {_GROUP.format('(p_partkey * 7 + p_size) % 27')} AS grp FROM {_PART}""",
     "host_groups": f"""SELECT {_GROUP.format('n_nationkey')} AS grp, CASE n_nationkey % 3 WHEN 0 THEN 'freshwater' WHEN 1 THEN 'marine' ELSE 'terrestrial' END AS environment,
       split(CASE n_nationkey % 3 WHEN 0 THEN 'freshwater;terrestrial' WHEN 1 THEN 'marine;brackish' ELSE 'terrestrial' END, ';') AS environments, n_name AS host_group, CASE WHEN n_nationkey % 4 = 0 THEN 'aquatic larva' ELSE '' END AS note, CASE WHEN n_nationkey % 5 = 0 THEN 'medium' ELSE 'high' END AS confidence FROM {{nation}}""",
