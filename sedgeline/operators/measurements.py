@@ -57,21 +57,6 @@ def _double(c: Column) -> Column:
     return F.nullif(c, F.lit("")).cast("double")
 
 
-def _value(term: Column) -> Column:
-    """(value, basis) of one part: a stated average, the middle of a leading range, the first number, or what parentheses hold."""
-    t = F.lower(deaccent(term))
-    bare = _trim(F.regexp_replace(t, r"\(.*?\)", " "))
-    average, lead = _double(F.regexp_extract(t, _AVERAGE, 1)), _double(F.regexp_extract(bare, _NUM, 0))
-    middle = (_double(F.regexp_extract(bare, _RANGE, 1)) + _double(F.regexp_extract(bare, _RANGE, 2))) / 2
-    inside = F.transform(F.regexp_extract_all(t, F.lit(_NUM), 0), lambda x: x.cast("double"))
-    pair = (F.get(inside, 0) + F.get(inside, 1)) / 2
-    basis = (
-        F.when(average.isNotNull(), "stated average").when(middle.isNotNull(), "range midpoint").when(lead.isNotNull(), "first value")
-        .when(F.size(inside) > 1, "range midpoint (parenthetical)").when(F.size(inside) == 1, "first value (parenthetical)").otherwise("no number found")
-    )
-    return F.struct(F.coalesce(average, middle, lead, pair, F.get(inside, 0)).alias("value"), basis.alias("basis"))
-
-
 def _condition(term: Column) -> Column:
     low = F.lower(term)
     inside = F.transform(F.regexp_extract_all(low, F.lit(r"\([^)]*\)"), 0), lambda p: F.regexp_replace(p, "[()]", ""))
@@ -79,14 +64,31 @@ def _condition(term: Column) -> Column:
 
 
 def _measured(parts: Column) -> Column:
-    """Structs (rank, idx, value, basis, condition, label) of the parts in a column; they order by what counts first."""
+    """Structs (rank, idx, value, basis, condition, label) of parts; they order by what counts first.
 
-    def one(t: Column, i: Column) -> Column:
-        c, v = _condition(t), _value(t)
-        label = F.trim(F.regexp_replace(F.regexp_replace(c, "[^a-z ]", " "), r"\s+", " "))
-        return F.struct(condition_rank(c).alias("rank"), (i + 1).alias("idx"), v["value"].alias("value"), v["basis"].alias("basis"), _trim(c).alias("condition"), label.alias("label"))
-
-    return F.transform(parts, one)
+    The value is a stated average, the middle of a leading range, the first
+    number, or what parentheses hold. Stage by stage, so that no lambda works
+    out the same thing twice.
+    """
+    read = F.transform(parts, lambda t: F.struct(F.lower(deaccent(t)).alias("t"), _condition(t).alias("c")))
+    read = F.transform(read, lambda x: F.struct(x["t"].alias("t"), x["c"].alias("c"), _trim(F.regexp_replace(x["t"], r"\(.*?\)", " ")).alias("bare")))
+
+    def numbers(x: Column) -> Column:
+        middle = (_double(F.regexp_extract(x["bare"], _RANGE, 1)) + _double(F.regexp_extract(x["bare"], _RANGE, 2))) / 2
+        inside = F.transform(F.regexp_extract_all(x["t"], F.lit(_NUM), 0), lambda n: n.cast("double"))
+        return F.struct(x["c"].alias("c"), _double(F.regexp_extract(x["t"], _AVERAGE, 1)).alias("average"), middle.alias("middle"), _double(F.regexp_extract(x["bare"], _NUM, 0)).alias("lead"), inside.alias("inside"))
+
+    def chosen(x: Column, i: Column) -> Column:
+        pair = (F.get(x["inside"], 0) + F.get(x["inside"], 1)) / 2
+        basis = (
+            F.when(x["average"].isNotNull(), "stated average").when(x["middle"].isNotNull(), "range midpoint").when(x["lead"].isNotNull(), "first value")
+            .when(F.size(x["inside"]) > 1, "range midpoint (parenthetical)").when(F.size(x["inside"]) == 1, "first value (parenthetical)").otherwise("no number found")
+        )
+        value = F.coalesce(x["average"], x["middle"], x["lead"], pair, F.get(x["inside"], 0))
+        label = F.trim(F.regexp_replace(F.regexp_replace(x["c"], "[^a-z ]", " "), r"\s+", " "))
+        return F.struct(condition_rank(x["c"]).alias("rank"), (i + 1).alias("idx"), value.alias("value"), basis.alias("basis"), _trim(x["c"]).alias("condition"), label.alias("label"))
+
+    return F.transform(F.transform(read, numbers), chosen)
 
 
 def _numbered(c: Column) -> Column:
