@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
+from .running import running
+
 
 def _entropy(counts: DataFrame, n: str = "n") -> Column:
     return -F.sum(F.col(n) / F.col("total") * F.log(F.col(n) / F.col("total")))
@@ -42,11 +45,12 @@ def pareto(grid: DataFrame, x: str, y: str) -> DataFrame:
     """Rows of a grid that no other row beats: none is at most as great in both and smaller in one.
 
     After sorting by (x, y), a row stands if its y is under all before it of
-    smaller x; so no join of the grid with itself is needed.
+    smaller x; so no join of the grid with itself is needed. Rows with a null in
+    either are passed over.
     """
-    best = grid.groupBy(x).agg(F.min(y).alias(y))
-    w = Window.orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
-    front = best.withColumn("_before", F.min(y).over(w)).where(F.col("_before").isNull() | (F.col(y) < F.col("_before"))).drop("_before")
+    best = grid.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x).agg(F.min(y).alias(y))
+    before = running(best, [], [x], {"_before": F.col(y)}, Scratch(grid.sparkSession, "pareto"), F.min, before=True)
+    front = before.where(F.col("_before").isNull() | (F.col(y) < F.col("_before"))).drop("_before")
     return grid.join(front, [x, y], "left_semi")
 
 

@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 
-#: Fixed value: the name of the whole group, where a cluster has no genus.
-FALLBACK = "Microsporidia"
-
 #: Fixed value: the group's name, where a cluster has no genus.
 FALLBACK = "Microsporidia"
 

@@ -254,8 +254,7 @@ _UP = f"up(node, ancestor, distance) AS (SELECT child, child, 0 FROM {_TREE} UNI
 
 @query(f"WITH RECURSIVE {_UP} SELECT ancestor AS node, count(*) AS n_below FROM up WHERE distance > 0 GROUP BY ancestor")
 def descendants(spark, sf_dir):
-    up = trees.ancestors(spark, view(spark, sf_dir, "edges"))
-    return up.where("distance > 0").groupBy(F.col("ancestor").alias("node")).agg(F.count("*").alias("n_below"))
+    return trees.intervals(view(spark, sf_dir, "edges")).where("last > pre").select("node", (F.col("last") - F.col("pre")).alias("n_below"))
 
 
 @query(f"""WITH RECURSIVE {_UP}, tip AS (SELECT child FROM {_TREE} WHERE child NOT IN (SELECT parent FROM {_TREE})),

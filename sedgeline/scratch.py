@@ -49,6 +49,13 @@ class Scratch:
                 p = jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
+    def clear(self) -> None:
+        """Drops every table that is still there."""
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(self.root)
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        self.paths.clear()
+
     def release(self) -> None:
         """Lets Spark remove the shuffle files of jobs that are done: it does so once the driver's garbage is collected, which may be long after."""
         gc.collect()
