@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
@@ -73,19 +73,20 @@ def intervals(edges: DataFrame, order: str | None = None, marked: DataFrame | No
     else:
         m = marked.select("node").where("node IS NOT NULL").distinct().withColumn("_m", F.lit(1))
         steps = steps.join(m, "node", "left").withColumn("marks", F.when(F.col("leaves"), F.coalesce("_m", F.lit(0))).otherwise(0).cast("long")).drop("_m")
-    now = scratch.save(steps.withColumn("root", F.when(F.col("to").isNull(), F.col("node"))), "steps")
+    now, moves = scratch.save(steps.withColumn("root", F.when(F.col("to").isNull(), F.col("node"))), "steps"), not e.isEmpty()
     counted = ("entered", "open", "tips", "marks")
     length, most = 1, 2 * (e.count() + 1)
-    if not e.isEmpty() and roots.isEmpty():
+    if moves and roots.isEmpty():
         raise ValueError("the edges have a circle")
-    while not (moving := now.where("to IS NOT NULL")).isEmpty():
+    while moves:
         if length > 2 * most:
             raise ValueError("the edges have a circle")
         ahead = now.select(F.col("node").alias("to"), F.col("leaves").alias("to_leaves"), F.col("to").alias("_to"), F.col("to_leaves").alias("_leaves"), F.col("root").alias("_root"), *(F.col(c).alias(f"_{c}") for c in counted))
-        jumped = moving.join(ahead, ["to", "to_leaves"]).select("node", "leaves", F.col("_to").alias("to"), F.col("_leaves").alias("to_leaves"), *((F.col(c) + F.col(f"_{c}")).alias(c) for c in counted), F.col("_root").alias("root"))
-        after = scratch.save(jumped.unionByName(now.where("to IS NULL")), "steps")
+        jumped = now.where("to IS NOT NULL").join(ahead, ["to", "to_leaves"]).select("node", "leaves", F.col("_to").alias("to"), F.col("_leaves").alias("to_leaves"), *((F.col(c) + F.col(f"_{c}")).alias(c) for c in counted), F.col("_root").alias("root"))
+        seen = Observation()
+        after = scratch.save(jumped.unionByName(now.where("to IS NULL")).observe(seen, F.count_if(F.col("to").isNotNull()).alias("moving")), "steps")
         scratch.drop(now)
-        now, length = after, 2 * length
+        now, length, moves = after, 2 * length, seen.get["moving"] > 0  # a task that ran twice counts twice, but never none
     at = lambda c, leaves: F.max(F.when(F.col("leaves") == leaves, F.col(c)))
     found = now.groupBy("root", "node").agg(
         at("entered", False).alias("pre"), at("entered", True).alias("last"), (at("open", False) - 1).alias("depth"), (at("tips", True) - at("tips", False)).alias("n_tips"),

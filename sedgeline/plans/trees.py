@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import trees
 from ..scratch import Scratch
+from ..sources.newick import read_newick, write_newick
 from .queries import _TREE, query
 from .views import view
 
@@ -49,3 +50,13 @@ def clade_report(spark, sf_dir):
     small = e.where("(child * 7) % 10 < 6").select(F.expr("(child DIV 3) % 40").alias("clade"), F.col("child").alias("node"))
     members = small.union(e.select(90 + F.col("child") % 2, "child"))
     return trees.clade_report(trees.intervals(e, scratch=scratch), members, scratch)
+
+
+@query(f"SELECT parent::VARCHAR AS parent, child::VARCHAR AS child FROM {_TREE} UNION ALL SELECT NULL, '1'")
+def newick_round_trip(spark, sf_dir):
+    """The tree written in brackets and read again; nodes are told by their labels."""
+    scratch = Scratch(spark, "brackets")
+    path = f"{scratch.root}/tree"
+    write_newick(view(spark, sf_dir, "edges"), path)
+    nodes = read_newick(spark, path, scratch)
+    return nodes.join(nodes.select(F.col("child").alias("parent"), F.col("label").alias("above")), "parent", "left").select(F.col("above").alias("parent"), F.col("label").alias("child"))

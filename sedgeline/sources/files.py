@@ -65,31 +65,6 @@ def last_wins(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.where(F.coalesce(F.col(key), F.lit("")) != "").withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def edges_newick(spark: SparkSession, text: str) -> DataFrame:
-    """(parent, child, label) of a Newick tree; node 1 is the root, nodes are numbered as they open."""
-    rows, stack, n, label, i = [], [], 1, "", 0
-    names = {1: ""}
-    current = 1
-    while i < len(text):
-        c = text[i]
-        if c in "(,":
-            parent = current if c == "(" else stack[-1]
-            if c == "(":
-                stack.append(current)
-            n += 1
-            rows.append((parent, n))
-            current = n
-        elif c == ")":
-            current = stack.pop()
-        elif c == ":":
-            while i + 1 < len(text) and text[i + 1] not in "(),;":
-                i += 1
-        elif c != ";" and not c.isspace():
-            names[current] = names.get(current, "") + c
-        i += 1
-    return spark.createDataFrame([(p, k, names.get(k, label).strip("'\"")) for p, k in rows], "parent long, child long, label string")
-
-
 class _Sheet(InputPartition):
     def __init__(self, name: str, member: str):
         self.name, self.member = name, member

@@ -33,11 +33,6 @@ def test_strict_table_and_wins(spark, tmp_path):
     assert files.table_tsv(spark, str(tmp_path / "o")).columns == ["v", "k", "none"]
 
 
-def test_newick(spark):
-    got = sorted(map(tuple, files.edges_newick(spark, "((a:1,b:2)x:3,'c');").collect()))
-    assert got == [(1, 2, "x"), (1, 5, "c"), (2, 3, "a"), (2, 4, "b")]
-
-
 def test_workbook(spark, tmp_path):
     ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     p = tmp_path / "w.xlsx"
