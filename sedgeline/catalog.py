@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import attributions, curation, hosts, ledgers, localities, more, predictions, trees  # noqa: F401  register their queries
+from .plans import attributions, curation, hosts, ledgers, localities, more, predictions, summaries, trees  # noqa: F401  register their queries
 from .plans.queries import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "named_by_decade"

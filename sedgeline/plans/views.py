@@ -102,6 +102,12 @@ VIEWS |= {
       CROSS JOIN (SELECT 0 AS cand, 0 AS ord, 'GBIF' AS source UNION ALL SELECT 0, 1, 'COL' UNION ALL SELECT 0, 2, 'WoRMS' UNION ALL SELECT 0, 3, 'NCBI' UNION ALL SELECT 1, 0, 'GBIF' UNION ALL SELECT 1, 2, 'WoRMS') s""",
 }
 
+VIEWS["members"] = f"""SELECT id % 97 AS cluster, id AS ord, 'MG' || CAST(100000 + id AS STRING) AS accession, CASE WHEN id % 97 % 9 = 2 THEN 'Uncultured thing' WHEN id % 5 = 1 THEN upper(nm) ELSE nm END AS organism,
+  CASE WHEN id % 97 % 7 = 3 THEN '' WHEN id % 4 = 0 THEN NULL WHEN id % 4 = 1 THEN 'Daphnia magna; ' || p_brand || ';;' ELSE upper(p_brand) || chr(10) || 'daphnia  magna' END AS host, CASE WHEN id % 6 = 0 THEN p_type ELSE '' END AS lab_host,
+  CASE id % 3 WHEN 0 THEN 'Lake  ' || CAST(p_size % 5 AS STRING) WHEN 1 THEN ' lake ' || CAST(p_size % 5 AS STRING) END AS locality, CASE id % 4 WHEN 0 THEN '' WHEN 1 THEN 'Chile' WHEN 2 THEN 'chile' ELSE 'Peru' END AS country,
+  CASE WHEN id % 97 % 5 = 1 THEN '' ELSE CAST(1990 + p_size % 7 AS STRING) END AS pub_year, CASE WHEN id % 97 % 10 = 1 THEN NULL ELSE CAST(2000 + p_size % 5 AS STRING) END AS submitted_year, '2' || CAST(id % 9 AS STRING) || '-MAY-' || CAST(2010 + p_size % 4 AS STRING) AS record_date,
+  CASE WHEN id % 2 = 0 THEN p_brand ELSE lower(p_brand) END AS isolate, CASE WHEN id % 3 = 0 THEN p_type END AS strain, CAST(p_size AS STRING) || ', ' || CAST(p_size % 7 AS STRING) AS pubmed FROM ({VIEWS['names']}) n JOIN {{part}} ON p_partkey = id"""
+
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = VIEWS[name].replace('"end"', "`end`")
