@@ -17,7 +17,7 @@ from .ngram_jaccard import ngram_jaccard_join
 from .packing import pack
 from .quality import crc_mod, fit_quality, score_quality
 from .resampling import resample
-from .secrets import joined, scan_secrets
+from .secrets import joined, scan_secrets, whole_matches
 from .substrings import remove_repeats
 from .toxicity import fit_toxicity, score_toxicity
 from .vector_codes import encode, fit_codebooks, label_errors
@@ -60,7 +60,7 @@ FROM r JOIN s ON r.doc_id = s.doc_id GROUP BY r.doc_id
 
 @query
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.col("secrets.spans").alias("spans"))
+    found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", whole_matches(F.col("secrets.spans")).alias("spans"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["kind"] != "literal")
     return found.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))

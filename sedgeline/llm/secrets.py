@@ -162,37 +162,43 @@ def lex(text: str) -> list[tuple[int, int]]:
 
 def spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all secrets, by start and then kind as listed; fixed patterns first, then literals outside of them."""
+    return [(s, e, k) for s, e, k, _ in matches(text)]
+
+
+def matches(text: str) -> list[tuple[int, int, str, int]]:
+    """The spans with the start of the whole match of each, which for an assignment is that of its name."""
     found = []
     if "=" in text or ":" in text:
-        found += [(m.start(2), m.end(2), "assign") for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
+        found += [(m.start(2), m.end(2), "assign", m.start()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
     if "AKIA" in text:
-        found += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text)]
-    found += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
-    covered, at = sorted((x, y) for x, y, _ in found), 0
+        found += [(m.start(), m.end(), "access", m.start()) for m in ACCESS.finditer(text)]
+    found += [(m.start(), m.end(), "hex", m.start()) for m in HEX.finditer(text)]
+    covered, at = sorted((x, y) for x, y, _, _ in found), 0
     far = 0  # the furthest end of the base spans before ``at``
     for s, e in lex(text):
         while at < len(covered) and covered[at][0] < e:
             far, at = max(far, covered[at][1]), at + 1
         if far <= s:
-            found.append((s, e, "literal"))
+            found.append((s, e, "literal", s))
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
 def _scan(text: pa.Array) -> Iterator[dict[str, pa.Array]]:
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("match_start", pa.int64())]))
     for lo in range(0, len(text), CHUNK_ROWS):
         rows = text.slice(lo, CHUNK_ROWS).to_pylist()
-        yield {"spans": pa.array([[{"kind": k, "start": s, "end": e} for s, e, k in spans(t or "")] for t in rows], kind)}
+        yield {"spans": pa.array([[{"kind": k, "start": s, "end": e, "match_start": m} for s, e, k, m in matches(t or "")] for t in rows], kind)}
 
 
 def scan_secrets(docs: DataFrame, text_col: str = "text", out_col: str = "secrets") -> DataFrame:
-    """``docs`` with the struct ``out_col``: spans (kind, start, end) in code points, end exclusive.
+    """``docs`` with the struct ``out_col``: spans (kind, start, end, match_start) in code points, end exclusive.
 
     A pattern's span is its secret: the value of an assignment, the whole of an
-    access key or hexadecimal run. A null or empty text has none. Rows are
+    access key or hexadecimal run. match_start is where the whole match begins,
+    which for an assignment is its name; it ends where the value does. A null or empty text has none. Rows are
     judged one by one, so repeated rows and other columns change nothing.
     """
-    return annotate(docs, _scan, "spans array<struct<kind:string,start:long,end:long>>", out_col, text_col)
+    return annotate(docs, _scan, "spans array<struct<kind:string,start:long,end:long,match_start:long>>", out_col, text_col)
 
 
 def joined(spans_col: Column) -> Column:
@@ -200,6 +206,13 @@ def joined(spans_col: Column) -> Column:
     return F.array_join(F.transform(spans_col, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def whole_matches(spans_col: Column) -> Column:
+    """The spans from the start of their matches, by start and then kind as listed."""
+    rank = lambda s: F.array_position(F.array(*map(F.lit, KINDS)), s["kind"])
+    placed = F.array_sort(F.transform(spans_col, lambda s: F.struct(s["match_start"].alias("start"), rank(s).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    return F.transform(placed, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+
+
 def redacted(text_col: str = "text", out_col: str = "secrets", mark: str = "[SECRET]") -> Column:
     """The text with each run of overlapping spans replaced by ``mark``."""
     kind = "struct<at:bigint,out:string>"
