@@ -1,14 +1,15 @@
 """Trees in brackets, read in pieces and written in order.
 
 A file is cut at its commas, however long its one line is: each piece opens
-some brackets, holds one tip and closes some brackets. The depth of a piece is
+some brackets, holds one tip and closes some brackets. The end of a file is no
+cut: what stands before its first comma goes on from the file before it. The depth of a piece is
 a running sum over the pieces before it, and the parent of a node is the last
 bracket that opened one level higher.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.running import running
@@ -16,9 +17,28 @@ from ..operators.trees import intervals
 from ..scratch import Scratch
 
 
+def _over_files(cut: DataFrame) -> DataFrame:
+    """``cut`` (_file, _block, _at, value) with the first piece of each file put to the end of the last piece of the file before.
+
+    Only the first and last pieces of files are put in order together; all others stay where they are.
+    """
+    at = F.struct("_block", "_at")
+    ends = cut.groupBy("_file").agg(F.min(at).alias("_first"), F.max(at).alias("_last"))
+    near = cut.join(ends, "_file")
+    first = at == F.col("_first")
+    order = Window.orderBy("_file", "_block", "_at")
+    edge = near.where(first | (at == F.col("_last"))).select("_file", "_block", "_at", "value", F.when(~first, 1).otherwise(0).alias("_new"))
+    edge = edge.withColumn("_g", F.sum("_new").over(order))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_file", "_block", "_at", "value"))), lambda x: x["value"]), "")
+    head = F.min(F.struct("_file", "_block", "_at")).alias("h")
+    joined = edge.groupBy("_g").agg(head, text.alias("value")).select("h.*", "value")
+    return near.where(~first & (at != F.col("_last"))).select("_file", "_block", "_at", "value").union(joined)
+
+
 def read_newick(spark: SparkSession, path: str, scratch: Scratch | None = None) -> DataFrame:
     """(tree, parent, child, label, length) of every node in the files of ``path``: trees end with a semicolon, nodes are numbered as they open, a root's parent is null.
 
+    Files are read in the order of their names, and a tree may go on from one to the next.
     Nodes without a label have '', those without a length null; comments in
     square brackets and quotes around labels go. Quotes or comments that hold
     commas, brackets or semicolons, and brackets that don't match, are errors
@@ -27,6 +47,7 @@ def read_newick(spark: SparkSession, path: str, scratch: Scratch | None = None)
     scratch = scratch or Scratch(spark, "newick")
     raw = spark.read.option("lineSep", ",").text(path)
     cut = raw.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), "value")
+    cut = _over_files(scratch.save(cut, "cut"))
     held = F.regexp_replace("value", r"\[[^\]]*\]", "")
     odd = (F.regexp_count(held, F.lit("'")) % 2 > 0) | F.regexp_like(held, F.lit(r"[\[\]]"))
     cut = cut.withColumn("value", F.when(odd, F.raise_error(F.lit("a quote or comment holds a comma"))).otherwise(held))

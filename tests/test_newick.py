@@ -43,3 +43,12 @@ def test_round_trip_over_many_splits(spark, tmp_path):
     name = {r.child: int(r.label) for r in rows}
     assert sorted((name[r.parent], name[r.child]) for r in rows if r.parent) == sorted(pairs)
     assert sorted(name[r.child] for r in rows if r.parent is None) == [1, 90000] and len(rows) == len(pairs) + 2
+
+
+def test_a_tree_goes_on_over_files(spark, tmp_path):
+    """Files that end within a tip's piece, before a comma, and with one piece alone."""
+    for i, text in enumerate(["((a,b\n", ")x\n", ",(c,d)y\n", ")r;\n", "(e\n", ",f)s;\n"]):
+        (tmp_path / f"part-{i}").write_text(text)
+    rows = read_newick(spark, f"file://{tmp_path}").collect()
+    name = {r.child: r.label for r in rows}
+    assert sorted((name.get(r.parent, ""), r.label) for r in rows) == [("", "r"), ("", "s"), ("r", "x"), ("r", "y"), ("s", "e"), ("s", "f"), ("x", "a"), ("x", "b"), ("y", "c"), ("y", "d")]
