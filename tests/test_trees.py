@@ -129,3 +129,21 @@ def test_running_over_ranges(spark):
             before = seen.get(g)
             seen[g] = v if before is None else plain([before, v])
             assert got[g, i] == (seen[g], before)
+
+
+def test_rounds_of_the_walk_broadcast_nothing(spark):
+    """No table of the size of the tree goes through the driver, small as its files are."""
+    plans, save = [], Scratch.save
+
+    def kept(self, df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return save(self, df, name)
+
+    Scratch.save = kept
+    try:
+        e = spark.range(2, 40).select(F.expr("id div 2").alias("parent"), F.col("id").alias("child"))
+        trees.intervals(e).count()
+    finally:
+        Scratch.save = save
+    rounds = [p for n, p in plans if n == "steps"][1:] + [p for n, p in plans if n == "numbers"]
+    assert len(rounds) > 3 and all("SortMergeJoin" in p and "Broadcast" not in p for p in rounds)
