@@ -75,3 +75,18 @@ def test_synonyms(spark):
     want = {"a": "a", "b": "a", "c": "a", "w": "w", "x": "w", "y": "w", "z": "w", "l": "l", "m": "l"} | {f"k{i:03d}": "k000" for i in range(61)}
     assert {r.name: r.canonical for r in got} == want and len(got) == len(want)
     assert canonical_names(spark.createDataFrame([], "names array<string>")).collect() == []
+
+
+def test_an_accession_that_all_share_makes_no_pairs(spark):
+    from pyspark.sql import functions as F
+
+    from sedgeline.operators.attribution import attribute
+
+    from test_resolve import joined_rows
+
+    ids = spark.range(500)
+    clusters = ids.select(F.col("id").alias("cluster"), F.lit("Nosema bombycis").alias("name"), F.when(F.col("id") == 0, "XR200003; MG100001.1").otherwise("XR200003").alias("accessions"))
+    rows = ids.select(F.col("id").alias("row"), F.lit("Nosema apis").alias("name"), F.concat(F.lit("XR200003.1; MG"), F.col("id") + 100000).alias("accessions"))
+    got = attribute(clusters, rows, cutoff=None)
+    assert {tuple(r)[1:] for r in got.collect()} == {("existing", "accession", 500, 0)}
+    assert joined_rows(got) <= 5000
