@@ -67,8 +67,8 @@ def united(values: DataFrame, key: str, source: str, order: str, value: str) ->
 
 def merged(a: Column, b: Column) -> tuple[Column, Column]:
     """(distinct values of a and then of b, without regard to case and white space, in their first spelling; how many of b, as they stand there, a lacks)."""
-    low = F.transform(a, lambda x: F.lower(x))
-    new = F.filter(b, lambda v: ~F.array_contains(low, F.lower(v)))
+    lacks = lambda low: F.filter(b, lambda v: ~F.array_contains(low, F.lower(v)))
+    new = tx.once(F.transform(a, lambda x: F.lower(x)), lacks)
     return tx.dedupe(F.transform(F.concat(a, new), lambda v: tx.clean(v))), F.size(new).cast("long")
 
 

@@ -9,6 +9,7 @@ from ..functions import text as tx
 from ..functions.hosts import is_description
 from ..operators import curate
 from ..operators.resolve_hosts import looks_like_a_taxon
+from ..session import spread
 from .queries import _KEYED, _table, query
 from .views import duck, view
 
@@ -178,7 +179,7 @@ def merged_lists(spark, sf_dir):
     a = F.concat(F.split("p_name", " "), F.when(F.col("p_partkey") % 4 == 0, F.array(F.upper("p_name"))).otherwise(F.array().cast("array<string>")))
     b = F.concat(F.split(F.concat_ws(" ", F.upper("p_type"), F.upper(first), F.lit("Cc dd")), " "), F.array(F.lit("cc"), F.lit("Cc  dd"), F.lit("cc dd"), F.col("p_name")))
     both, n = curate.merged(a, b)
-    return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array_join(both, "|").alias("merged"), n.alias("n_new"))
+    return spread(_table(spark, sf_dir, "part")).select(F.col("p_partkey").alias("id"), F.array_join(both, "|").alias("merged"), n.alias("n_new"))
 
 
 @query("SELECT count(*) FILTER (a AND b) AS both, count(*) FILTER (a AND NOT b) AS only_a, count(*) FILTER (b AND NOT a) AS only_b, count(*) AS either FROM (SELECT coalesce(x.k, y.k) AS k, x.k IS NOT NULL AS a, y.k IS NOT NULL AS b FROM (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F') x FULL JOIN (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'O') y ON x.k = y.k)")
