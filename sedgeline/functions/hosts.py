@@ -1,7 +1,7 @@
 """Cells that list hosts: fragments, roles, synonyms, the host's own host, repairs of names, and whether two names agree.
 
 A cell is read by stages over its fragments, each a transform that adds fields;
-all of it is Spark's own functions, without a shuffle.
+all of it is Spark's own functions. Cells that are alike are read once.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from . import text as tx
 
 #: Asides in parentheses that are a role or a note.
@@ -163,10 +164,12 @@ def parse_host_cells(df: DataFrame, cell_col: str = "cell", out_col: str = "host
     name is what to look up; for a description it is empty and the rank
     'unidentified'. An abbreviated genus is that of the first name before it in
     the cell with the same initial. Fragments that name nothing are left out; a
-    null or empty cell gives an empty array.
+    null or empty cell gives an empty array. Equal cells meet by a shuffle and
+    are parsed once; a cell that many rows have costs them the join alone.
     """
-    frags = F.filter(F.transform(split_hosts(F.coalesce(F.col(f"`{cell_col}`"), F.lit(""))), lambda f: _strip(f)), lambda f: f != "")
-    s = Stages(frags, "raw", df, out_col)
+    rows = spread(df.drop(out_col).withColumn("_cell", F.coalesce(F.col(f"`{cell_col}`"), F.lit(""))), "_cell")
+    frags = F.filter(F.transform(split_hosts(F.col("_cell")), lambda f: _strip(f)), lambda f: f != "")
+    s = Stages(frags, "raw", rows.select("_cell").distinct(), out_col)
     s.add(asides=lambda x: _asides(x["raw"]))
     s.add(
         role=lambda x: F.lower(F.coalesce(F.get(F.filter(x["asides"], lambda a: a["kind"] == "role"), F.lit(0))["inner"], F.lit(""))),
@@ -195,7 +198,8 @@ def parse_host_cells(df: DataFrame, cell_col: str = "cell", out_col: str = "host
     blank = lambda c: (lambda x: F.when(x["described"], F.lit("")).otherwise(x[c]))
     s.add(name=blank("lookup"), repair=blank("repair"), rank=lambda x: F.when(x["described"], F.lit("unidentified")).otherwise(x["rank"]), synonyms=lambda x: F.when(x["described"], F.array().cast("array<string>")).otherwise(x["synonyms"]))
     order = ("raw", "name", "rank", "role", "synonyms", "secondary_organism", "context", "subgenus", "repair")
-    return s.df.withColumn(out_col, F.transform(s.col, lambda x: F.struct(*(x[f].alias(f) for f in order))))
+    parsed = s.df.withColumn(out_col, F.transform(s.col, lambda x: F.struct(*(x[f].alias(f) for f in order))))
+    return rows.join(parsed.hint("merge"), "_cell").drop("_cell")
 
 
 def strip_authority(name: Column) -> Column:

@@ -75,7 +75,8 @@ SELECT id, row_number() OVER (PARTITION BY id ORDER BY i, j) AS pos, raw, CASE W
 
 @query(_HOSTS)
 def host_cells(spark, sf_dir):
-    rows = hs.parse_host_cells(view(spark, sf_dir, "host_cells")).select("id", F.posexplode("hosts").alias("pos", "h"))
+    """Outer, since Spark would parse each cell a second time, and before its rows are dealt, to drop those that give nothing."""
+    rows = hs.parse_host_cells(view(spark, sf_dir, "host_cells")).select("id", F.posexplode_outer("hosts").alias("pos", "h")).where("h IS NOT NULL")
     h = F.col("h")
     return rows.select("id", (F.col("pos") + 1).cast("long").alias("pos"), *(h[c].alias(c) for c in ("raw", "name", "rank", "role")), F.array_join(h["synonyms"], "|").alias("synonyms"), *(h[c].alias(c) for c in ("secondary_organism", "context", "subgenus", "repair")))
 
@@ -103,7 +104,7 @@ y AS MATERIALIZED (SELECT *, CASE WHEN blank THEN true WHEN far AND d <= 2 AND l
 
 @query("WITH" + _AGREES + "SELECT host, cand, source, asked, returned, agrees, reason FROM y")
 def name_agreement(spark, sf_dir):
-    a = view(spark, sf_dir, "answers").withColumn("a", hs.name_agrees(F.col("asked"), F.trim(F.coalesce("returned", F.lit(""))), F.col("rank")))
+    a = view(spark, sf_dir, "answers", dealt=True).withColumn("a", hs.name_agrees(F.col("asked"), F.trim(F.coalesce("returned", F.lit(""))), F.col("rank")))
     return a.select("host", "cand", "source", "asked", "returned", "a.agrees", "a.reason")
 
 
@@ -146,4 +147,4 @@ SELECT host, CASE WHEN taxon THEN n ELSE 0 END AS n_sources_found, CASE WHEN tax
 
 @query(_RESOLVED)
 def resolved_hosts(spark, sf_dir):
-    return rh.resolve_hosts(view(spark, sf_dir, "answers"))
+    return rh.resolve_hosts(view(spark, sf_dir, "answers", dealt=True))

@@ -8,6 +8,16 @@ from sedgeline.plans.views import view
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["merged_lists"])
+@pytest.mark.parametrize("name", ["merged_lists", "name_agreement", "spore_measurements"])
 def test_rows_of_one_file_are_many_tasks(spark, name):
     assert QUERIES[name](spark, DATA).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_answers_are_dealt(spark):
+    assert view(spark, DATA, "answers", dealt=True).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_cells_are_parsed_once(spark):
+    plan = QUERIES["host_cells"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Filter" in line and "transform" in line for line in plan.splitlines())
+    assert "Aggregate" in plan
