@@ -91,7 +91,7 @@ FROM x JOIN s USING (id) LEFT JOIN lb ON x.id = lb.id LEFT JOIN wb ON x.id = wb.
 )
 def spore_measurements(spark, sf_dir):
     """Each row's length, the width of the same spore, and its shape."""
-    return me.spores(view(spark, sf_dir, "spores"), "id", "length", "width", "shape")
+    return me.spores(view(spark, sf_dir, "spores", dealt=True), "id", "length", "width", "shape")
 
 
 @query(
@@ -104,4 +104,4 @@ SELECT e.id, coalesce(a.value, CASE WHEN text = 'Uncoiled' THEN 0 WHEN len(v) >
 FROM e LEFT JOIN a ON e.id = a.id LEFT JOIN t ON e.id = t.id"""
 )
 def spore_coils(spark, sf_dir):
-    return view(spark, sf_dir, "spores").select("id", me.coils("coils", "coil_range").alias("c")).select("id", "c.*")
+    return view(spark, sf_dir, "spores", dealt=True).select("id", me.coils("coils", "coil_range").alias("c")).select("id", "c.*")
