@@ -30,7 +30,8 @@ def average_linkage(spark: SparkSession, pairs: DataFrame, group: str = "species
     never fall below the nearest of what they merge, that gives the same tree
     as one merge at a time. Rounds are few where parts grow alike, and as many
     as merges where one part takes leaf after leaf. Each is written; no task
-    holds a group or a row of the matrix.
+    holds a group or a row of the matrix, and no side of a join, all of which
+    grow with the pairs, goes through the driver.
     """
     scratch = Scratch(spark, "linkage")
     rows = pairs.select(group, "a", "b", F.round(F.col("distance").cast("double") / UNIT).cast("long").alias("s")).dropna(subset=[group, "a", "b"])
@@ -48,14 +49,14 @@ def average_linkage(spark: SparkSession, pairs: DataFrame, group: str = "species
         behind = F.when(F.col("first"), F.col("size_a")).otherwise(0).alias("shift")
         grown = [F.col("a").alias("to"), (F.col("size_a") + F.col("size_b")).alias("total"), F.col("d")]
         sides = merged.select(group, F.col("a").alias("node"), ahead, *grown).union(merged.select(group, F.col("b").alias("node"), behind, *grown))
-        moved = leaves.join(sides, [group, "node"], "left").select(
+        moved = leaves.join(sides.hint("merge"), [group, "node"], "left").select(
             group, "leaf", F.coalesce("to", "node").alias("node"), (F.col("place") + F.coalesce("shift", F.lit(0))).alias("place"), F.coalesce("total", "size").alias("size"),
             F.coalesce("d", "height").alias("height"), F.when(F.col("to").isNotNull(), born).otherwise(F.col("born")).alias("born"),
         )
         fewer = edges
         for end in ("a", "b"):
             names = merged.select(group, F.col("b").alias(end), F.col("a").alias("to"))
-            fewer = fewer.join(names, [group, end], "left").withColumn(end, F.coalesce("to", end)).drop("to")
+            fewer = fewer.join(names.hint("merge"), [group, end], "left").withColumn(end, F.coalesce("to", end)).drop("to")
         old = leaves, edges
         leaves, edges = scratch.save(moved, "leaves"), scratch.save(_added(fewer.where("a <> b"), group), "edges")
         scratch.drop(*old)
@@ -78,7 +79,7 @@ def _reciprocal(edges: DataFrame, nodes: DataFrame, group: str) -> DataFrame:
     both = best.groupBy(group, "e").agg(F.count("*").alias("k")).where("k = 2").select(group, "e.*")
     for end in ("a", "b"):
         side = nodes.select(group, F.col("node").alias(end), F.col("size").alias(f"size_{end}"), F.struct("height", "born", "node").alias(f"made_{end}"))
-        both = both.join(side, [group, end])
+        both = both.join(side.hint("merge"), [group, end])
     first = F.when(F.col("size_a") == 1, True).when(F.col("size_b") == 1, False).otherwise(F.col("made_a") < F.col("made_b"))
     return both.select(group, "a", "b", "d", "size_a", "size_b", first.alias("first"))
 

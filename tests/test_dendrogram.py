@@ -86,3 +86,10 @@ def test_matrix_file(spark, tmp_path):
     dg.write_matrix(cells.where("species = 's'"), str(tmp_path / "m"), ["a", "b", "c"])
     text = next((tmp_path / "m").glob("*.csv")).read_text()
     assert text == "cluster\ta\tb\tc\na\t100\t91.500\t70.123\nb\t91.500\t100\t\nc\t70.123\t\t100\n"
+
+
+def test_no_side_of_a_join_goes_through_the_driver(spark):
+    edges = spark.range(4).selectExpr("'g' AS species", "'a' AS a", "concat('b', id) AS b", "id AS s", "1L AS n")
+    nodes = spark.range(4).selectExpr("'g' AS species", "concat('b', id) AS node", "1L AS size", "0.0D AS height", "0 AS born")
+    plan = dg._reciprocal(edges, nodes, "species")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
