@@ -68,7 +68,7 @@ def summarise(records: DataFrame, cluster: str = "cluster", order: str = "ord")
         F.count("*").alias("n_members"), F.count_if(F.col("host") != "").alias("n_with_host"), F.count_if(F.col("locality") != "").alias("n_with_locality"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "accession"))), lambda x: x["accession"]), "; ").alias("accessions"),
     )
-    out = counted.join(names.select("cluster", F.col("organism").alias("species_name")), "cluster", "left").join(joined, "cluster", "left")
+    out = counted.join(names.select("cluster", F.col("organism").alias("species_name")).hint("merge"), "cluster", "left").join(joined.hint("merge"), "cluster", "left")
     return out.na.fill("", ["species_name", *lists]).na.fill(0, ["n_distinct_names", "n_binomials", "n_hosts", "n_countries"])
 
 

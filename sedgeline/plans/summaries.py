@@ -38,7 +38,7 @@ _BLANK = "'' AS collection_years, '' AS isolation_sources, '' AS \"references\""
 
 @query(f"{_SUMMARY} SELECT *, {_BLANK} FROM q")
 def cluster_summaries(spark, sf_dir):
-    return summary.summarise(view(spark, sf_dir, "members"))
+    return summary.summarise(view(spark, sf_dir, "members", dealt=True, merge=True))
 
 
 @query(
@@ -47,7 +47,7 @@ def cluster_summaries(spark, sf_dir):
 )
 def cluster_entries(spark, sf_dir):
     """What kind of entry each cluster is, and its year with where that comes from."""
-    s = summary.summarise(view(spark, sf_dir, "members"))
+    s = summary.summarise(view(spark, sf_dir, "members", dealt=True, merge=True))
     kind, reason = summary.entry_kind(F.col("n_binomials"), F.col("n_hosts"))
     year, basis = summary.entry_year()
     return s.select("cluster", kind.alias("kind"), reason.alias("reason"), year.alias("year"), basis.alias("basis"))

@@ -13,11 +13,16 @@ def test_rows_of_one_file_are_many_tasks(spark, name):
     assert QUERIES[name](spark, DATA).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 
 
-def test_answers_are_dealt(spark):
-    assert view(spark, DATA, "answers", dealt=True).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+@pytest.mark.parametrize("name", ["answers", "members"])
+def test_views_are_dealt(spark, name):
+    assert view(spark, DATA, name, dealt=True).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 
 
 def test_cells_are_parsed_once(spark):
     plan = QUERIES["host_cells"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert not any("Filter" in line and "transform" in line for line in plan.splitlines())
     assert "Aggregate" in plan
+
+
+def test_members_meet_by_shuffle(spark):
+    assert "Broadcast" not in QUERIES["cluster_summaries"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
