@@ -29,8 +29,8 @@ def test_pairs_equal_the_table(cutoff, seed):
     assert sorted(got) == [(i, j, n) for i, j, n in pairs if 2 * n >= cutoff * (len(asked[i]) + len(words[j]) + 2 * start) - 1e-9]
 
 
-def test_a_beginning_without_hope_is_left_at_once():
-    """A block of 9,000 words of which none is near looks at few beginnings, not at each word."""
+def test_a_block_with_no_near_word_and_one_with_itself():
+    """9,000 words of which none is near, and one of which is the word itself."""
     words = sorted(f"{a}{b}{c}{d}zzzz" for a in "abcdefghi" for b in "0123456789" for c in "0123456789" for d in "0123456789")
     tree = Prefixes(words, 0)
     assert len(tree.near(["qqqqqqqq"], 0.9)[0]) == 0 and len(tree.near(["a123zzzz"], 1.0)[0]) == 1
