@@ -11,8 +11,9 @@ Windows that meet by the hash of their bytes are then compared byte by byte.
 Contexts are equal when the gram's and the context's hashes are, 128 bits
 together, and texts when two hashes of theirs are.
 
-The contexts of a gram that has very many are dealt to several tasks, and their
-windows are compared by shuffle, by the gram's hash and their own.
+The contexts of a gram that has very many are dealt to several tasks. Each of
+their blocks gives its distinct windows once, as arrays for PIECES ranges of
+their hashes, and the arrays of a gram's piece are compared after a shuffle.
 """
 
 from __future__ import annotations
@@ -37,8 +38,8 @@ PHRASE, RADIUS = 4, 8
 BLOCK, SPLIT = 1 << 18, 1 << 22
 #: Contexts of one gram that go to one task.
 TASK_CONTEXTS = 1_000
-#: A table of at most so many rows, and spans, is broadcast (under 64 MB); beyond, joins are by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Ranges of hashes in which the windows of dealt or split grams meet.
+PIECES = 256
 
 
 def _least(h: np.ndarray, width: int) -> np.ndarray:
@@ -203,8 +204,35 @@ def _equal(data: np.ndarray, x: np.ndarray, y: np.ndarray, size: int) -> np.ndar
     return out
 
 
+BLOCK_FIELDS = "h long, c long, first long, last long, piece int, windows binary"
+BLOCK_NAMES = ["h", "c", "first", "last", "piece", "windows"]
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, c, first, last) of the windows that blocks of one gram have in common and that aren't marked; from rows (h, piece, windows) in order of h and piece. A piece of one gram is held."""
+
+    def compared(h: int, parts: list[bytes]) -> pa.RecordBatch:
+        w, c, first = np.frombuffer(b"".join(parts), dtype=np.int64).reshape(-1, 3).T
+        order = np.argsort(w, kind="stable")
+        w, c, first = w[order], c[order], first[order]
+        same = np.r_[False, w[1:] == w[:-1]]
+        new = (same | np.r_[same[1:], False]) & (first >= 0)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(int(new.sum()), h)), pa.array(c[new]), pa.array(first[new]), pa.array(first[new])], BLOCK_NAMES[:4])
+
+    of, parts = None, []
+    for b in batches:
+        for h, piece, windows in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            if (h, piece) != of:
+                if len(parts) > 1:
+                    yield compared(of[0], parts)
+                of, parts = (h, piece), []
+            parts.append(windows)
+    if len(parts) > 1:
+        yield compared(of[0], parts)
+
+
 def _blocks(size: int, most: int, split: int):
-    """From contexts in order of (h, deal, c): rows (h, c, first, last, w): runs of repeated windows; and, where a gram's contexts are cut into blocks or dealt to tasks, a row for each window of them with its hash w."""
+    """From contexts in order of (h, deal, c): rows (h, c, first, last) of runs of repeated windows; and, where a gram's contexts are cut into blocks or dealt to tasks, rows (h, piece, windows): distinct windows as (hash, c, first), with first as -1 - first for those marked already."""
 
     def work(h: list[int], c: list[int], raw: list[bytes], part: bool) -> pa.RecordBatch:
         data = np.frombuffer(b"".join(raw), dtype=np.uint8)
@@ -215,17 +243,26 @@ def _blocks(size: int, most: int, split: int):
         ctx = np.searchsorted(off, begin, side="right") - 1
         clear = np.flatnonzero(np.r_[~hit, True])
         last = np.minimum(clear[np.searchsorted(clear, begin)], off[ctx + 1]) - 1
-        rows = [ctx, begin - off[ctx], last - off[ctx]]
-        w = pa.nulls(len(begin), pa.int64())
-        if part:
-            at = np.arange(len(data))
-            of = np.searchsorted(off, at, side="right") - 1
-            at = at[(at + size <= off[of + 1])]  # repeated ones too: other blocks may hold them
-            of = np.searchsorted(off, at, side="right") - 1
-            rows = [np.concatenate([a, b]) for a, b in zip(rows, [of, at - off[of], at - off[of]], strict=True)]
-            w = pa.concat_arrays([w, pa.array(span_hash(data, at, at + size).view(np.int64))])
         hs, cs = np.array(h, dtype=np.int64), np.array(c, dtype=np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(hs[rows[0]]), pa.array(cs[rows[0]]), pa.array(rows[1]), pa.array(rows[2]), w], ["h", "c", "first", "last", "w"])
+        runs = pa.RecordBatch.from_arrays([pa.array(hs[ctx]), pa.array(cs[ctx]), pa.array(begin - off[ctx]), pa.array(last - off[ctx]), pa.nulls(len(ctx), pa.int32()), pa.nulls(len(ctx), pa.binary())], BLOCK_NAMES)
+        if not part:
+            return runs
+        at = np.arange(len(data))
+        of = np.searchsorted(off, at, side="right") - 1
+        at = at[(at + size <= off[of + 1])]
+        w = span_hash(data, at, at + size)
+        # of the windows that the block repeats, one tells other blocks
+        again = np.flatnonzero(hit[at])
+        once = np.r_[np.flatnonzero(~hit[at]), again[np.unique(w[again], return_index=True)[1]]]
+        once = once[np.argsort(w[once], kind="stable")]
+        at, w = at[once], w[once]
+        of = np.searchsorted(off, at, side="right") - 1
+        packed = np.stack([w.view(np.int64), cs[of], np.where(hit[at], -1 - (at - off[of]), at - off[of])], 1)
+        piece, start = np.unique((w >> np.uint64(32)) * np.uint64(PIECES) >> np.uint64(32), return_index=True)
+        parts = [x.tobytes() for x in np.split(packed, start[1:])] if len(w) else []
+        none = pa.nulls(len(parts), pa.int64())
+        told = pa.RecordBatch.from_arrays([pa.array([h[0]] * len(parts), pa.int64()), none, none, none, pa.array(piece.astype(np.int32)), pa.array(parts, pa.binary())], BLOCK_NAMES)
+        return pa.concat_batches([runs, told])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, c, raw, held, part, gram = [], [], [], 0, False, None  # part: the gram has a block out already, or other tasks have some of it
@@ -298,39 +335,36 @@ def remove_repeats(docs: DataFrame, size: int = 200, id_col: str = "doc_id", tex
     spark = docs.sparkSession
     scratch = Scratch(spark, "substrings")
     texts = docs.select(F.xxhash64(text_col).alias("t"), F.xxhash64(F.lit(1), text_col).alias("u"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    # every join goes by shuffle, whatever the sizes: lists of spans grow with the text, and would go through the driver
     spans = scratch.save(texts.where(F.octet_length("text") >= size).mapInArrow(_spans(size), "t long, u long, id long, h long, c long, first long, n long, twice boolean"), "spans")
     ctx = spans.groupBy("h", "c").agg(F.count("*").alias("times"), F.max(F.col("twice").cast("long")).alias("twice"), F.min(F.struct("t", "u", "id", "first", "n")).alias("at"))
     ctx = scratch.save(ctx, "contexts")
+    scratch.release()  # shuffle files of what is written
     grams = ctx.groupBy("h").agg((F.sum("times") + F.max("twice")).alias("total"), (F.count("*") + F.max("twice")).alias("kinds")).where("total > 1")
-    live = scratch.save(ctx.join(grams, "h").select("h", "c", "times", "kinds", "at"), "live")
+    live = scratch.save(ctx.join(grams.hint("merge"), "h").select("h", "c", "times", "kinds", "at"), "live")
     scratch.drop(ctx)
+    scratch.release()
 
     # of a gram with more contexts than a task should have, each goes to one of several tasks
     deal = F.when(F.col("kinds") > TASK_CONTEXTS, F.pmod(F.xxhash64("c"), F.ceil(F.col("kinds") / TASK_CONTEXTS))).otherwise(-1).cast("long")
     wanted = live.where("kinds > 1").groupBy("at.t", "at.u", "at.id").agg(F.collect_list(F.struct("h", "c", "at.first", "at.n", deal.alias("deal"))).alias("wanted"))
     wanted = scratch.save(wanted, "wanted")
-    x, y = texts.alias("x"), _small(wanted).alias("y")
+    x, y = texts.alias("x"), wanted.hint("merge").alias("y")
     raw = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.u") == F.col("y.u")) & F.col("x.id").eqNullSafe(F.col("y.id"))).select("text", "wanted")
     raw = raw.mapInArrow(_fetched(size), "h long, deal long, c long, bytes binary")
-    found = raw.repartition("h", "deal").sortWithinPartitions("h", "deal", "c").mapInArrow(_blocks(size, block, split), "h long, c long, first long, last long, w long")
+    found = raw.repartition("h", "deal").sortWithinPartitions("h", "deal", "c").mapInArrow(_blocks(size, block, split), BLOCK_FIELDS)
     found = scratch.save(found, "found")
     scratch.drop(wanted)
+    scratch.release()
     # windows of grams that went over several blocks
-    over = found.where("w IS NOT NULL")
-    twice = over.groupBy("h", "w").agg(F.count("*").alias("k")).where("k > 1").select("h", "w")
-    runs = found.where("w IS NULL").union(over.join(twice, ["h", "w"], "left_semi").select(found.columns)).select("h", "c", "first", "last")
+    over = found.where("piece IS NOT NULL").select("h", "piece", "windows").repartition("h", "piece").sortWithinPartitions("h", "piece").mapInArrow(_met, "h long, c long, first long, last long")
+    runs = found.where("piece IS NULL").select("h", "c", "first", "last").union(over)
     whole = live.where("times > 1").select("h", "c", F.lit(0).cast("long").alias("first"), (F.col("at.n") - 1).alias("last"))
     marks = runs.union(whole).select("h", "c", F.col("first").alias("x"), F.col("last").alias("y"))
 
-    hit = spans.join(marks, ["h", "c"]).select("t", "u", F.struct((F.col("first") + F.col("x")).alias("a"), (F.col("first") + F.col("y") + size).alias("b")).alias("s"))
+    hit = spans.join(marks.hint("merge"), ["h", "c"]).select("t", "u", F.struct((F.col("first") + F.col("x")).alias("a"), (F.col("first") + F.col("y") + size).alias("b")).alias("s"))
     covered = scratch.save(hit.groupBy("t", "u").agg(F.collect_set("s").alias("spans")), "covered")
     scratch.drop(spans, live, found)
-    out = texts.join(_small(covered), ["t", "u"], "left").select("id", "text", "spans")
+    scratch.release()
+    out = texts.join(covered.hint("merge"), ["t", "u"], "left").select("id", "text", "spans")
     return out.mapInArrow(_removed(keep_bytes), FIELDS).withColumnRenamed("doc_id", id_col)
-
-
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast if its rows, and the entries of its list, are few enough."""
-    lists = [f.name for f in df.schema if f.dataType.typeName() == "array"]
-    n, entries = df.agg(F.count("*"), F.coalesce(F.sum(F.size(lists[0]).cast("long")), F.lit(0))).first()
-    return F.broadcast(df) if n <= BROADCAST_ROWS and entries <= BROADCAST_ROWS else df

@@ -96,3 +96,31 @@ def test_bytes_decide_where_hashes_meet(monkeypatch):
     real = substrings.span_hash
     monkeypatch.setattr(substrings, "span_hash", lambda d, s, e, *a: real(d, s, e, *a) % np.uint64(40) if len(s) and e[0] - s[0] == 200 else real(d, s, e, *a))
     assert want.sum() == 102 and (substrings.repeated(data, off, 200) == want).all()
+
+
+def test_a_dealt_block_gives_each_window_once():
+    """Windows that a block repeats leave it once, so that many near copies don't meet as all of their windows."""
+    import numpy as np
+    import pyarrow as pa
+
+    from sedgeline.llm.substrings import _blocks, _met
+
+    rng = np.random.default_rng(4)
+    same = rng.integers(97, 123, 260, dtype=np.uint8).tobytes()
+    raw = [same[i:] + bytes([i]) * 3 for i in range(9)]
+    for deal, gives in ((0, True), (-1, False)):
+        batch = pa.RecordBatch.from_arrays([pa.array([7] * 9, pa.int64()), pa.array([deal] * 9, pa.int64()), pa.array(range(9), pa.int64()), pa.array(raw, pa.binary())], ["h", "deal", "c", "bytes"])
+        rows = [r for b in _blocks(200, 1 << 18, 1 << 22)([batch]) for r in b.to_pylist()]
+        windows = {r[i : i + 200] for r in raw for i in range(len(r) - 199)}
+        told = np.frombuffer(b"".join(r.get("windows") or b"" for r in rows), dtype=np.int64).reshape(-1, 3).tolist()
+        own = lambda c, first: raw[c][max(first, -1 - first) :][:200]
+        assert (len(told), {own(c, first) for _, c, first in told}) == (len(windows), windows) if gives else not told
+        marked = {raw[r["c"]][i : i + 200] for r in rows if r["c"] is not None for i in range(r["first"], r["last"] + 1)}
+        assert marked == {w for w in windows if sum(w in r for r in raw) > 1}
+        assert {own(c, first) for _, c, first in told if first < 0} == (marked if gives else set())
+        # a second block with one of the windows that are single here
+        single = next(r for r in told if r[2] >= 0) if gives else None
+        if single:
+            parts = [np.array(told).tobytes(), np.array([[single[0], 99, -1]]).tobytes()]
+            got = next(_met([pa.RecordBatch.from_arrays([pa.array([7, 7]), pa.array([0, 0]), pa.array(parts)], ["h", "piece", "windows"])])).to_pylist()
+            assert got == [{"h": 7, "c": single[1], "first": single[2], "last": single[2]}]
