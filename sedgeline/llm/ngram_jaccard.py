@@ -19,7 +19,8 @@ that stand first from rare to common, of which linked sets have one in common. S
 between components is lost and no clique is written out. A parity sketch has
 two bits a shingle (256 to 4,096) and each shingle flip one of them, so two sketches,
 folded to one length, differ in no more bits than the sets in shingles, and no
-linked pair can fail. Pairs of small buckets meet one of 256 bits first.
+linked pair can fail. Pairs of small buckets meet one of 256 bits first. Whole
+sets are made again from the texts, for the nodes of pairs that pass alone.
 
 Signatures that a sample of sets shows to be very common are dealt to several
 tasks, which hand their rows to the hub step unpaired; the sample decides only
@@ -186,9 +187,19 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, _, doc, h, size, node in _chunked(b, n):
+            for _, _, _, h, size, node in _chunked(b, n):
                 at = np.flatnonzero(size)
                 cut = np.split(h, np.cumsum(size[at])[:-1]) if len(at) else []
+                yield pa.RecordBatch.from_arrays([pa.array(node[at].view(np.int64)), pa.array(size[at], pa.int64()), pa.array([x.tobytes() for x in cut], pa.binary())], ["node", "size", "set"])
+
+    return run
+
+
+def _sketches(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, _, doc, h, size, node in _chunked(b, n):
+                at = np.flatnonzero(size)
                 bit = (mix(h + _NODE) >> np.uint64(56)).astype(np.int64)
                 sketch = np.zeros(len(size) * 4, dtype=np.uint64)
                 np.bitwise_xor.at(sketch, doc * 4 + (bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
@@ -198,7 +209,7 @@ def _sets(n: int):
                 start = np.cumsum(width) - width
                 wide = np.zeros(int(width.sum()), dtype=np.uint64)
                 np.bitwise_xor.at(wide, start[doc] + (bit >> 6) % width[doc], np.uint64(1) << (bit & 63).astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(node[at].view(np.int64)), pa.array(size[at], pa.int64()), *(pa.array(np.ascontiguousarray(parts[:, i])) for i in range(4)), pa.array([wide[start[i] : start[i] + width[i]].tobytes() for i in at.tolist()], pa.binary()), pa.array([x.tobytes() for x in cut], pa.binary())], [*SKETCH, "wide", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array(node[at].view(np.int64)), pa.array(size[at], pa.int64()), *(pa.array(np.ascontiguousarray(parts[:, i])) for i in range(4)), pa.array([wide[start[i] : start[i] + width[i]].tobytes() for i in at.tolist()], pa.binary())], [*SKETCH, "wide"])
 
     return run
 
@@ -417,16 +428,21 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     scratch.drop(shared)
     scratch.release()  # the shuffle of all signatures is by far the largest
 
-    # the sets of nodes that share a signature, each from one of its rows
+    # the nodes that share a signature, each with one of its rows
     active = multi.select("node").union(few.select("a")).union(few.select("b")).distinct()
     source = scratch.save(members.join(active, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")), "source")
-    wanted = _small(source.select("id").where("id IS NOT NULL").distinct(), source.count())
-    sets = texts.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(_sets(n), _SETS)
-    bare = source.where("id IS NULL").select("node")
-    if not bare.isEmpty():  # nodes that no row with an id has
-        sets = sets.union(texts.where("id IS NULL").mapInArrow(_sets(n), _SETS).join(bare, "node", "left_semi").dropDuplicates(["node"]).select(sets.columns))
-    sets = scratch.save(sets, "sets")  # a node twice, where rows repeat an id, gives its pairs twice
-    sketch = sets.select(SKETCH)
+
+    def made(own: DataFrame, of, fields: str) -> DataFrame:
+        """What ``of`` makes of the texts of nodes, from rows (node, id); other texts of those ids too, and a node twice where rows repeat an id."""
+        wanted = _small(own.select("id").where("id IS NOT NULL").distinct(), own.count())
+        out = texts.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(of(n), fields)
+        bare = own.where("id IS NULL").select("node")
+        if not bare.isEmpty():  # nodes that no row with an id has
+            out = out.union(texts.where("id IS NULL").mapInArrow(of(n), fields).join(bare, "node", "left_semi").dropDuplicates(["node"]).select(out.columns))
+        return out
+
+    sketches = scratch.save(made(source, _sketches, _SKETCHES), "sketches")
+    sketch = sketches.select(SKETCH)
 
     def may_link(x: str, y: str):
         """Bounds that every linked pair meets, on sizes and on the sketches."""
@@ -434,14 +450,16 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
         differ = sum((F.bit_count(F.col(f"{x}.s{i}").bitwiseXOR(F.col(f"{y}.s{i}"))) for i in range(4)), F.lit(0))
         return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & ((100 + percent) * differ <= (100 - percent) * (a + b))
 
-    wide = sets.select("node", "size", "wide")
+    wide = sketches.select("node", "size", "wide")
 
     def linked(pairs: DataFrame) -> DataFrame:
         pairs = scratch.save(pairs.distinct(), "pairs")
+        own = scratch.save(source.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"), "own")
+        sets = scratch.save(made(own, _sets, _SETS), "sets")
         near = _small(pairs, pairs.count()).join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
         both = near.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
         out = scratch.save(both.select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long"), "links")
-        scratch.drop(pairs)
+        scratch.drop(pairs, own, sets)
         return out
 
     degree = multi.groupBy("node").agg(F.count("*").alias("degree"))
@@ -465,7 +483,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     large = found.where("b IS NULL").select(F.col("a").alias("node")).distinct()
     if not large.isEmpty():
         need = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1  # linked sets share percent of the greater one's shingles at least
-        spread = scratch.save(sets.join(large, "node", "left_semi").dropDuplicates(["node"]).select("node", need.cast("long").alias("few"), "set").mapInArrow(_spread, "node long, few long, key long"), "spread")
+        spread = scratch.save(made(source.join(large, "node", "left_semi"), _sets, _SETS).join(large, "node", "left_semi").dropDuplicates(["node"]).select("node", need.cast("long").alias("few"), "set").mapInArrow(_spread, "node long, few long, key long"), "spread")
         common = spread.groupBy("key").agg(F.count("*").alias("k"))
         place = F.row_number().over(Window.partitionBy("node").orderBy("k", "key"))
         first = spread.join(common, "key").withColumn("place", place).where("place <= few AND k > 1").select(F.col("key").alias("sig"), "node")
@@ -473,7 +491,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     if not more.isEmpty():
         label = components(edges.union(more), scratch)
 
-    scratch.drop(sets, multi, few, source, found)  # the result reads none of them
+    scratch.drop(sketches, multi, few, source, found)  # the result reads none of them
 
     # the least id of each class; equal sets belong to one node
     per_node = members.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("n_equal"))
@@ -484,7 +502,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_equal", F.lit(1)).alias("n_equal"))
 
 
-_SETS = "node long, size long, s0 long, s1 long, s2 long, s3 long, wide binary, set binary"
+_SKETCHES, _SETS = "node long, size long, s0 long, s1 long, s2 long, s3 long, wide binary", "node long, size long, set binary"
 
 
 def _hot(members: DataFrame) -> tuple[np.ndarray, np.ndarray]:

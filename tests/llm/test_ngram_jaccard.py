@@ -92,3 +92,28 @@ def test_null_ids_link(spark):
     near = [(5, "a b c d e f g h i j k l m"), (None, "a b c d e f g h i j k l n"), (2, "a b c d e f g h i j k o n"), (None, "x y z")]
     got = ngram_jaccard_join(spark.createDataFrame(near, "doc_id long, text string"), 3, 60).collect()
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 2), (2, 2), (5, 2)]
+
+
+def test_only_nodes_of_pairs_have_their_sets_written(spark, monkeypatch):
+    from sedgeline.llm import ngram_jaccard as nj
+
+    seen, save = {"sets": set(), "pairs": set()}, nj.Scratch.save
+
+    def saved(self, df, name):
+        out = save(self, df, name)
+        if name == "pairs":
+            seen[name] |= {x for r in out.collect() for x in (r.a, r.b)}
+        if "set" in out.columns:
+            seen["sets"] |= {r.node for r in out.collect()}
+        return out
+
+    monkeypatch.setattr(nj.Scratch, "save", saved)
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    shared = [word() for _ in range(150)]
+    rows = [" ".join(shared + [word() for _ in range(60)]) for _ in range(30)]  # these share signatures, and don't pass
+    rows += [rows[0] + " one", rows[1] + " two"]
+    rows = list(enumerate(rows))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()}
+    assert got == brute(rows, 3, 90)
+    assert seen["sets"] and seen["sets"] == seen["pairs"]
