@@ -34,7 +34,7 @@ def circular_arcs(spark, sf_dir):
 )
 def pruned_tree(spark, sf_dir):
     e = view(spark, sf_dir, "edges")
-    return trees.prune(spark, e, e.where("child % 5 = 0").select(F.col("child").alias("node")).join(e.select(F.col("parent").alias("node")), "node", "left_anti"))
+    return trees.prune(spark, e, e.where("child % 5 = 0").select(F.col("child").alias("node")).join(e.select(F.col("parent").alias("node")).hint("merge"), "node", "left_anti"))
 
 
 _UPD = "(SELECT c_custkey AS u, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'A' || CAST(c_custkey % 400 AS STRING) END AS acc, c_mktsegment || CAST(c_nationkey AS STRING) AS nm FROM {customer})"

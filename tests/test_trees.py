@@ -147,3 +147,23 @@ def test_rounds_of_the_walk_broadcast_nothing(spark):
         Scratch.save = save
     rounds = [p for n, p in plans if n == "steps"][1:] + [p for n, p in plans if n == "numbers"]
     assert len(rounds) > 3 and all("SortMergeJoin" in p and "Broadcast" not in p for p in rounds)
+
+
+def test_nothing_that_grows_with_the_tree_is_broadcast(spark, monkeypatch):
+    """The final plans of all steps, which Spark may have changed as it ran; a running aggregate has a row for each group."""
+    from sedgeline.catalog import QUERIES
+
+    plans, save = [], Scratch.save
+
+    def kept(self, df, name):
+        plans.append(df._jdf.queryExecution().executedPlan())
+        return save(self, df, name)
+
+    monkeypatch.setattr(Scratch, "save", kept)
+    for name in ("common_ancestors", "pruned_tree", "tree_intervals"):
+        plans.append(QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan())
+    e = _edges(spark, [(c // 2, c) for c in range(2, 400)])
+    out = running(e, ["parent"], ["child"], {"last": F.col("child")}, Scratch(spark, "plans"), before=True)
+    assert len(out.collect()) == 398
+    plans.append(out._jdf.queryExecution().executedPlan())
+    assert not [p for p in plans if "Broadcast" in p.toString()]
