@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hosts as hs
@@ -84,8 +84,8 @@ def resolve_hosts(answers: DataFrame, on_tie: str = "blank", disputed: str = "in
     many answers as sources and names, so its group is small.
     """
     rows = judged(answers.withColumns({r: F.coalesce(f"`{r}`", F.lit("")) for r in RANKS}), any_kingdom)
-    last = rows.groupBy("host").agg(F.min(F.when(F.col("accepted"), F.col("cand"))).alias("_last"))
-    rows = rows.join(last, "host").where(F.col("_last").isNull() | (F.col("cand") <= F.col("_last")))
+    # a window, since a join of the rows with their own aggregate would judge each answer twice
+    rows = rows.withColumn("_last", F.min(F.when(F.col("accepted"), F.col("cand"))).over(Window.partitionBy("host"))).where("host IS NOT NULL AND (_last IS NULL OR cand <= _last)")
     filled = sum((F.col(f"`{r}`") != "").cast("int") for r in RANKS)
     said = F.struct(
         "ord", "source", "cand", "asked", F.trim(F.coalesce("returned", F.lit(""))).alias("returned"), "match_type", "accepted", "provisional", "vernacular", "reason",

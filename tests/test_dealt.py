@@ -26,3 +26,8 @@ def test_cells_are_parsed_once(spark):
 
 def test_members_meet_by_shuffle(spark):
     assert "Broadcast" not in QUERIES["cluster_summaries"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_answers_are_judged_once(spark):
+    plan = QUERIES["resolved_hosts"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("levenshtein" in line for line in plan.splitlines()) == 1
