@@ -167,3 +167,21 @@ def test_nothing_that_grows_with_the_tree_is_broadcast(spark, monkeypatch):
     assert len(out.collect()) == 398
     plans.append(out._jdf.queryExecution().executedPlan())
     assert not [p for p in plans if "Broadcast" in p.toString()]
+
+
+@pytest.mark.parametrize("name", ["pure_subclades", "descendants"])
+def test_subclades_and_descendants_broadcast_nothing(spark, monkeypatch, name):
+    """The final plans of all steps and of what follows the last one."""
+    from sedgeline.catalog import QUERIES
+
+    plans, save = [], Scratch.save
+
+    def kept(self, df, name):
+        plans.append(df._jdf.queryExecution().executedPlan())
+        return save(self, df, name)
+
+    monkeypatch.setattr(Scratch, "save", kept)
+    out = QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert out.collect()
+    plans.append(out._jdf.queryExecution().executedPlan())
+    assert len(plans) > 9 and not [p for p in plans if "Broadcast" in p.toString()]
